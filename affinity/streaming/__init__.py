@@ -1,0 +1 @@
+"""Every job in this package is a one-shot batch job, so there is no streaming operator."""
