@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def article_embedding(terms: DataFrame) -> DataFrame:
@@ -16,6 +17,6 @@ def article_embedding(terms: DataFrame) -> DataFrame:
     return (
         terms.select("article_id", array_to_vector("vector").alias("vector"))
         .groupBy("article_id")
-        .agg(Summarizer.mean("vector").alias("mean"))
+        .agg(Summarizer.mean(F.col("vector")).alias("mean"))
         .select("article_id", vector_to_array("mean").alias("article_vector"))
     )

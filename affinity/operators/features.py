@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    Bucketizer,
-    MinMaxScaler,
-    OneHotEncoder,
-    StringIndexer,
-    VectorAssembler,
-)
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Lower bounds of the age groups; the last one is open.
 AGE_SPLITS = [0.0, 15.0, 25.0, 35.0, 50.0, 60.0, float("inf")]
 USER_CATEGORIES = ("gender", "email_suffix")
 ARTICLE_NUMBERS = ("article_num", "img_num", "pub_gap")
 
+Bounds = dict[str, tuple[float, float]]
+
 
 def _named(columns: tuple[str, ...], suffix: str) -> list[str]:
     return [f"{column}_{suffix}" for column in columns]
@@ -40,56 +39,69 @@ def one_hot_encoder(*columns: str) -> OneHotEncoder:
 
 
 def age_bucketizer() -> Bucketizer:
-    """Age to the number of its age group; a negative age is an error."""
+    """Age to the number of its age group; a negative or missing age is an error."""
     return Bucketizer(inputCol="age", outputCol="age_group", splits=AGE_SPLITS)
 
 
-def scaled(columns: list[str], out: str) -> list[VectorAssembler | MinMaxScaler]:
-    """Numbers to one vector of values in [0, 1]; a constant column becomes 0.5."""
-    return [
-        VectorAssembler(inputCols=columns, outputCol=f"{out}_raw"),
-        MinMaxScaler(inputCol=f"{out}_raw", outputCol=out),
-    ]
+def column_bounds(rows: DataFrame, *columns: str) -> Bounds:
+    """Smallest and largest value of each column, in one pass."""
+    ends = [end(F.col(c).cast("double")) for c in columns for end in (F.min, F.max)]
+    row = rows.agg(*ends).first()
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
-def user_pipeline() -> Pipeline:
-    """Slots: gender, email suffix, scaled age group."""
-    categories = USER_CATEGORIES
-    return Pipeline(
-        stages=[
-            string_indexer(*categories),
-            one_hot_encoder(*categories),
-            age_bucketizer(),
-            *scaled(["age_group"], "age_scaled"),
-            VectorAssembler(
-                inputCols=[*_named(categories, "vec"), "age_scaled"], outputCol="vector"
-            ),
-        ]
-    )
+def minmax(column: str, bounds: Bounds) -> Column:
+    """A number scaled to [0, 1]; a constant column becomes 0.5, a missing number is an error."""
+    low, high = bounds[column]
+    if low is None or low == high:
+        return F.lit(0.5)
+    number = F.coalesce(F.col(column).cast("double"), F.raise_error(F.lit(f"{column} is missing")))
+    return (number - F.lit(low)) / F.lit(high - low)
+
+
+class FeatureModel(NamedTuple):
+    """Fitted category indexes and column bounds."""
 
+    stages: PipelineModel
+    bounds: Bounds
 
-def article_pipeline() -> Pipeline:
-    """Slots: scaled length, image count and age of the article, then its type."""
-    return Pipeline(
+
+def fit_user_features(profiles: DataFrame) -> FeatureModel:
+    """Indexes of gender and email suffix, and the range of age groups."""
+    stages = Pipeline(
         stages=[
-            string_indexer("type_name"),
-            one_hot_encoder("type_name"),
-            *scaled(list(ARTICLE_NUMBERS), "numbers_scaled"),
-            VectorAssembler(inputCols=["numbers_scaled", "type_name_vec"], outputCol="vector"),
+            string_indexer(*USER_CATEGORIES), one_hot_encoder(*USER_CATEGORIES), age_bucketizer(),
         ]
-    )
+    ).fit(profiles)
+    grouped = age_bucketizer().transform(profiles)
+    return FeatureModel(stages, column_bounds(grouped, "age_group"))
 
 
-def apply_pipeline(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
-    """Key and dense feature array of each row."""
-    return model.transform(rows).select(key, vector_to_array("vector").alias("features"))
+def apply_user_features(model: FeatureModel, profiles: DataFrame) -> DataFrame:
+    """(uid, features). Slots: gender, email suffix, scaled age group."""
+    onehot = [vector_to_array(name) for name in _named(USER_CATEGORIES, "vec")]
+    features = F.concat(*onehot, F.array(minmax("age_group", model.bounds)))
+    return model.stages.transform(profiles).select("uid", features.alias("features"))
 
 
 def user_features(profiles: DataFrame) -> DataFrame:
-    """(uid, features) with the pipeline fitted on the same profiles."""
-    return apply_pipeline(user_pipeline().fit(profiles), profiles, "uid")
+    """(uid, features) fitted on the same profiles."""
+    return apply_user_features(fit_user_features(profiles), profiles)
+
+
+def fit_article_features(facts: DataFrame) -> FeatureModel:
+    """Index of the article type, and the ranges of the three numbers."""
+    stages = Pipeline(stages=[string_indexer("type_name"), one_hot_encoder("type_name")])
+    return FeatureModel(stages.fit(facts), column_bounds(facts, *ARTICLE_NUMBERS))
+
+
+def apply_article_features(model: FeatureModel, facts: DataFrame) -> DataFrame:
+    """(article_id, features). Slots: scaled length, images and age, then the type."""
+    numbers = F.array(*[minmax(name, model.bounds) for name in ARTICLE_NUMBERS])
+    features = F.concat(numbers, vector_to_array("type_name_vec"))
+    return model.stages.transform(facts).select("article_id", features.alias("features"))
 
 
 def article_features(facts: DataFrame) -> DataFrame:
-    """(article_id, features) with the pipeline fitted on the same facts."""
-    return apply_pipeline(article_pipeline().fit(facts), facts, "article_id")
+    """(article_id, features) fitted on the same facts."""
+    return apply_article_features(fit_article_features(facts), facts)

@@ -1,5 +1,5 @@
 """Queries over the given tables, with the SQL that checks them."""
 
-from affinity.queries import recall
+from affinity.queries import als, export, features, ranking, recall
 
-MODULES = (recall,)
+MODULES = (recall, als, features, ranking, export)
