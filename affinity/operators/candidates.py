@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from affinity.plans.skew import split_join
 
-# Narrow candidate rows of one article widened by its vectors in one task.
-ROWS_PER_PART = 200_000
+# Narrow rows of one article or user widened by its vectors in one task.
+WIDE_PER_TASK = 200_000
 
 
 def article_side(vectors: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def candidate_features(
     vectors: DataFrame,
     embeddings: DataFrame,
     item: str,
-    rows_per_part: int = ROWS_PER_PART,
+    most_per_task: int = WIDE_PER_TASK,
 ) -> DataFrame:
     """Candidates with the base vector and embedding of their article.
 
@@ -29,7 +29,7 @@ def candidate_features(
     once. Pass saved or staged candidates: their hot articles are counted.
     """
     articles = article_side(vectors, embeddings).withColumnRenamed("article_id", item)
-    joined = split_join(candidates, articles, item, "uid", rows_per_part)
+    joined = split_join(candidates, articles, item, "uid", most_per_task, 1, unique_right=True)
     return joined.select("uid", item, "pred_rating", "features", "article_vector")
 
 

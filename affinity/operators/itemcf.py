@@ -6,30 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.operators.similarity import item_similarity, symmetric
-from affinity.plans.skew import split_join
+from affinity.plans.skew import LEFT_PER_PART, MOST_PER_TASK, split_join
 from affinity.plans.staging import stage
 
-# Users of one item that meet its neighbours in one task.
-USERS_PER_PART = 20_000
 TOP_K = 25
 JOB_TOP_K = 100
 
 
 def rating_similarity_join(
-    ratings: DataFrame, similarity: DataFrame, users_per_part: int = USERS_PER_PART
+    ratings: DataFrame,
+    similarity: DataFrame,
+    most_per_task: int = MOST_PER_TASK,
+    left_per_part: int = LEFT_PER_PART,
 ) -> DataFrame:
-    """Each rating beside each neighbour of its item, with ``rsp = rating * sim``."""
-    joined = split_join(ratings, similarity, "aid", "uid", users_per_part)
+    """Each rating beside each neighbour of its item, with ``rsp = rating * sim``.
+
+    Pass staged tables: their keys are counted first.
+    """
+    joined = split_join(ratings, similarity, "aid", "uid", most_per_task, left_per_part)
     return joined.select(
         "uid", "aid", "rating", "sim_aid", "sim", (F.col("rating") * F.col("sim")).alias("rsp")
     )
 
 
+def _weighted_mean() -> Column:
+    return F.try_divide(F.sum("rsp"), F.sum("sim")).alias("pred_rating")
+
+
 def item_scores(rated_similarity: DataFrame) -> DataFrame:
     """Similarity-weighted mean rating per (uid, sim_aid)."""
-    return rated_similarity.groupBy("uid", "sim_aid").agg(
-        F.try_divide(F.sum("rsp"), F.sum("sim")).alias("pred_rating")
-    )
+    return rated_similarity.groupBy("uid", "sim_aid").agg(_weighted_mean())
 
 
 def drop_seen(scores: DataFrame, ratings: DataFrame, item: str = "sim_aid") -> DataFrame:
@@ -38,6 +44,23 @@ def drop_seen(scores: DataFrame, ratings: DataFrame, item: str = "sim_aid") -> D
     return scores.join(seen, ["uid", item], "left_anti")
 
 
+def unseen_scores(rated_similarity: DataFrame, ratings: DataFrame) -> DataFrame:
+    """:func:`item_scores` then :func:`drop_seen`, in the one shuffle of the scores.
+
+    Seen pairs enter the aggregate as marker rows. An anti join on top of it
+    would be pushed below it by the optimizer and cost the map-side sums.
+    """
+    seen = ratings.select(
+        "uid", F.col("aid").alias("sim_aid"), F.lit(None).cast("double").alias("rsp"),
+        F.lit(None).cast("double").alias("sim"), F.lit(True).alias("seen"),
+    )
+    scored = rated_similarity.select("uid", "sim_aid", "rsp", "sim", F.lit(False).alias("seen"))
+    merged = scored.unionByName(seen).groupBy("uid", "sim_aid").agg(
+        _weighted_mean(), F.bool_or("seen").alias("seen")
+    )
+    return merged.where(~F.col("seen")).drop("seen")
+
+
 def top_k(
     scores: DataFrame, k: int = TOP_K, item: str = "sim_aid", score: Column | None = None
 ) -> DataFrame:
@@ -58,18 +81,43 @@ def holdout_predictions(scores: DataFrame, holdout: DataFrame) -> DataFrame:
     return holdout.join(predicted, ["uid", "aid"]).where(F.col("pred_rating").isNotNull())
 
 
-def score_all(training: DataFrame) -> DataFrame:
-    """Scores of every reachable (user, item) pair from training ratings.
+def predict_holdout(
+    training: DataFrame,
+    holdout: DataFrame,
+    similarity: DataFrame,
+    most_per_task: int = MOST_PER_TASK,
+    left_per_part: int = LEFT_PER_PART,
+) -> DataFrame:
+    """:func:`holdout_predictions` without scoring any pair that is not held out.
+
+    Held-out items meet only the training items of their own user.
+    """
+    wanted = holdout.select("uid", F.col("aid").alias("sim_aid"), F.col("rating").alias("actual"))
+    pairs = split_join(training, wanted, "uid", "aid", most_per_task, left_per_part)
+    near = pairs.join(similarity, ["aid", "sim_aid"]).withColumn(
+        "rsp", F.col("rating") * F.col("sim")
+    )
+    scored = near.groupBy("uid", "sim_aid", "actual").agg(_weighted_mean())
+    return scored.where(F.col("pred_rating").isNotNull()).select(
+        "uid", F.col("sim_aid").alias("aid"), F.col("actual").alias("rating"), "pred_rating"
+    )
+
+
+def neighbours(training: DataFrame) -> DataFrame:
+    """Staged similarity of training ratings in both directions.
 
-    Pass staged ratings. The similarity table is staged too: it is the costliest
-    part and its size decides the join that follows.
+    It is the costliest part, and its written size decides the joins that follow.
     """
-    similarity = stage(symmetric(item_similarity(training)), "similarity")
-    return item_scores(rating_similarity_join(training, similarity))
+    return stage(symmetric(item_similarity(training)), "similarity")
 
 
 def recommend(
-    training: DataFrame, k: int = JOB_TOP_K, score: Column | None = None
+    training: DataFrame,
+    k: int = JOB_TOP_K,
+    score: Column | None = None,
+    similarity: DataFrame | None = None,
 ) -> DataFrame:
-    """Top-k unseen items per user, end to end from training ratings."""
-    return top_k(drop_seen(score_all(training), training), k, score=score)
+    """Top-k unseen items per user, end to end from staged training ratings."""
+    similarity = neighbours(training) if similarity is None else similarity
+    rated = rating_similarity_join(training, similarity)
+    return top_k(unseen_scores(rated, training), k, score=score)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions.vectors import merge_features
-from affinity.operators.candidates import ROWS_PER_PART, article_side
+from affinity.operators.candidates import WIDE_PER_TASK, article_side
 from affinity.plans.skew import split_join
 from affinity.sources import schemas
 
@@ -28,7 +28,7 @@ def training_samples(
     user_vectors: DataFrame,
     article_vectors: DataFrame,
     embeddings: DataFrame,
-    rows_per_part: int = ROWS_PER_PART,
+    most_per_task: int = WIDE_PER_TASK,
 ) -> DataFrame:
     """Labelled samples with all three vectors; samples missing one drop out.
 
@@ -44,8 +44,10 @@ def training_samples(
         F.col("features").alias("article_features"),
         F.col("article_vector").alias("article_embedding"),
     )
-    with_user = split_join(samples, users, "uid", "aid", rows_per_part)
-    joined = split_join(with_user, articles, "aid", "uid", rows_per_part, sized_by=samples)
+    with_user = split_join(samples, users, "uid", "aid", most_per_task, 1, unique_right=True)
+    joined = split_join(
+        with_user, articles, "aid", "uid", most_per_task, 1, sized_by=samples, unique_right=True
+    )
     return joined.select(
         "uid", "aid", "user_features", "article_features", "article_embedding",
         F.col("label").cast("int").alias("label"),
@@ -64,8 +66,12 @@ def fit_ranker(
 ) -> LogisticRegressionModel:
     """Logistic regression with intercept on standardised features.
 
-    Pass staged samples; the solver keeps them as blocks and makes one pass per step.
+    Pass staged samples; the solver keeps them as blocks and makes one pass per
+    step, so few large files are spread over all cores first.
     """
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    if samples.rdd.getNumPartitions() < cores:
+        samples = samples.repartition(cores)
     vectors = samples.select(
         array_to_vector(features).alias("vector"), F.col(label).cast("double").alias("label")
     )

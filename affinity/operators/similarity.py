@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.plans.skew import hot_keys, part_of
+from affinity.plans.skew import MOST_PER_TASK, hot_table, part_of, tasks_for
 
-# Items of one user that meet in one task, and item pairs formed per task.
+# Items of one user that meet in one task.
 ITEMS_PER_TILE = 2000
-PAIRS_PER_TASK = 2_000_000
 
 
 def item_norms(ratings: DataFrame) -> DataFrame:
@@ -26,13 +23,13 @@ def item_norms(ratings: DataFrame) -> DataFrame:
 def item_similarity(
     ratings: DataFrame,
     items_per_tile: int = ITEMS_PER_TILE,
-    pairs_per_task: int = PAIRS_PER_TASK,
+    most_per_task: int = MOST_PER_TASK,
 ) -> DataFrame:
     """Exact cosine of every two items rated by a common user, ``aid < sim_aid``.
 
     Pass staged ratings: they are read several times. Ratings are scaled to
     unit columns first, which keeps the norm join off the far larger pair table.
-    A user with many items is cut into tiles of at most ``items_per_tile`` by
+    A user with many items is cut into tiles of about ``items_per_tile`` by
     ``items_per_tile`` items, each joined on its own, so no task handles all
     pairs of a heavy user. Pairs run from the join into the map-side sum within
     one stage.
@@ -42,22 +39,21 @@ def item_similarity(
         "uid", "aid", (F.col("rating") / F.col("norm")).alias("w")
     )
     sizes = nonzero.groupBy("uid").agg(F.count("*").alias("n"))
-    heaviest, pairs = sizes.agg(
-        F.max("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
+    tiles = F.ceil(F.col("n") / F.lit(items_per_tile))
+    most_tiles, pairs = sizes.agg(
+        F.max(tiles), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
     ).first()
-    tasks = math.ceil((pairs or 0) / pairs_per_task)
 
-    if (heaviest or 0) <= items_per_tile:
+    if (most_tiles or 1) == 1:
         keys = ["uid"]
         left = right = unit
         ordered = F.col("a.aid") < F.col("b.aid")
     else:
         keys = ["uid", "tile_a", "tile_b"]
-        hot = hot_keys(nonzero, "uid", items_per_tile, "tiles")
-        tiles = F.coalesce("tiles", F.lit(1))
+        hot = hot_table(sizes, "uid", tiles, "tiles")
         tiled = (
             unit.join(hot, "uid", "left")
-            .withColumn("tiles", tiles)
+            .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
             .withColumn("tile", part_of(F.col("aid"), F.col("tiles")))
         )
         # Tile pair (a, b) with a <= b; within a diagonal tile each pair once.
@@ -71,6 +67,7 @@ def item_similarity(
         )
         ordered = (F.col("a.tile_a") < F.col("a.tile_b")) | (F.col("a.aid") < F.col("b.aid"))
 
+    tasks = tasks_for(ratings.sparkSession, pairs or 0, most_per_task)
     if tasks > 1:
         left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     same_tile = [F.col(f"a.{key}") == F.col(f"b.{key}") for key in keys]

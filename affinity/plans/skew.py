@@ -2,32 +2,36 @@
 
 Adaptive execution splits a join partition by its bytes. A many-to-many join
 needs more: a hot key of modest size on each side still multiplies into a huge
-number of result rows. These helpers split such keys by row count instead, and
-change nothing about the result.
+number of result rows. These helpers split such keys by their result rows
+instead, and change nothing about the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.plans.staging import stage
 
+# Result rows of a join per task: enough to be worth a task, and the most for one.
+LEAST_PER_TASK = 100_000
+MOST_PER_TASK = 20_000_000
+MOST_TASKS = 100_000
+
+# A part of a hot key keeps this many left rows, so that copying the right rows
+# to each part stays a small share of the join.
+LEFT_PER_PART = 1000
+
 
-def hot_keys(df: DataFrame, key: str, rows_per_part: int, parts: str) -> DataFrame | None:
-    """Keys with more than ``rows_per_part`` rows and the parts each is split into.
+def tasks_for(spark: SparkSession, rows: float, most_per_task: int = MOST_PER_TASK) -> int:
+    """Tasks for a step that produces ``rows`` rows, however small its input is.
 
-    None when there is none. The table is staged, so that joins against it are
-    planned from its written size: broadcast when small, shuffled when not.
+    All cores once there is enough work for them, more tasks beyond that.
     """
-    counts = df.groupBy(key).count().where(F.col("count") > rows_per_part)
-    hot = stage(
-        counts.select(
-            key, F.ceil(F.col("count") / F.lit(rows_per_part)).cast("int").alias(parts)
-        ),
-        f"hot-{key}",
-    )
-    return None if hot.isEmpty() else hot
+    cores = min(spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_PER_TASK))
+    return max(1, cores, min(MOST_TASKS, math.ceil(rows / most_per_task)))
 
 
 def part_of(value: Column, parts: Column) -> Column:
@@ -35,26 +39,58 @@ def part_of(value: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(value), parts.cast("bigint")).cast("int")
 
 
+def hot_table(sizes: DataFrame, key: str, parts: Column, out: str) -> DataFrame:
+    """Keys to be split and into how many parts.
+
+    Staged, so that joins against it are planned from its written size:
+    broadcast when small, shuffled when not.
+    """
+    counted = sizes.select(key, parts.cast("int").alias(out))
+    return stage(counted.where(F.col(out) > 1), f"hot-{key}")
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     spread_by: str,
-    rows_per_part: int,
+    most_per_task: int = MOST_PER_TASK,
+    left_per_part: int = LEFT_PER_PART,
     sized_by: DataFrame | None = None,
+    unique_right: bool = False,
 ) -> DataFrame:
-    """Inner join on ``key`` with hot left keys spread over several tasks.
+    """Inner join on ``key`` with the work of hot keys spread over several tasks.
 
-    A left key with n rows is cut into ``ceil(n / rows_per_part)`` parts by a
-    hash of ``spread_by``; the right rows of that key go to each of its parts.
-    ``sized_by`` is a cheaper table to count keys in, when left derives from one.
+    A key that yields more than ``most_per_task`` rows is cut into parts by a
+    hash of ``spread_by`` on the left; its right rows go to each of its parts.
+    Left keys are counted first, in ``sized_by`` when left derives from that
+    cheaper table, so pass tables that are cheap to read again. ``unique_right``
+    says that right holds each key once.
     """
-    hot = hot_keys(left if sized_by is None else sized_by, key, rows_per_part, "_parts")
-    if hot is None:
-        return left.join(right, key)
-    parts = F.coalesce("_parts", F.lit(1))
-    cut = left.join(hot, key, "left").withColumn("_part", part_of(F.col(spread_by), parts))
-    copied = right.join(hot, key, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
+    counted = left if sized_by is None else sized_by
+    sizes = counted.groupBy(key).agg(F.count("*").alias("_left"))
+    if unique_right:
+        sizes = sizes.withColumn("_rows", F.col("_left").cast("double"))
+    else:
+        matches = right.groupBy(key).agg(F.count("*").cast("double").alias("_right"))
+        sizes = sizes.join(matches, key).withColumn("_rows", F.col("_left") * F.col("_right"))
+    parts = F.least(
+        F.ceil(F.col("_rows") / F.lit(most_per_task)), F.ceil(F.col("_left") / F.lit(left_per_part))
     )
-    return cut.drop("_parts").join(copied.drop("_parts"), [key, "_part"]).drop("_part")
+    total, most_parts = sizes.agg(F.sum("_rows"), F.max(parts)).first()
+
+    keys = [key]
+    if (most_parts or 1) > 1:
+        keys = [key, "_part"]
+        hot = hot_table(sizes, key, parts, "_parts")
+        cuts = F.coalesce("_parts", F.lit(1))
+        left = left.join(hot, key, "left").withColumn("_part", part_of(F.col(spread_by), cuts))
+        right = right.join(hot, key, "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), cuts - 1))
+        )
+        left, right = left.drop("_parts"), right.drop("_parts")
+    if not unique_right:
+        tasks = tasks_for(left.sparkSession, total or 0, most_per_task)
+        if tasks > 1:
+            left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.join(right, keys).drop("_part")

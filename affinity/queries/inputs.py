@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.operators import embedding, features, itemcf, ratings, similarity
+from affinity.operators import embedding, features, itemcf, ratings
 from affinity.plans.staging import stage
 from affinity.sources import standins
 
@@ -33,15 +33,11 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(ratings.hash_split(standins.ratings(spark, sf_dir))[0], "training")
 
 
-def symmetric(train: DataFrame) -> DataFrame:
-    """Staged similarity of training ratings in both directions."""
-    return stage(similarity.symmetric(similarity.item_similarity(train)), "similarity")
-
-
 def scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training ratings and the score of every reachable pair."""
     train = training(spark, sf_dir)
-    return train, itemcf.score_all(train)
+    rated = itemcf.rating_similarity_join(train, itemcf.neighbours(train))
+    return train, itemcf.item_scores(rated)
 
 
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from affinity.plans.staging import stage
 from affinity.queries import inputs
 from affinity.queries.features import filter_binary_label
 from affinity.queries.inputs import DIGITS, rounded
-from affinity.queries.sql import text, using
+from affinity.queries.sql import millionths, using
 from affinity.sources import schemas, standins
 
 # A model with four numeric terms.
@@ -47,8 +47,15 @@ CATEGORICAL_MODEL = [
 
 
 def shown(df: DataFrame, *vectors: str) -> DataFrame:
-    """Array columns as text with fixed decimals."""
-    return df.withColumns({name: fn.vector_to_text(F.col(name), DIGITS) for name in vectors})
+    """Array columns as text of whole millionths, which two engines write alike."""
+    return df.withColumns(
+        {
+            name: F.concat_ws(
+                ",", F.transform(name, lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
+            )
+            for name in vectors
+        }
+    )
 
 
 def with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +85,9 @@ def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two recall tables: hold-out predictions, and top-k recommendations."""
     train, holdout = inputs.split(spark, sf_dir)
-    scored = stage(itemcf.score_all(train), "scores")
-    best = itemcf.top_k(
-        itemcf.drop_seen(scored, train), inputs.K, score=F.round("pred_rating", DIGITS)
-    )
-    return itemcf.holdout_predictions(scored, holdout), best
+    near = itemcf.neighbours(train)
+    best = itemcf.recommend(train, inputs.K, F.round("pred_rating", DIGITS), near)
+    return itemcf.predict_holdout(train, holdout, near), best
 
 
 def recommended_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +219,7 @@ ORACLES = {
     "candidate_features_itemcf": using(
         "candidates",
         select=f"""SELECT uid, sim_aid, round(pred_rating, 6) AS pred_rating,
-                          {text("features")} AS features, {text("article_vector")} AS article_vector
+                          {millionths("features")} AS features, {millionths("article_vector")} AS article_vector
                    FROM candidates""",
     ),
     "candidate_lists": using(
@@ -222,18 +227,18 @@ ORACLES = {
         select=f"""SELECT uid, CAST(row_number() OVER (PARTITION BY uid
                             ORDER BY round(pred_rating, 6) DESC, sim_aid) - 1 AS INTEGER) AS pos,
                           sim_aid AS aid, round(pred_rating, 6) AS rating,
-                          {text("features")} AS features, {text("article_vector")} AS article_vector
+                          {millionths("features")} AS features, {millionths("article_vector")} AS article_vector
                    FROM candidates""",
     ),
     "recommended_users": using("predicted", "topk", select=_EITHER),
     "recommended_user_features": using(
         "predicted", "topk", "user_vectors",
-        select=f"""SELECT r.uid, {text("u.features")} AS user_features
+        select=f"""SELECT r.uid, {millionths("u.features")} AS user_features
                    FROM ({_EITHER}) r JOIN user_vectors u ON r.uid = u.uid""",
     ),
     "training_samples": using(
         "assembled",
-        select=f"""SELECT uid, aid, label, {text('''list_concat(list_concat(article_features,
+        select=f"""SELECT uid, aid, label, {millionths('''list_concat(list_concat(article_features,
                           article_embedding), user_features)''')} AS features FROM assembled""",
     ),
     "linear_score": using(

@@ -107,17 +107,17 @@ def item_similarity_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inputs.symmetric(inputs.training(spark, sf_dir)), "sim")
+    return rounded(itemcf.neighbours(inputs.training(spark, sf_dir)), "sim")
 
 
 def similarity_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = inputs.symmetric(inputs.training(spark, sf_dir))
+    both = itemcf.neighbours(inputs.training(spark, sf_dir))
     return rounded(similarity.preview(both), "sim")
 
 
 def rating_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = inputs.training(spark, sf_dir)
-    joined = itemcf.rating_similarity_join(train, inputs.symmetric(train))
+    joined = itemcf.rating_similarity_join(train, itemcf.neighbours(train))
     return rounded(joined, "rating", "sim", "rsp")
 
 
@@ -141,17 +141,18 @@ def itemcf_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inputs.topk(spark, sf_dir), "pred_rating")
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, holdout = inputs.split(spark, sf_dir)
-    return itemcf.holdout_predictions(itemcf.score_all(train), holdout)
-
-
 def cf_holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_predicted(spark, sf_dir), "rating", "pred_rating")
+    """Hold-out ratings looked up in the full score table."""
+    train, holdout = inputs.split(spark, sf_dir)
+    scored = itemcf.item_scores(itemcf.rating_similarity_join(train, itemcf.neighbours(train)))
+    return rounded(itemcf.holdout_predictions(scored, holdout), "rating", "pred_rating")
 
 
 def cf_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.rmse(_predicted(spark, sf_dir)), "rmse")
+    """Error over the hold-out ratings, scoring only those."""
+    train, holdout = inputs.split(spark, sf_dir)
+    predicted = itemcf.predict_holdout(train, holdout, itemcf.neighbours(train))
+    return rounded(evaluate.rmse(predicted), "rmse")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,6 +211,11 @@ def text(vector: str, digits: int = 6) -> str:
     return f"('[' || array_to_string([printf('%.{digits}f', x) FOR x IN {vector}], ',') || ']')"
 
 
+def millionths(vector: str) -> str:
+    """SQL for a list as comma-separated whole millionths."""
+    return f"array_to_string([CAST(round(x * 1e6) AS BIGINT) FOR x IN {vector}], ',')"
+
+
 def using(*names: str, select: str) -> str:
     """A statement whose WITH list holds ``names`` and all they read, in order."""
     wanted: dict[str, None] = {}

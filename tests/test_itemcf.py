@@ -8,6 +8,7 @@ from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
 from affinity.operators import candidates, itemcf, similarity
 from affinity.operators.als import explode_recommendations
+from affinity.operators.ratings import hash_split
 from affinity.sources import schemas
 from affinity.sources.samples import RATINGS, sample_ratings
 
@@ -85,11 +86,11 @@ def test_similarity_agrees_with_the_matrix_library(spark):
     assert got == pytest.approx(expected)
 
 
-@pytest.mark.parametrize("tile, per_task", [(2000, 2_000_000), (7, 100), (1, 10)])
+@pytest.mark.parametrize("tile, per_task", [(2000, 20_000_000), (7, 100), (1, 10)])
 def test_tiles_do_not_change_similarity(spark, tile, per_task):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, schemas.RATINGS)
-    got = similarity.item_similarity(df, items_per_tile=tile, pairs_per_task=per_task)
+    got = similarity.item_similarity(df, items_per_tile=tile, most_per_task=per_task)
     collected = got.collect()
     assert len(collected) == len({(r.aid, r.sim_aid) for r in collected})
     sim, _ = brute_force(rows)
@@ -118,15 +119,29 @@ def test_top_k_ranks_without_gaps_and_breaks_ties_by_item(spark):
     ]
 
 
-@pytest.mark.parametrize("users_per_part", [20_000, 5, 1])
-def test_scores_match_brute_force_with_hot_items(spark, users_per_part):
+@pytest.mark.parametrize("per_task, per_part", [(20_000_000, 1000), (50, 2), (1, 1)])
+def test_scores_match_brute_force_with_hot_items(spark, per_task, per_part):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, schemas.RATINGS)
     sims = similarity.symmetric(similarity.item_similarity(df, items_per_tile=7))
-    joined = itemcf.rating_similarity_join(df, sims, users_per_part)
-    scored = itemcf.drop_seen(itemcf.item_scores(joined), df)
-    got = {(r.uid, r.sim_aid): r.pred_rating for r in scored.collect()}
-    assert got == pytest.approx(brute_force(rows)[1])
+    joined = itemcf.rating_similarity_join(df, sims, per_task, per_part)
+    expected = pytest.approx(brute_force(rows)[1])
+    for scored in (
+        itemcf.drop_seen(itemcf.item_scores(joined), df), itemcf.unseen_scores(joined, df),
+    ):
+        assert {(r.uid, r.sim_aid): r.pred_rating for r in scored.collect()} == expected
+
+
+@pytest.mark.parametrize("per_task, per_part", [(20_000_000, 1000), (20, 2)])
+def test_holdout_is_predicted_alike_with_and_without_all_scores(spark, per_task, per_part):
+    train, holdout = hash_split(spark.createDataFrame(skewed_rows(), schemas.RATINGS))
+    near = itemcf.neighbours(train)
+    scores = itemcf.item_scores(itemcf.rating_similarity_join(train, near))
+    full = itemcf.holdout_predictions(scores, holdout).collect()
+    few = itemcf.predict_holdout(train, holdout, near, per_task, per_part).collect()
+    assert full and {(r.uid, r.aid, r.rating): r.pred_rating for r in few} == pytest.approx(
+        {(r.uid, r.aid, r.rating): r.pred_rating for r in full}
+    )
 
 
 def test_rsp_is_rating_times_similarity(spark):
@@ -166,9 +181,10 @@ def plan_of(df) -> str:
 
 def test_seen_filter_is_an_anti_join_and_top_k_is_limited_before_the_shuffle(spark):
     train = sample_ratings(spark)
-    scores = itemcf.score_all(train)
-    plan = plan_of(itemcf.top_k(itemcf.drop_seen(scores, train), 3))
+    plan = plan_of(itemcf.drop_seen(sample_ratings(spark).withColumnRenamed("aid", "sim_aid"), train))
     assert "LeftAnti" in plan
+    plan = plan_of(itemcf.recommend(train, 3))
+    assert "partial_sum" in plan and "Anti" not in plan
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert plan.count("BatchEvalPython") + plan.count("ArrowEvalPython") == 0

@@ -16,21 +16,32 @@ def test_staging_uses_the_configured_folder(spark):
     assert all(folder in name for name in staged.inputFiles())
 
 
-@pytest.mark.parametrize("rows_per_part", [1, 3, 1000])
-def test_split_join_equals_join(spark, rows_per_part):
+@pytest.mark.parametrize("unique", [False, True])
+@pytest.mark.parametrize("per_task, per_part", [(1, 1), (20, 3), (10_000, 1)])
+def test_split_join_equals_join(spark, per_task, per_part, unique):
     rng = random.Random(2)
     left = [(rng.choice([1, 1, 1, 2, 3]), i) for i in range(60)]
-    right = [(k, j) for k in (1, 2, 9) for j in range(4)]
+    right = [(k, j) for k in (1, 2, 9) for j in range(1 if unique else 4)]
     ldf = spark.createDataFrame(left, "k bigint, l bigint")
     rdf = spark.createDataFrame(right, "k bigint, r bigint")
-    got = sorted(map(tuple, skew.split_join(ldf, rdf, "k", "l", rows_per_part).collect()))
+    joined = skew.split_join(ldf, rdf, "k", "l", per_task, per_part, unique_right=unique)
+    got = sorted(map(tuple, joined.collect()))
+    assert joined.columns == ["k", "l", "r"]
     assert got == sorted((k, x, y) for k, x in left for k2, y in right if k == k2)
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame([(1,)] * 10 + [(2,)] * 3, "k bigint")
-    assert skew.hot_keys(df, "k", 10, "parts") is None
-    assert skew.hot_keys(df, "k", 4, "parts").collect() == [(1, 3)]
+def test_hot_table_holds_only_split_keys(spark):
+    sizes = spark.createDataFrame([(1, 10), (2, 3)], "k bigint, n bigint")
+    hot = skew.hot_table(sizes, "k", F.ceil(F.col("n") / 4), "parts")
+    assert hot.collect() == [(1, 3)]
+
+
+def test_tasks_follow_the_work(spark):
+    assert skew.tasks_for(spark, 0) == 1
+    assert skew.tasks_for(spark, 250_000) == 3
+    assert skew.tasks_for(spark, 10**7) == spark.sparkContext.defaultParallelism
+    assert skew.tasks_for(spark, 10**10) == 500
+    assert skew.tasks_for(spark, 10**15) == skew.MOST_TASKS
 
 
 @pytest.mark.parametrize("n, buckets", [(0, 4), (1, 4), (2, 4), (500, 7), (500, 256)])

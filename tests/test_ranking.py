@@ -89,8 +89,8 @@ def test_training_samples_need_all_three_vectors(spark):
     ]
 
 
-@pytest.mark.parametrize("rows_per_part", [200_000, 4])
-def test_training_samples_with_a_hot_article(spark, rows_per_part):
+@pytest.mark.parametrize("most_per_task", [200_000, 4])
+def test_training_samples_with_a_hot_article(spark, most_per_task):
     rows = [(u, 10, u % 2) for u in range(40)] + [(0, a, 1) for a in range(11, 30)]
     samples = spark.createDataFrame(rows, schemas.TRAINING)
     users = spark.range(40).select(
@@ -100,7 +100,7 @@ def test_training_samples_with_a_hot_article(spark, rows_per_part):
         F.col("id").alias("article_id"), F.array(F.col("id").cast("double")).alias("features")
     )
     embeddings = articles.withColumnRenamed("features", "article_vector")
-    got = ranking.training_samples(samples, users, articles, embeddings, rows_per_part)
+    got = ranking.training_samples(samples, users, articles, embeddings, most_per_task)
     assert sorted(
         (r.uid, r.aid, r.user_features, r.article_features, r.label) for r in got.collect()
     ) == sorted((u, a, [float(u)], [float(a)], label) for u, a, label in rows)
