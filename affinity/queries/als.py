@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import als, candidates, evaluate, ratings
+from affinity.operators.itemcf import JOB_TOP_K
 from affinity.plans.staging import stage
 from affinity.queries import inputs
 from affinity.sources import standins
 
-K = 10
+K = JOB_TOP_K
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, als.AlsRecall]:
