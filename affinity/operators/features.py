@@ -15,6 +15,9 @@ AGE_SPLITS = [0.0, 15.0, 25.0, 35.0, 50.0, 60.0, float("inf")]
 USER_CATEGORIES = ("gender", "email_suffix")
 ARTICLE_NUMBERS = ("article_num", "img_num", "pub_gap")
 
+# A dense slot per category: more values than this are not one-hot features.
+MOST_CATEGORIES = 10_000
+
 Bounds = dict[str, tuple[float, float]]
 
 
@@ -50,6 +53,14 @@ def column_bounds(rows: DataFrame, *columns: str) -> Bounds:
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
+def check_categories(rows: DataFrame, *columns: str) -> None:
+    """Raise where a column has too many values for its index to be held on the driver."""
+    counts = rows.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+    for column, n in zip(columns, counts):
+        if n > MOST_CATEGORIES:
+            raise ValueError(f"{column!r} has about {n} values, more than {MOST_CATEGORIES}")
+
+
 def minmax(column: str, bounds: Bounds) -> Column:
     """A number scaled to [0, 1]; a constant column becomes 0.5, a missing number is an error."""
     low, high = bounds[column]
@@ -68,6 +79,7 @@ class FeatureModel(NamedTuple):
 
 def fit_user_features(profiles: DataFrame) -> FeatureModel:
     """Indexes of gender and email suffix, and the range of age groups."""
+    check_categories(profiles, *USER_CATEGORIES)
     stages = Pipeline(
         stages=[
             string_indexer(*USER_CATEGORIES), one_hot_encoder(*USER_CATEGORIES), age_bucketizer(),
@@ -91,6 +103,7 @@ def user_features(profiles: DataFrame) -> DataFrame:
 
 def fit_article_features(facts: DataFrame) -> FeatureModel:
     """Index of the article type, and the ranges of the three numbers."""
+    check_categories(facts, "type_name")
     stages = Pipeline(stages=[string_indexer("type_name"), one_hot_encoder("type_name")])
     return FeatureModel(stages.fit(facts), column_bounds(facts, *ARTICLE_NUMBERS))
 

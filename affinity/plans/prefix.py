@@ -6,31 +6,38 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.plans.skew import tasks_for
 from affinity.plans.staging import stage
 
+ROWS_PER_BUCKET = 1_000_000
+MOST_BUCKETS = 10_000
+
 
 def running_total(
-    df: DataFrame, order: str, value: str, out: str, buckets: int = 256
+    df: DataFrame, order: str, value: str, out: str, buckets: int | None = None
 ) -> DataFrame:
     """``df`` plus ``out``: the sum of ``value`` over all rows with a smaller ``order``.
 
     ``order`` must be a number and unique. Rows are cut into value ranges at
     approximate quantiles; each range is summed on its own window and shifted by
     the total of the ranges below. The cut points only balance the work, so the
-    result is exact.
+    result is exact. The number of ranges follows the number of rows.
     """
     df = stage(df, "running")
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, tasks_for(df.sparkSession, df.count(), ROWS_PER_BUCKET))
+    buckets = max(2, buckets)
     ranked = df.withColumn("_order", F.col(order).cast("double"))
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(ranked.approxQuantile("_order", probabilities, 1 / (4 * buckets))))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
+    cuts = ranked.approxQuantile("_order", probabilities, 1 / (4 * buckets)) or [0.0]
+    splits = sorted({float("-inf"), *cuts, float("inf")})
+    if len(splits) == 2:
         splits.insert(1, 0.0)
     placed = Bucketizer(
         splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep"
     ).transform(ranked)
 
-    # At most buckets + 1 rows, whatever the size of the table.
+    # One row per bucket, at most MOST_BUCKETS + 1.
     totals = placed.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(

@@ -36,6 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application staged; for the end of a job."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Compute ``df`` once and return the written copy."""
     spark = df.sparkSession

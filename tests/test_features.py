@@ -56,6 +56,13 @@ def test_a_single_type_is_an_error(spark):
         features.article_features(spark.createDataFrame(rows, schemas.ARTICLE_BASE))
 
 
+def test_too_many_categories_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(features, "MOST_CATEGORIES", 2)
+    rows = [(i, "F", 20, f"{i}.com") for i in range(5)]
+    with pytest.raises(ValueError, match="email_suffix"):
+        features.user_features(spark.createDataFrame(rows, schemas.USER_BASE))
+
+
 def test_missing_number_is_an_error(spark):
     rows = [(1, 5, 1, "x", 3), (2, None, 2, "y", 4), (3, 8, 2, "y", 4)]
     with pytest.raises(Exception, match="article_num is missing"):

@@ -16,6 +16,14 @@ def test_staging_uses_the_configured_folder(spark):
     assert all(folder in name for name in staged.inputFiles())
 
 
+def test_clear_removes_what_was_staged(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    staged = staging.stage(spark.range(3))
+    assert staged.count() == 3 and list(tmp_path.iterdir())
+    staging.clear(spark)
+    assert not list(tmp_path.iterdir())
+
+
 @pytest.mark.parametrize("unique", [False, True])
 @pytest.mark.parametrize("per_task, per_part", [(1, 1), (20, 3), (10_000, 1)])
 def test_split_join_equals_join(spark, per_task, per_part, unique):
@@ -44,7 +52,7 @@ def test_tasks_follow_the_work(spark):
     assert skew.tasks_for(spark, 10**15) == skew.MOST_TASKS
 
 
-@pytest.mark.parametrize("n, buckets", [(0, 4), (1, 4), (2, 4), (500, 7), (500, 256)])
+@pytest.mark.parametrize("n, buckets", [(0, 4), (0, None), (1, 4), (2, None), (500, 7), (500, 256)])
 def test_running_total_equals_plain_sum(spark, n, buckets):
     rng = random.Random(n)
     keys = rng.sample(range(-10_000, 10_000), n)
