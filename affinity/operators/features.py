@@ -46,19 +46,20 @@ def age_bucketizer() -> Bucketizer:
     return Bucketizer(inputCol="age", outputCol="age_group", splits=AGE_SPLITS)
 
 
-def column_bounds(rows: DataFrame, *columns: str) -> Bounds:
-    """Smallest and largest value of each column, in one pass."""
+def column_bounds(
+    rows: DataFrame, *columns: str, categories: tuple[str, ...] = ()
+) -> Bounds:
+    """Smallest and largest value of each column, in one pass.
+
+    The same pass counts the values of ``categories`` and raises where one has
+    too many for its index to be held on the driver.
+    """
     ends = [end(F.col(c).cast("double")) for c in columns for end in (F.min, F.max)]
-    row = rows.agg(*ends).first()
-    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
-
-
-def check_categories(rows: DataFrame, *columns: str) -> None:
-    """Raise where a column has too many values for its index to be held on the driver."""
-    counts = rows.agg(*[F.approx_count_distinct(c) for c in columns]).first()
-    for column, n in zip(columns, counts):
+    row = rows.agg(*ends, *[F.approx_count_distinct(c) for c in categories]).first()
+    for column, n in zip(categories, row[len(ends):]):
         if n > MOST_CATEGORIES:
             raise ValueError(f"{column!r} has about {n} values, more than {MOST_CATEGORIES}")
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
 def minmax(column: str, bounds: Bounds) -> Column:
@@ -79,14 +80,14 @@ class FeatureModel(NamedTuple):
 
 def fit_user_features(profiles: DataFrame) -> FeatureModel:
     """Indexes of gender and email suffix, and the range of age groups."""
-    check_categories(profiles, *USER_CATEGORIES)
+    grouped = age_bucketizer().transform(profiles)
+    bounds = column_bounds(grouped, "age_group", categories=USER_CATEGORIES)
     stages = Pipeline(
         stages=[
             string_indexer(*USER_CATEGORIES), one_hot_encoder(*USER_CATEGORIES), age_bucketizer(),
         ]
     ).fit(profiles)
-    grouped = age_bucketizer().transform(profiles)
-    return FeatureModel(stages, column_bounds(grouped, "age_group"))
+    return FeatureModel(stages, bounds)
 
 
 def apply_user_features(model: FeatureModel, profiles: DataFrame) -> DataFrame:
@@ -103,9 +104,9 @@ def user_features(profiles: DataFrame) -> DataFrame:
 
 def fit_article_features(facts: DataFrame) -> FeatureModel:
     """Index of the article type, and the ranges of the three numbers."""
-    check_categories(facts, "type_name")
+    bounds = column_bounds(facts, *ARTICLE_NUMBERS, categories=("type_name",))
     stages = Pipeline(stages=[string_indexer("type_name"), one_hot_encoder("type_name")])
-    return FeatureModel(stages.fit(facts), column_bounds(facts, *ARTICLE_NUMBERS))
+    return FeatureModel(stages.fit(facts), bounds)
 
 
 def apply_article_features(model: FeatureModel, facts: DataFrame) -> DataFrame:

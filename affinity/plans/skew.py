@@ -17,7 +17,7 @@ from affinity.plans.staging import stage
 
 # Result rows of a join per task: enough to be worth a task, and the most for one.
 LEAST_PER_TASK = 100_000
-MOST_PER_TASK = 20_000_000
+MOST_PER_TASK = 5_000_000
 MOST_TASKS = 100_000
 
 # A part of a hot key keeps this many left rows, so that copying the right rows

@@ -192,8 +192,8 @@ _CSV = f"""SELECT {text("list_slice(embedding, 1, 4)")} AS features,
 
 
 def _slots_sql(source: str, key: str, vector: str) -> str:
-    """SQL twin of ``inputs.slots``."""
-    return f"""SELECT {key}, CAST(slot - 1 AS INTEGER) AS slot, round({vector}[slot], 6) AS value
+    """SQL twin of ``inputs.slots``; adding zero turns a rounded -0.0 into 0.0."""
+    return f"""SELECT {key}, CAST(slot - 1 AS INTEGER) AS slot, round({vector}[slot], 6) + 0.0 AS value
         FROM (SELECT {key}, {vector}, unnest(range(1, len({vector}) + 1)) AS slot FROM {source})"""
 
 
@@ -203,7 +203,7 @@ ORACLES = {
     "scan_article_terms": using(
         "terms",
         select="""SELECT article_id, top_term, CAST(slot - 1 AS INTEGER) AS slot,
-                         round(vector[slot], 6) AS value
+                         round(vector[slot], 6) + 0.0 AS value
             FROM (SELECT *, unnest(range(1, len(vector) + 1)) AS slot FROM terms)""",
     ),
     "scan_training": using("samples", select="SELECT * FROM samples"),
@@ -256,13 +256,13 @@ ORACLES = {
     ),
     "vector_width": """SELECT vec_id, 'dense' AS form, CAST(len(embedding) AS INTEGER) AS width
         FROM embeddings UNION ALL SELECT vec_id, 'sparse', 9 FROM embeddings""",
-    "vector_parse": f"""SELECT vec_id, slot, round(value, 6) AS value FROM (
+    "vector_parse": f"""SELECT vec_id, slot, value FROM (
         {_slots_sql("(SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", "vec_id", "v")})""",
     "vector_parse_sparse": """SELECT vec_id, CAST(slot AS INTEGER) AS slot,
         CASE WHEN label = slot THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
         FROM embeddings CROSS JOIN range(0, 9) slots(slot)""",
-    "vector_columns": """SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS f1,
-        round(embedding[2]::DOUBLE, 6) AS f2, round(embedding[3]::DOUBLE, 6) AS f3,
-        round(embedding[4]::DOUBLE, 6) AS f4, (label % 2)::DOUBLE AS f5,
+    "vector_columns": """SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS f1,
+        round(embedding[2]::DOUBLE, 6) + 0.0 AS f2, round(embedding[3]::DOUBLE, 6) + 0.0 AS f3,
+        round(embedding[4]::DOUBLE, 6) + 0.0 AS f4, (label % 2)::DOUBLE AS f5,
         (label % 3)::DOUBLE AS f6 FROM embeddings""",
 }

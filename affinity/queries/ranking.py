@@ -109,9 +109,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled samples with all three vectors."""
     return ranking.training_samples(
         stage(standins.training(spark, sf_dir), "labels"),
-        inputs.user_vectors(spark, sf_dir),
-        inputs.article_vectors(spark, sf_dir),
-        inputs.embeddings(spark, sf_dir),
+        stage(inputs.user_vectors(spark, sf_dir), "user-vectors"),
+        stage(inputs.article_vectors(spark, sf_dir), "article-vectors"),
+        stage(inputs.embeddings(spark, sf_dir), "embeddings"),
     )
 
 
@@ -121,7 +121,8 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
-    return ranking.fit_ranker(stage(ranking.merged_features(samples(spark, sf_dir)), "samples"))
+    merged = ranking.merged_features(samples(spark, sf_dir)).select("features", "label")
+    return ranking.fit_ranker(stage(merged, "samples"))
 
 
 def lr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

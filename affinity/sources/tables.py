@@ -32,35 +32,40 @@ def _cast(df: DataFrame, name: str, dtype) -> Column:
     return column.try_cast(dtype).alias(name)
 
 
+def _present(df: DataFrame, *ids: str) -> DataFrame:
+    for name in ids:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
 def scan_user_actions(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """Behaviour log: uid, aid, action, action_date (``yyyyMMdd``)."""
-    rows = typed(raw, schemas.USER_ACTIONS).dropna(subset=["uid", "aid"])
-    return _limited(rows, limit)
+    return _limited(_present(typed(raw, schemas.USER_ACTIONS), "uid", "aid"), limit)
 
 
 def scan_article_base(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """Article facts: character count, image count, type, days since publication."""
-    return _limited(typed(raw, schemas.ARTICLE_BASE).dropna(subset=["article_id"]), limit)
+    return _limited(_present(typed(raw, schemas.ARTICLE_BASE), "article_id"), limit)
 
 
 def scan_user_base(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """User profile: gender, age, email suffix."""
-    return _limited(typed(raw, schemas.USER_BASE).dropna(subset=["uid"]), limit)
+    return _limited(_present(typed(raw, schemas.USER_BASE), "uid"), limit)
 
 
 def scan_article_terms(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """Word vectors of the top terms of each article, without the missing ones."""
-    rows = raw.where(F.col("vector").isNotNull())
-    return _limited(typed(rows, schemas.ARTICLE_TERMS).dropna(subset=["article_id"]), limit)
+    rows = typed(_present(raw, "vector"), schemas.ARTICLE_TERMS)
+    return _limited(_present(rows, "article_id"), limit)
 
 
 def scan_training(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """Labelled (uid, aid) samples."""
-    return _limited(typed(raw, schemas.TRAINING).dropna(subset=["uid", "aid"]), limit)
+    return _limited(_present(typed(raw, schemas.TRAINING), "uid", "aid"), limit)
 
 
 def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -47,8 +47,8 @@ def test_hot_table_holds_only_split_keys(spark):
 def test_tasks_follow_the_work(spark):
     assert skew.tasks_for(spark, 0) == 1
     assert skew.tasks_for(spark, 250_000) == 3
-    assert skew.tasks_for(spark, 10**7) == spark.sparkContext.defaultParallelism
-    assert skew.tasks_for(spark, 10**10) == 500
+    assert skew.tasks_for(spark, 10**6) == spark.sparkContext.defaultParallelism
+    assert skew.tasks_for(spark, 10**10) == 2000
     assert skew.tasks_for(spark, 10**15) == skew.MOST_TASKS
 
 
