@@ -42,20 +42,25 @@ def action_weight(action: Column, weights: Mapping[str, float] = ACTION_WEIGHTS)
     return expr.otherwise(F.lit(0.0)).cast("float")
 
 
-def time_weight(date_text: Column, as_of: dt.date, aging_days: int = AGING_DAYS) -> Column:
-    """Float freshness weight in (0, 1); 0 for an unreadable date.
+def freshness(days: Column, aging_days: int = AGING_DAYS) -> Column:
+    """Float weight in (0, 1) of an action some days old; 0 for a null age.
 
-    The remaining life is ``aging_days - age``, and 1 once it is negative, fed
+    The remaining life is ``aging_days - days``, and 1 once it is negative, fed
     to a logistic curve. It is not monotone: the last fresh day (life 0) weighs
     less than every older day (life 1).
     """
-    life = F.lit(aging_days) - days_since(date_text, as_of)
+    life = F.lit(aging_days) - days
     life = F.when(life < 0, F.lit(1)).otherwise(life)
     x = (life - F.lit(DECAY_CENTRE)).cast("double") * F.lit(DECAY_SLOPE)
     weight = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.0) - x))
     return F.coalesce(weight.cast("float"), F.lit(0.0).cast("float"))
 
 
+def time_weight(date_text: Column, as_of: dt.date, aging_days: int = AGING_DAYS) -> Column:
+    """:func:`freshness` of a ``yyyyMMdd`` text; 0 for an unreadable date."""
+    return freshness(days_since(date_text, as_of), aging_days)
+
+
 def action_rating(
     action: Column,
     date_text: Column,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from affinity.operators.itemcf import drop_seen
 from affinity.plans.prefix import dense_index
+from affinity.plans.skew import tasks_for
 from affinity.plans.staging import shared_dir, stage
 
 INT_MAX = 2**31 - 1
@@ -19,6 +20,10 @@ RANK = 16
 MAX_ITER = 6
 REG = 0.01
 
+# Every user block exchanges with every item block, so blocks stay large and few.
+RATINGS_PER_BLOCK = 1_000_000
+MOST_BLOCKS = 4000
+
 
 class AlsRecall(NamedTuple):
     """A fitted model, with the id numbering when ids do not fit the solver's ints."""
@@ -58,10 +63,11 @@ def fit_als(
 ) -> AlsRecall:
     """Non-negative implicit-feedback factors. Pass staged ratings.
 
-    ``blocks`` cuts each factor matrix; it defaults to the cluster's parallelism.
+    ``blocks`` cuts each factor matrix; by default their number follows the ratings.
     """
-    context = training.sparkSession.sparkContext
-    blocks = blocks or max(10, context.defaultParallelism)
+    spark = training.sparkSession
+    if blocks is None:
+        blocks = min(MOST_BLOCKS, tasks_for(spark, training.count(), RATINGS_PER_BLOCK))
     solver = ALS(
         userCol="user",
         itemCol="item",
@@ -77,7 +83,7 @@ def fit_als(
         seed=seed,
     )
     if max_iter > solver.getCheckpointInterval():
-        shared_dir(training.sparkSession)
+        shared_dir(spark)
     maps = AlsRecall(None, _numbering(training, "uid", "user"), _numbering(training, "aid", "item"))
     return maps._replace(model=solver.fit(_encoded(training, maps)))
 

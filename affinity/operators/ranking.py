@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +11,14 @@ from pyspark.sql import functions as F
 
 from affinity.functions.vectors import merge_features
 from affinity.operators.candidates import WIDE_PER_TASK, article_side
-from affinity.plans.skew import split_join
+from affinity.plans.skew import MOST_TASKS, split_join
 from affinity.sources import schemas
 
 INTERCEPT = "(intercept)"
 
+# Vector slots per partition of the training set, 64 MB as doubles.
+VALUES_PER_PARTITION = 8_000_000
+
 # Model terms kept inside the scoring expression; more are joined as a table.
 MAX_INLINE_TERMS = 5000
 
@@ -60,19 +65,28 @@ def merged_features(samples: DataFrame) -> DataFrame:
     return samples.withColumn("features", merge_features(*[F.col(name) for name in order]))
 
 
+def _even(samples: DataFrame, features: str) -> DataFrame:
+    """Samples in as many partitions as their vectors fill, since each step runs over all."""
+    first = samples.select(F.size(features)).first()
+    if first is None:
+        return samples
+    wanted = math.ceil(samples.count() * max(1, first[0]) / VALUES_PER_PARTITION)
+    wanted = min(MOST_TASKS, max(1, wanted))
+    if wanted > samples.rdd.getNumPartitions():
+        return samples.repartition(wanted)
+    return samples.coalesce(wanted)
+
+
 def fit_ranker(
     samples: DataFrame, features: str = "features", label: str = "label",
     max_iter: int = 100, reg: float = 0.0, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
     """Logistic regression with intercept on standardised features.
 
-    Pass staged samples; the solver keeps them as blocks and makes one pass per
-    step, so few large files are spread over all cores first.
+    Pass staged samples; the solver keeps them as blocks in memory and makes one
+    pass per step.
     """
-    cores = samples.sparkSession.sparkContext.defaultParallelism
-    if samples.rdd.getNumPartitions() < cores:
-        samples = samples.repartition(cores)
-    vectors = samples.select(
+    vectors = _even(samples, features).select(
         array_to_vector(features).alias("vector"), F.col(label).cast("double").alias("label")
     )
     return LogisticRegression(

@@ -8,7 +8,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.functions.rating import ACTION_WEIGHTS, AGING_DAYS, action_rating
+from affinity.functions.rating import (
+    ACTION_WEIGHTS,
+    AGING_DAYS,
+    action_weight,
+    days_since,
+    freshness,
+)
 
 
 def rate_actions(
@@ -17,9 +23,13 @@ def rate_actions(
     weights: Mapping[str, float] = ACTION_WEIGHTS,
     aging_days: int = AGING_DAYS,
 ) -> DataFrame:
-    """The log with a ``rating`` per action."""
-    rating = action_rating(F.col("action"), F.col("action_date"), as_of, weights, aging_days)
-    return actions.select("uid", "aid", "action", "action_date", rating.alias("rating"))
+    """The log with a ``rating`` per action.
+
+    The age is a column of its own, so that each date is parsed once.
+    """
+    aged = actions.withColumn("days", days_since(F.col("action_date"), as_of))
+    rating = action_weight(F.col("action"), weights) * freshness(F.col("days"), aging_days)
+    return aged.select("uid", "aid", "action", "action_date", rating.alias("rating"))
 
 
 def user_item_ratings(

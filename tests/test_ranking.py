@@ -144,3 +144,12 @@ def test_auc_of_one_class_is_null(spark):
 def test_rmse(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 1.0)], "rating double, pred_rating double")
     assert evaluate.rmse(df).first().rmse == pytest.approx(math.sqrt(2.5))
+
+
+@pytest.mark.parametrize("values, parts", [(8_000_000, 1), (300, 3), (10, 90)])
+def test_training_partitions_follow_the_vectors(spark, monkeypatch, values, parts):
+    monkeypatch.setattr(ranking, "VALUES_PER_PARTITION", values)
+    samples, _ = fitted(spark)
+    assert ranking._even(samples, "features").rdd.getNumPartitions() == parts
+    assert ranking._even(samples, "features").count() == 300
+    assert ranking._even(samples.limit(0), "features").count() == 0
