@@ -63,7 +63,7 @@ def long_prefixes(docs: DataFrame, window: int, group_size: int) -> dict[int, np
     for depth, shorter in zip(depths(window), [None, *depths(window)]):
 
         def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches(stream, 10_000):
+            for batch in batches(stream, 1500):
                 words = split_words(batch.column("text"))
                 starts = np.flatnonzero(words.left >= window)
                 runs = Runs(words.hashes)
