@@ -1,5 +1,5 @@
 """All queries of the subpackage with the SQL that checks them."""
 
-from affinity.llm import substring_dedup
+from affinity.llm import ctw, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (substring_dedup, ctw)
