@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from affinity.llm.common import batches, flat, read
 
 MARK = "▁"
+# Distinct chunks whose ids a task keeps for later batches; only speed depends on it.
+REMEMBERED = 400_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -194,7 +196,7 @@ class Matcher:
             high = np.where(none, low, high)
             whole = full & whole[:, 1::2]
             step *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(rank)
         starts = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=int(rank.max()) + 1 if n else 0))])
         low, high = starts[low[:, 0]], starts[np.maximum(high[:, 0], low[:, 0])]
         counts = high - low
@@ -223,7 +225,7 @@ class Matcher:
         ends = np.concatenate([position + self.lengths[piece], where + 1])
         piece = np.concatenate([piece, single[where]])
         size = np.append(self.lengths, 1)
-        order = np.argsort((ends << 6) - np.minimum(size[piece], 63), kind="stable")
+        order = np.argsort((ends << 6) - np.minimum(size[piece], 63))
         ends, piece = ends[order], piece[order]
         edge_at = np.searchsorted(ends, np.arange(n + 2))
         last = np.full(n + 2, -1, np.int64)
@@ -265,6 +267,8 @@ class Codec:
         self.v = vocabulary
         self.matcher = Matcher(vocabulary)
         self.decoded = pa.array(vocabulary.decoded, pa.large_binary())
+        self.known: dict[str, int] = {}
+        self.lists = pa.array([], pa.large_list(pa.int32()))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -275,7 +279,25 @@ class Codec:
             parts.extend(chunks)
             counts.append(len(chunks))
         names = pa.array(parts, pa.large_string()).dictionary_encode()
-        pieces, chars, sizes = self.matcher.segment(names.dictionary)
+        used = self._ids_of(names.dictionary).take(names.indices)
+        per_chunk = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(used)).astype(np.int64))])
+        text_ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return used.flatten().to_numpy(), np.diff(per_chunk[text_ends])
+
+    def _ids_of(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each of some distinct chunks; those met lately are looked up."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.lists = {}, self.lists[:0]
+        names = chunks.to_pylist()
+        fresh = [name for name in names if name not in self.known]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        if fresh:
+            self.lists = pa.concat_arrays([self.lists, self._match(pa.array(fresh, pa.large_string()))])
+        return self.lists.take(pa.array([self.known[name] for name in names], pa.int64()))
+
+    def _match(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk."""
+        pieces, chars, sizes = self.matcher.segment(chunks)
         ids = np.append(self.v.ids, self.v.unknown)[pieces]
         lost = np.flatnonzero(pieces == len(self.v.ids))
         if len(lost) and self.v.has_bytes:
@@ -288,11 +310,7 @@ class Codec:
             ids[is_lost] = self.v.bytes[np.frombuffer(b"".join(raw), np.uint8)]
             sizes = np.bincount(owner, width, len(sizes)).astype(np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]))
-        lists = pa.LargeListArray.from_arrays(offsets, pa.array(ids))
-        used = lists.take(names.indices)
-        per_chunk = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(used)).astype(np.int64))])
-        text_ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return used.flatten().to_numpy(), np.diff(per_chunk[text_ends])
+        return pa.LargeListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of every run of ids; bytes that are no UTF-8 become U+FFFD."""
