@@ -173,3 +173,15 @@ def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int
     width = shuffle_width(docs.sparkSession, size)
     rows = docs.select(number(F.col("doc_id").cast("long")).alias("chunk"), F.struct("*").alias("row"))
     return rows.repartition(width, "chunk"), size
+
+
+def ordered(table: pa.Table) -> pa.Table:
+    """Rows of a chunk in the order of doc_id (null first), then text."""
+    row = table.column("row")
+    keys = pa.table({
+        "doc_id": pc.struct_field(row, "doc_id"),
+        "text": pc.struct_field(row, "text"),
+        "rank": pa.array(np.arange(table.num_rows)),
+    })
+    by = [(name, "ascending") for name in keys.column_names]
+    return table.take(pc.sort_indices(keys, sort_keys=by, null_placement="at_start"))

@@ -1,5 +1,5 @@
 """All queries of the subpackage with the SQL that checks them."""
 
-from affinity.llm import ctw, sentencepiece_codec, substring_dedup
+from affinity.llm import ctw, sentencepiece_codec, substring_dedup, syncmers
 
-MODULES = (sentencepiece_codec, substring_dedup, ctw)
+MODULES = (sentencepiece_codec, substring_dedup, ctw, syncmers)
