@@ -6,6 +6,7 @@ text, a run of words by a polynomial over those hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from affinity.plans import staging
 
+_MARKS = re.compile(r"[\W_]+")
 SPACES = r"[\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -86,8 +88,12 @@ def flat(array) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
 
 
-def split_words(texts, lower: bool = False) -> Words:
-    """The words of an Arrow column of texts (null: none)."""
+def split_words(texts, lower: bool = False, fold: bool = False) -> Words:
+    """The words of an Arrow column of texts (null: none).
+
+    ``fold`` hashes words in lower case without punctuation and leaves out those that have
+    nothing else.
+    """
     texts = pc.ascii_trim_whitespace(pc.fill_null(flat(texts).cast(pa.large_string()), ""))
     if lower:
         texts = pc.ascii_lower(texts)
@@ -100,6 +106,12 @@ def split_words(texts, lower: bool = False) -> Words:
         counts = np.where(blank, 0, counts)
     codes = flat_words.dictionary_encode()
     names = codes.dictionary.to_numpy(zero_copy_only=False)
+    if fold and len(names):
+        names = np.array([_MARKS.sub("", name.lower()) for name in names], object)
+        used = (names != "")[np.asarray(codes.indices)]
+        if not used.all():
+            flat_words, codes = flat_words.filter(pa.array(used)), codes.filter(pa.array(used))
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[used], minlength=len(counts))
     known = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, np.uint64)
     return Words(flat_words, known[np.asarray(codes.indices)], counts)
 

@@ -30,6 +30,7 @@ MOST_CONTEXTS = 1_500_000
 END = 0x0A
 _END_TOKEN = np.uint64(0x0A0A0A0A0A0A0A0A)
 _EIGHT = np.uint64(8)
+_BLOCK = 1 << 19
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,6 +144,10 @@ class Tree:
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each code's byte after its context."""
+        parts = [self._known(codes[at : at + _BLOCK]) for at in range(0, len(codes), _BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _known(self, codes: np.ndarray) -> np.ndarray:
         values, inverse = np.unique(codes, return_inverse=True)
         logs = np.empty(len(values))
         at = np.minimum(np.searchsorted(self.codes, values), max(0, len(self.codes) - 1))
@@ -188,7 +193,8 @@ def train(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
 
 
 def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(row, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+    """(row, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``;
+    ``row`` has all its columns but the text.
 
     Learns from the rows that are not :func:`held_out`. Null and blank texts have the end
     token only. Word counts are exact: every chunk of documents sends its distinct words to
@@ -197,7 +203,8 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
     spark = docs.sparkSession
     tree = train(docs.filter(~held_out(F.col("doc_id"))), depth, most_contexts)
     shared = spark.sparkContext.broadcast(tree)
-    marked = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("out"), F.struct("*").alias("all"))
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("all")
+    marked = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("out"), rest)
     rows, size = chunked(marked)
     groups = max(1, -(-size // (16 << 20)))
 
@@ -268,7 +275,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         .groupBy("part")
         .applyInArrow(total, "part long, chunk long, totals binary, types long")
     )
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    kind = docs.select(rest).schema["all"].dataType.simpleString()
     schema = f"row {kind}, n_tokens long, n_known long, base double, score double, types long, learned long"
     scored = stage(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema), "scored")
     types, learned = scored.agg(F.sum("types"), F.sum("learned")).first()

@@ -1,5 +1,12 @@
 """All queries of the subpackage with the SQL that checks them."""
 
-from affinity.llm import ctw, sentencepiece_codec, substring_dedup, syncmers
+from affinity.llm import (
+    ctw,
+    gam_quality,
+    icws_dedup,
+    sentencepiece_codec,
+    substring_dedup,
+    syncmers,
+)
 
-MODULES = (sentencepiece_codec, substring_dedup, ctw, syncmers)
+MODULES = (sentencepiece_codec, substring_dedup, ctw, syncmers, icws_dedup, gam_quality)
