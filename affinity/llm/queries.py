@@ -2,6 +2,7 @@
 
 from affinity.llm import (
     ctw,
+    decision_list,
     gam_quality,
     icws_dedup,
     sentencepiece_codec,
@@ -9,4 +10,4 @@ from affinity.llm import (
     syncmers,
 )
 
-MODULES = (sentencepiece_codec, substring_dedup, ctw, syncmers, icws_dedup, gam_quality)
+MODULES = (sentencepiece_codec, decision_list, substring_dedup, ctw, syncmers, icws_dedup, gam_quality)
