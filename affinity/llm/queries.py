@@ -4,10 +4,24 @@ from affinity.llm import (
     ctw,
     decision_list,
     gam_quality,
+    html_wrappers,
     icws_dedup,
+    mixing,
     sentencepiece_codec,
     substring_dedup,
     syncmers,
+    url_filters,
 )
 
-MODULES = (sentencepiece_codec, decision_list, substring_dedup, ctw, syncmers, icws_dedup, gam_quality)
+MODULES = (
+    sentencepiece_codec,
+    decision_list,
+    html_wrappers,
+    substring_dedup,
+    ctw,
+    syncmers,
+    icws_dedup,
+    gam_quality,
+    mixing,
+    url_filters,
+)
