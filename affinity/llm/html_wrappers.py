@@ -55,7 +55,7 @@ ENDS = {
 BOILERPLATE = re.compile(
     r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead"
     r"|cookies?|consent|notices?|popup|modal|newsletter|subscri\w*|signup|comments?|disqus|respond|repl(?:y|ies)"
-    r"|shar(?:e|ing)|social|related|recommend\w*|widget|toolbar|login|search|copyright)(?:$|[\s_\-])",
+    r"|shar(?:e|ing)|social|related|suggest\w*|widget|toolbar|login|search|copyright)(?:$|[\s_\-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())

@@ -275,10 +275,15 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their class; of equal rows one."""
     classes, _ = near_classes(docs)
-    leads = classes.filter(F.coalesce("doc_id", "node") == F.col("class_id")).select("doc_id", "digest").distinct()
-    marked = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = marked["_digest"].eqNullSafe(leads["digest"]) & marked["doc_id"].eqNullSafe(leads["doc_id"])
-    return marked.join(leads, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    leads = classes.filter(F.coalesce("doc_id", "node") == F.col("class_id"))
+    leads = leads.select(F.col("doc_id").alias("lead"), F.col("digest").alias("lead_digest")).distinct()
+    marked = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+    )
+    same = (F.col("digest") == F.col("lead_digest")) & F.col("id").eqNullSafe(F.col("lead"))
+    return marked.join(leads, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op7_icws_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,22 +164,24 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     follows the text. Equal rows take what the first of them takes.
     """
     plan = allocate(docs).groupBy("doc_id", "digest").agg(F.min(F.struct("passes", "parts")).alias("plan"))
-    marked = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    plan = plan.select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_plan_digest"), "plan")
-    same = marked["doc_id"].eqNullSafe(plan["_doc_id"]) & (marked["_digest"] == plan["_plan_digest"])
-    own = words(F.col("text"))
-    part = F.array_join(
-        F.flatten(F.transform("plan.parts", lambda p: F.slice("_words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " "
+    marked = docs.select(
+        F.struct("*").alias("row"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own_digest")
     )
-    whole = F.array_repeat(F.col("text"), F.col("plan.passes").cast("int"))
-    rest = F.when(F.size("plan.parts") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest"))
+    run = F.transform(
+        "plan.parts",
+        lambda p: F.slice("words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")),
+    )
+    in_part = F.size("plan.parts") > 0
+    whole = F.array_repeat(F.col("row.text"), F.col("plan.passes").cast("int"))
+    rest = F.when(in_part, F.array(F.array_join(F.flatten(run), " "))).otherwise(F.array().cast("array<string>"))
     texts = (
         marked.join(plan, same)
-        .withColumn("_words", F.when(F.size("plan.parts") > 0, own))
-        .withColumn("_text", F.explode(F.concat(whole, rest)))
+        .withColumn("words", F.when(in_part, words(F.col("row.text"))))
+        .select("row", F.explode(F.concat(whole, rest)).alias("text"))
     )
-    out = [F.col("_text").alias("text") if c == "text" else F.char_length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return texts.select(*out)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return texts.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def op9_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, read, split_words
+from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, ordered, read, split_words
 
 WINDOW = 20
 GROUP_SIZE = 1_000_000
@@ -88,20 +88,6 @@ def long_prefixes(docs: DataFrame, window: int, group_size: int) -> dict[int, np
     return frequent
 
 
-def _ordered(table: pa.Table) -> pa.Table:
-    """Rows of a chunk in the order of doc_id (null first), then text."""
-    row = pc.struct_field
-    keys = pa.table({
-        "doc_id": row(table.column("row"), "doc_id"),
-        "text": row(table.column("row"), "text"),
-        "rank": pa.array(np.arange(table.num_rows)),
-    })
-    order = pc.sort_indices(
-        keys, sort_keys=[("doc_id", "ascending"), ("text", "ascending"), ("rank", "ascending")], null_placement="at_start"
-    )
-    return table.take(order)
-
-
 def _group(prefix: np.ndarray, groups: int) -> np.ndarray:
     return (mix(prefix) % np.uint64(groups)).astype(np.int64)
 
@@ -112,7 +98,7 @@ def first_leaves(rows: DataFrame, window: int, frequent: dict[int, np.ndarray])
         return {}
 
     def first(key, table):
-        words = split_words(pc.struct_field(_ordered(table).column("row"), "text"))
+        words = split_words(pc.struct_field(ordered(table).column("row"), "text"))
         starts, prefix, whole, _ = prefixes(words, window, frequent)
         values, at = np.unique(prefix[whole], return_index=True)
         return pa.table({
@@ -159,7 +145,7 @@ def remove_repeats(
     groups = max(1, -(-size // (6 * group_size)) * 2)
 
     def deal(key, table):
-        words = split_words(pc.struct_field(_ordered(table).column("row"), "text"))
+        words = split_words(pc.struct_field(ordered(table).column("row"), "text"))
         starts, prefix, whole, runs = prefixes(words, window, frequent)
         group = _group(prefix, groups)
         use = np.flatnonzero(~whole)
@@ -189,7 +175,7 @@ def remove_repeats(
     row_type = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
 
     def cut(key, left, right):
-        table = _ordered(left)
+        table = ordered(left)
         words = split_words(pc.struct_field(table.column("row"), "text"))
         starts, prefix, whole, _ = prefixes(words, window, frequent)
         group = _group(prefix, groups)

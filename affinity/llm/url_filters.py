@@ -69,24 +69,19 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every row of ``captures`` (url, fetched, ...) with ``blocked``, ``pattern`` and ``listed``.
 
     A capture without host or day, or that no entry was active for, is not blocked and has a
-    null pattern. Repeated captures each keep their row.
+    null pattern. Repeated captures each keep their row. Columns of ``captures`` that are
+    named as a result are replaced by it.
     """
-    lines = timelines(captures.select(host_of(F.col("url")).alias("host")), entries).select(
-        F.col("host").alias("_host"), F.col("since").alias("_since"), F.col("until").alias("_until"),
-        F.col("action").alias("_action"), F.col("pattern").alias("_pattern"), F.col("listed").alias("_listed"),
-    )
-    own = [F.col(c) for c in captures.columns]
-    rows = captures.withColumn("_own", host_of(F.col("url")))
+    lines = timelines(captures.select(host_of(F.col("url")).alias("host")), entries)
+    rest = [c for c in captures.columns if c not in ("blocked", "pattern", "listed")]
+    rows = captures.select(F.struct(*rest).alias("row"), host_of(F.col("url")).alias("own"), F.col("fetched").alias("day"))
     active = (
-        (F.col("_own") == F.col("_host"))
-        & (F.col("fetched") >= F.col("_since"))
-        & (F.col("_until").isNull() | (F.col("fetched") < F.col("_until")))
+        (F.col("own") == F.col("host"))
+        & (F.col("day") >= F.col("since"))
+        & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     )
     return rows.join(lines, active, "left").select(
-        *own,
-        F.coalesce(F.col("_action") == "block", F.lit(False)).alias("blocked"),
-        F.col("_pattern").alias("pattern"),
-        F.col("_listed").alias("listed"),
+        "row.*", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"), "pattern", "listed"
     )
 
 
