@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from affinity.plans import staging
 
@@ -41,6 +42,13 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda word: word != "")
 
 
+def typed(before: str = "", after: str = "", **fields: DataType) -> StructType:
+    """A schema of the columns ``before``, then ``fields`` with their own types, then ``after``."""
+    own = [StructField(name, kind) for name, kind in fields.items()]
+    ends = [StructType.fromDDL(part).fields if part else [] for part in (before, after)]
+    return StructType([*ends[0], *own, *ends[1]])
+
+
 def shuffle_width(spark: SparkSession, size: int, per_task: int = 8 << 20) -> int:
     """Partitions for ``size`` bytes, and never fewer than the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import batches, by_hash, chunked, mix, read, split_words, stage
+from affinity.llm.common import batches, by_hash, chunked, mix, read, split_words, stage, typed
 
 DEPTH = 5
 MOST_CONTEXTS = 1_500_000
@@ -275,8 +275,9 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         .groupBy("part")
         .applyInArrow(total, "part long, chunk long, totals binary, types long")
     )
-    kind = docs.select(rest).schema["all"].dataType.simpleString()
-    schema = f"row {kind}, n_tokens long, n_known long, base double, score double, types long, learned long"
+    kind = docs.select(rest).schema["all"].dataType
+    counts = "n_tokens long, n_known long, base double, score double, types long, learned long"
+    schema = typed(row=kind, after=counts)
     scored = stage(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema), "scored")
     types, learned = scored.agg(F.sum("types"), F.sum("learned")).first()
     types, learned = types or 0, learned or 0

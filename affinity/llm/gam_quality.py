@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import Runs, batches, read, split_words, stage
+from affinity.llm.common import Runs, batches, read, split_words, stage, typed
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "repeated_runs", "dup_lines", "words_per_line",
@@ -222,7 +222,7 @@ def held_out(doc_id: Column) -> Column:
 def with_features(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` as ``row``, with the array ``x`` of features."""
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = rows.schema["row"].dataType
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 1000):
@@ -230,7 +230,7 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
             offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
             yield pa.record_batch([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["row", "x"])
 
-    return rows.mapInArrow(run, f"row {kind}, x array<double>")
+    return rows.mapInArrow(run, typed(row=kind, after="x array<double>"))
 
 
 def train(features_of: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -251,14 +251,14 @@ def train(features_of: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
 def scored(features_of: DataFrame, model: Model) -> DataFrame:
     """``row`` with its ``score`` and ``predicted`` (1 from :data:`THRESHOLD` on)."""
     shared = features_of.sparkSession.sparkContext.broadcast(model)
-    kind = features_of.schema["row"].dataType.simpleString()
+    kind = features_of.schema["row"].dataType
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.record_batch([batch.column("row"), pa.array(shared.value.score(x))], ["row", "score"])
 
-    scores = features_of.mapInArrow(run, f"row {kind}, score double")
+    scores = features_of.mapInArrow(run, typed(row=kind, after="score double"))
     return scores.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

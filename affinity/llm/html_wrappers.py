@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import batches, read
+from affinity.llm.common import batches, read, typed
 
 PARTS = 32
 LONGEST_GROUP = 12
@@ -338,7 +338,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     rest = F.struct(*[c for c in pages.columns if c != "html"]).alias("row")
     rows = pages.select(host.alias("host"), rest, "html")
-    kind = rows.schema["row"].dataType.simpleString()
+    kind = rows.schema["row"].dataType
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 500):
@@ -354,7 +354,7 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     joined = rows.join(wrappers(rows), "host", "left")
-    return joined.mapInArrow(run, f"row {kind}, host string, wrapper string, text string")
+    return joined.mapInArrow(run, typed(row=kind, after="host string, wrapper string, text string"))
 
 
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

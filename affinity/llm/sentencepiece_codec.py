@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import batches, flat, read
+from affinity.llm.common import batches, flat, read, typed
 
 MARK = "▁"
 # Distinct chunks whose ids a task keeps for later batches; only speed depends on it.
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     further columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
@@ -344,13 +344,13 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
             yield pa.record_batch([batch.column("row"), lists, pa.array(same, pa.bool_())], ["row", "ids", "round_trip"])
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, f"row {kind}, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(run, typed(row=kind, after="ids array<int>, round_trip boolean"))
 
 
 def decode(tokens: DataFrame, model_file: str = MODEL) -> DataFrame:
     """Each row of ``tokens`` as ``row``, with ``text``, decoded from its column ``ids``."""
     shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
-    kind = tokens.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    kind = tokens.select(F.struct("*").alias("row")).schema["row"].dataType
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
@@ -360,7 +360,7 @@ def decode(tokens: DataFrame, model_file: str = MODEL) -> DataFrame:
             texts = codec.decode(flat(lists).flatten().to_numpy(), counts)
             yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return tokens.select(F.struct("*").alias("row")).mapInArrow(run, f"row {kind}, text string")
+    return tokens.select(F.struct("*").alias("row")).mapInArrow(run, typed(row=kind, after="text string"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

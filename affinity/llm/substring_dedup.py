@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, ordered, read, split_words
+from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, ordered, read, split_words, typed
 
 WINDOW = 20
 GROUP_SIZE = 1_000_000
@@ -172,7 +172,7 @@ def remove_repeats(
         bits = [np.packbits(part).tobytes() for part in np.split(marks, ends[:-1])]
         return table.select(["tree", "chunk"]).append_column("marks", pa.array(bits, pa.binary()))
 
-    row_type = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    row_type = docs.select(F.struct("*").alias("row")).schema["row"].dataType
 
     def cut(key, left, right):
         table = ordered(left)
@@ -211,7 +211,7 @@ def remove_repeats(
 
     trees = rows.groupBy("chunk").applyInArrow(deal, "tree long, chunk long, labels binary")
     marks = trees.groupBy("tree").applyInArrow(repeated, "tree long, chunk long, marks binary")
-    schema = f"row {row_type}, n_words long, n_removed long, kept string, repeats array<array<long>>"
+    schema = typed(row=row_type, after="n_words long, n_removed long, kept string, repeats array<array<long>>")
     return rows.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(cut, schema)
 
 

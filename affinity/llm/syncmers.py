@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import chunked, mix, ordered, read
+from affinity.llm.common import chunked, mix, ordered, read, typed
 
 K, S, SIZE = 16, 5, 48
 SLACK = 64
@@ -172,7 +172,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     comes last, a null text counts as empty, a single row is its own next.
     """
     rows, _ = chunked(docs)
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType
 
     def texts(table):
         return pc.fill_null(pc.struct_field(table.column("row"), "text"), "").to_pylist()
@@ -199,8 +199,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             columns = _compare(own, batch.column("last").to_pylist())
             yield pa.record_batch([row, *columns.values()], ["row", *columns])
 
-    schema = f"row {kind}, {_SCHEMA}"
-    ends = rows.groupBy("chunk").applyInArrow(edges, f"chunk long, row {kind}, last string")
+    schema = typed(row=kind, after=_SCHEMA)
+    ends = rows.groupBy("chunk").applyInArrow(edges, typed("chunk long", "last string", row=kind))
     # One number for each chunk; the first chunk follows on from the last.
     chunks = rows.select("chunk").distinct()
     order = Window.orderBy("chunk")

@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from affinity.llm import ctw
+from affinity.llm.common import by_hash, split_words
+
+DEPTH = 2
+
+
+def tokens(text):
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    return [w.translate(low) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def brute_force(training, texts):
+    """log10 probabilities from the definition, node by node."""
+
+    def bits(text):
+        data = b"\n" * DEPTH + " ".join(tokens(text)).encode() + b"\n"
+        for at in range(DEPTH, len(data)):
+            for bit in range(8):
+                yield data[at - DEPTH : at], 1 << bit | data[at] >> (8 - bit), data[at] >> (7 - bit) & 1
+
+    counts, longer = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for text in training:
+        for context, prefix, one in bits(text):
+            for depth in range(DEPTH + 1):
+                counts[context[DEPTH - depth :], prefix][one] += 1
+    for context, prefix in list(counts):
+        if context:
+            longer[context[1:], prefix].add(context)
+
+    def block(a, b):
+        terms = [math.log((i + 0.5) / (i + 1)) for i in range(a)]
+        return sum(terms + [math.log((i + 0.5) / (a + i + 1)) for i in range(b)])
+
+    def weighted(context, prefix):
+        own = block(*counts[context, prefix])
+        if len(context) == DEPTH:
+            return own
+        split = sum(weighted(c, prefix) for c in longer[context, prefix])
+        return np.logaddexp(own, split) - math.log(2)
+
+    def predict(context, prefix, depth=0):
+        if (b"", prefix) not in counts:
+            return 0.5
+        here = context[DEPTH - depth :]
+        a, b = counts[here, prefix]
+        own = (b + 0.5) / (a + b + 1)
+        if depth == DEPTH or (context[DEPTH - depth - 1 :], prefix) not in counts:
+            return own
+        weight = math.exp(block(a, b) - math.log(2) - weighted(here, prefix))
+        return weight * own + (1 - weight) * predict(context, prefix, depth + 1)
+
+    return [
+        sum(math.log10(p if one else 1 - p) for c, k, one in bits(t) for p in [predict(c, k)]) for t in texts
+    ]
+
+
+def tree_of(training):
+    codes, n = by_hash(ctw.encode(split_words(pa.array(training), lower=True), DEPTH)[0])
+    levels = []
+    for depth in range(DEPTH + 1):
+        short, at = np.unique(codes & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        levels.append((short, np.bincount(at, n).astype(np.int64)))
+    return ctw.Tree(levels)
+
+
+def test_tree_equals_the_definition():
+    training, other = ["ab ab ba", "Abc  cab", "", None, "aab"], ["abca", "zz ab", "é"]
+    tree = tree_of(training)
+    got = [tree.log10(ctw.encode(split_words(pa.array([t])), DEPTH)[0]).sum() for t in ["ab", *other]]
+    assert got == pytest.approx(brute_force(training, ["ab", *other]), rel=1e-5)
+
+
+def test_probabilities_of_the_next_byte_add_to_one():
+    tree = tree_of(["ab ab ba", "abc cab"])
+    for context in (b"ab", b"zz", b" a"):
+        codes = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], np.uint64)
+        assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_scores_and_base_counts(spark, documents, odd_rows):
+    rows = odd_rows + [(i, f"The word{i % 3} and more word{i % 5}", "s") for i in range(20, 60)]
+    got = ctw.score(documents(rows), depth=DEPTH).select(
+        "row.doc_id", "row.chunk", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    ).collect()
+    assert len(got) == len(rows)
+    train = [t for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in [*tokens(t), "\n"])
+    total, kinds = sum(counts.values()), len(counts)
+    expected = []
+    for (i, text, _), score in zip(rows, brute_force(train, [r[1] for r in rows])):
+        words = [*tokens(text), "\n"]
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in words)
+        expected.append((i or -1, len(words), sum(counts[w] > 0 for w in words), total, base, score))
+    got = sorted((r["doc_id"] or -1, *tuple(r)[2:]) for r in got)
+    for a, b in zip(got, sorted(expected)):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-4)
+
+
+def test_a_bound_on_contexts_keeps_probabilities_proper(spark, documents):
+    rows = [(i, "ab" * (i % 7) + " cd" * (i % 5) + f" {i}", "s") for i in range(40)]
+    tree = ctw.train(documents(rows), depth=DEPTH, most_contexts=12)
+    codes = np.array([ord("a") << 16 | ord("b") << 8 | b for b in range(256)], np.uint64)
+    assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_empty_table(spark, documents):
+    assert ctw.score(documents([]), depth=DEPTH).count() == 0
