@@ -13,8 +13,6 @@ from affinity.plans.prefix import dense_index
 from affinity.plans.skew import tasks_for
 from affinity.plans.staging import shared_dir, stage
 
-INT_MAX = 2**31 - 1
-
 # Solver settings.
 RANK = 16
 MAX_ITER = 6
@@ -26,30 +24,24 @@ MOST_BLOCKS = 4000
 
 
 class AlsRecall(NamedTuple):
-    """A fitted model, with the id numbering when ids do not fit the solver's ints."""
+    """A fitted model with the numbering of its users (uid, user) and items (aid, item)."""
 
     model: ALSModel
-    users: DataFrame | None = None
-    items: DataFrame | None = None
+    users: DataFrame
+    items: DataFrame
 
 
-def _numbering(ratings: DataFrame, column: str, name: str) -> DataFrame | None:
-    low, high = ratings.agg(F.min(column), F.max(column)).first()
-    if low is None or (-INT_MAX <= low and high <= INT_MAX):
-        return None
-    return stage(dense_index(ratings, column, name), name)
+def _numbering(ratings: DataFrame, column: str, name: str) -> DataFrame:
+    """Every id with the solver's int for it, whatever the id's size."""
+    numbered = dense_index(ratings, column, name)
+    return stage(numbered.withColumn(name, F.col(name).cast("int")), name)
 
 
 def _encoded(rows: DataFrame, recall: AlsRecall) -> DataFrame:
     """Rows with the solver's ``user`` and ``item`` numbers; unknown ids drop out."""
-    for column, name, numbers in (("uid", "user", recall.users), ("aid", "item", recall.items)):
-        if column not in rows.columns:
-            continue
-        if numbers is None:
-            rows = rows.where(F.col(column).between(-INT_MAX, INT_MAX))
-            rows = rows.withColumn(name, F.col(column).cast("int"))
-        else:
-            rows = rows.join(numbers.withColumn(name, F.col(name).cast("int")), column)
+    for column, numbers in (("uid", recall.users), ("aid", recall.items)):
+        if column in rows.columns:
+            rows = rows.join(numbers, column)
     return rows
 
 
@@ -114,20 +106,33 @@ def _decoded(recall: AlsRecall, nested: DataFrame) -> DataFrame:
         ("uid", "uid", "user", recall.users),
         ("pred_aid", "aid", "item", recall.items),
     ):
-        if numbers is not None:
-            back = numbers.select(F.col(name).alias(column), F.col(key).alias("_id"))
-            rows = rows.join(back, column).withColumn(column, F.col("_id")).drop("_id")
+        back = numbers.select(F.col(name).alias(column), F.col(key).alias("_id"))
+        rows = rows.join(back, column).withColumn(column, F.col("_id")).drop("_id")
     return rows.select(
         F.col("uid").cast("bigint"), F.col("pred_aid").cast("bigint"), "pred_rating"
     )
 
 
-def recommend_all(recall: AlsRecall, k: int) -> DataFrame:
+def factors(recall: AlsRecall) -> DataFrame:
+    """(side, id, slot, value) of every user and item factor, by their own ids."""
+    sides = [
+        table.withColumnRenamed("id", name)
+        .join(numbers, name)
+        .select(F.lit(name).alias("side"), F.col(key).alias("id"), F.posexplode("features").alias("slot", "value"))
+        for table, numbers, name, key in (
+            (recall.model.userFactors, recall.users, "user", "uid"),
+            (recall.model.itemFactors, recall.items, "item", "aid"),
+        )
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def topk_all(recall: AlsRecall, k: int) -> DataFrame:
     """The ``k`` best items for every user, seen ones included."""
     return _decoded(recall, recall.model.recommendForAllUsers(k))
 
 
-def recommend_users(recall: AlsRecall, users: DataFrame, k: int) -> DataFrame:
+def topk_users(recall: AlsRecall, users: DataFrame, k: int) -> DataFrame:
     """The ``k`` best items for the given users, seen ones included."""
     chosen = _encoded(users.select("uid").distinct(), recall)
     return _decoded(recall, recall.model.recommendForUserSubset(chosen, k))

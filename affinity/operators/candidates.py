@@ -29,7 +29,7 @@ def candidate_features(
     once. Pass saved or staged candidates: their hot articles are counted.
     """
     articles = article_side(vectors, embeddings).withColumnRenamed("article_id", item)
-    joined = split_join(candidates, articles, item, "uid", most_per_task, 1, unique_right=True)
+    joined = split_join(candidates, articles, item, "uid", most_per_task, unique_right=True)
     return joined.select("uid", item, "pred_rating", "features", "article_vector")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.plans.prefix import running_total
@@ -25,10 +25,15 @@ def auc(rows: DataFrame, score: str = "p1", label: str = "label") -> DataFrame:
 
     The chance that a positive outranks a negative: each distinct score adds its
     positives times the negatives below it, plus half of those beside it. Null
-    when a class is missing.
+    when a class is missing; a null score or label is an error.
     """
-    positive = F.col(label).cast("bigint")
-    per_score = rows.groupBy(F.col(score).cast("double").alias("score")).agg(
+
+    def present(column: str, dtype: str) -> Column:
+        missing = F.raise_error(F.lit(f"{column} is missing")).cast(dtype)
+        return F.coalesce(F.col(column).cast(dtype), missing)
+
+    positive = present(label, "bigint")
+    per_score = rows.groupBy(present(score, "double").alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
     )
     ranked = running_total(per_score, "score", "neg", "below")

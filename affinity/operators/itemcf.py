@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.operators.similarity import item_similarity, symmetric
-from affinity.plans.skew import LEFT_PER_PART, MOST_PER_TASK, split_join
+from affinity.plans.skew import MOST_PER_TASK, split_join
 from affinity.plans.staging import stage
 
 TOP_K = 25
@@ -17,13 +17,12 @@ def rating_similarity_join(
     ratings: DataFrame,
     similarity: DataFrame,
     most_per_task: int = MOST_PER_TASK,
-    left_per_part: int = LEFT_PER_PART,
 ) -> DataFrame:
     """Each rating beside each neighbour of its item, with ``rsp = rating * sim``.
 
     Pass staged tables: their keys are counted first.
     """
-    joined = split_join(ratings, similarity, "aid", "uid", most_per_task, left_per_part)
+    joined = split_join(ratings, similarity, "aid", "uid", most_per_task)
     return joined.select(
         "uid", "aid", "rating", "sim_aid", "sim", (F.col("rating") * F.col("sim")).alias("rsp")
     )
@@ -86,14 +85,13 @@ def predict_holdout(
     holdout: DataFrame,
     similarity: DataFrame,
     most_per_task: int = MOST_PER_TASK,
-    left_per_part: int = LEFT_PER_PART,
 ) -> DataFrame:
     """:func:`holdout_predictions` without scoring any pair that is not held out.
 
     Held-out items meet only the training items of their own user.
     """
     wanted = holdout.select("uid", F.col("aid").alias("sim_aid"), F.col("rating").alias("actual"))
-    pairs = split_join(training, wanted, "uid", "aid", most_per_task, left_per_part)
+    pairs = split_join(training, wanted, "uid", "aid", most_per_task)
     near = pairs.join(similarity, ["aid", "sim_aid"]).withColumn(
         "rsp", F.col("rating") * F.col("sim")
     )
@@ -104,14 +102,15 @@ def predict_holdout(
 
 
 def neighbours(training: DataFrame) -> DataFrame:
-    """Staged similarity of training ratings in both directions.
+    """Similarity of training ratings in both directions.
 
     It is the costliest part, and its written size decides the joins that follow.
+    The pairs are staged once and mirrored where they are read.
     """
-    return stage(symmetric(item_similarity(training)), "similarity")
+    return symmetric(stage(item_similarity(training), "similarity"))
 
 
-def recommend(
+def best_unseen(
     training: DataFrame,
     k: int = JOB_TOP_K,
     score: Column | None = None,

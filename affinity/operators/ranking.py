@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from affinity.functions.vectors import merge_features
 from affinity.operators.candidates import WIDE_PER_TASK, article_side
-from affinity.plans.skew import MOST_TASKS, split_join
+from affinity.plans.skew import split_join
 from affinity.sources import schemas
 
 INTERCEPT = "(intercept)"
@@ -19,9 +19,6 @@ INTERCEPT = "(intercept)"
 # Vector slots per partition of the training set, 64 MB as doubles.
 VALUES_PER_PARTITION = 8_000_000
 
-# Model terms kept inside the scoring expression; more are joined as a table.
-MAX_INLINE_TERMS = 5000
-
 
 def nonempty(rows: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector is present and has slots."""
@@ -49,9 +46,9 @@ def training_samples(
         F.col("features").alias("article_features"),
         F.col("article_vector").alias("article_embedding"),
     )
-    with_user = split_join(samples, users, "uid", "aid", most_per_task, 1, unique_right=True)
+    with_user = split_join(samples, users, "uid", "aid", most_per_task, unique_right=True)
     joined = split_join(
-        with_user, articles, "aid", "uid", most_per_task, 1, sized_by=samples, unique_right=True
+        with_user, articles, "aid", "uid", most_per_task, sized_by=samples, unique_right=True
     )
     return joined.select(
         "uid", "aid", "user_features", "article_features", "article_embedding",
@@ -66,12 +63,13 @@ def merged_features(samples: DataFrame) -> DataFrame:
 
 
 def _even(samples: DataFrame, features: str) -> DataFrame:
-    """Samples in as many partitions as their vectors fill, since each step runs over all."""
+    """Samples in as many partitions as their vectors fill, and no fewer than there are cores,
+    since each step runs over all of them."""
     first = samples.select(F.size(features)).first()
     if first is None:
         return samples
-    wanted = math.ceil(samples.count() * max(1, first[0]) / VALUES_PER_PARTITION)
-    wanted = min(MOST_TASKS, max(1, wanted))
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    wanted = max(cores, math.ceil(samples.count() * max(1, first[0]) / VALUES_PER_PARTITION))
     if wanted > samples.rdd.getNumPartitions():
         return samples.repartition(wanted)
     return samples.coalesce(wanted)
@@ -127,54 +125,70 @@ def model_table(
     return spark.createDataFrame(rows, schemas.MODEL)
 
 
-def _numeric_sum(terms: dict[str, float], vector: str | None) -> Column:
-    if not terms:
-        return F.lit(0.0)
-    if vector is None:
-        total = F.lit(0.0)
-        for name, weight in terms.items():
-            total = total + F.col(name).cast("double") * F.lit(weight)
-        return total
-    weights = F.array(*[F.lit(terms.get(f"f{i + 1}", 0.0)) for i in range(len(terms))])
+def _slot_weights(numeric: DataFrame) -> DataFrame:
+    """One row with the weights of slots 1 to the largest one a term names; others weigh 0."""
+    number = F.regexp_extract("feature", r"^f([1-9][0-9]*)$", 1).try_cast("int")
+    unknown = F.raise_error(F.concat(F.lit("no slot named "), "feature")).cast("int")
+    by_slot = numeric.groupBy(F.coalesce(number, unknown).alias("slot")).agg(
+        F.sum("coefficient").alias("weight")
+    )
+    slots = by_slot.agg(F.max("slot").alias("last")).select(
+        F.explode(F.sequence(F.lit(1), F.coalesce("last", F.lit(1)))).alias("slot")
+    )
+    entry = F.struct("slot", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    ordered = slots.join(by_slot, "slot", "left").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    return ordered.select(F.transform("x", lambda e: e["weight"]))
+
+
+def _vector_sum(vector: str, weights: str) -> Column:
+    """The dot product of two columns; widths must agree."""
+    wrong = F.raise_error(F.lit(f"{vector} is not as wide as the model")).cast("double")
     products = F.zip_with(vector, weights, lambda x, w: x * w)
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(vector) == F.size(weights), total).otherwise(wrong)
 
 
-def linear_score(
-    rows: DataFrame,
-    model: DataFrame,
-    vector: str | None = None,
-    max_inline_terms: int = MAX_INLINE_TERMS,
-) -> DataFrame:
+def linear_score(rows: DataFrame, model: DataFrame, vector: str | None = None) -> DataFrame:
     """Rows with ``z``, ``p1``, ``p0`` and ``prediction`` of a model table.
 
     A term without value multiplies the column of that name, or with ``vector``
-    the slot f1, f2, ... of that array. A term with value adds its coefficient
-    where the column holds the value. Numeric terms are part of the expression,
-    so nothing is shuffled; categorical terms are too up to ``max_inline_terms``,
-    and are looked up by a left join per column beyond that.
+    the slot f1, f2, ... of that array: slots without a term weigh 0, and a
+    vector that ends before or after the largest slot is an error, as is a term
+    that names no slot or column. A term with value adds its coefficient where
+    the column holds the value. Repeated terms add up. Numeric terms are part of
+    the expression; a column with categorical terms is looked up by a left join
+    with them.
     """
-    numeric = model.where(F.col("value").isNull()).select("feature", "coefficient").collect()
-    terms = {row.feature: row.coefficient for row in numeric}
-    z = F.lit(terms.pop(INTERCEPT, 0.0)) + _numeric_sum(terms, vector)
-
     columns = rows.columns
-    categorical = model.where(F.col("value").isNotNull())
-    inline = categorical.limit(max_inline_terms + 1).collect()
-    if len(inline) <= max_inline_terms:
-        for feature in sorted({row.feature for row in inline}):
-            pairs = [(r.value, r.coefficient) for r in inline if r.feature == feature]
-            table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-            hit = F.try_element_at(table, F.col(feature).cast("string"))
-            z = z + F.coalesce(hit, F.lit(0.0))
+    named = F.col("feature").isin(columns)
+    plain = F.col("value").isNull()
+    intercept = F.col("feature") == INTERCEPT
+    other = ~intercept & ~named & (F.lit(vector is None) | ~plain)
+    sums = [F.sum(F.when(plain & (F.col("feature") == c), F.col("coefficient"))) for c in columns]
+    kinds = [F.bool_or(~plain & (F.col("feature") == c)) for c in columns]
+    start = F.sum(F.when(plain & intercept, F.col("coefficient")))
+    # One row, as wide as the table that is scored.
+    facts = model.agg(start, F.count_if(other), *sums, *kinds).first()
+    if facts[1]:
+        raise ValueError(f"{facts[1]} model terms name no column")
+    weights, categorical = facts[2 : 2 + len(columns)], facts[2 + len(columns) :]
+
+    z = F.lit(facts[0] or 0.0)
+    if vector is not None:
+        slots = _slot_weights(model.where(plain & ~intercept))
+        rows = rows.withColumn("_weights", slots.scalar())
+        z = z + _vector_sum(vector, "_weights")
     else:
-        for i, row in enumerate(categorical.select("feature").distinct().collect()):
-            weights = categorical.where(F.col("feature") == row.feature).select(
-                F.col("value").alias(f"_value{i}"), F.col("coefficient").alias(f"_weight{i}")
-            )
-            match = F.col(row.feature).cast("string") == F.col(f"_value{i}")
-            rows = rows.join(weights, match, "left")
-            z = z + F.coalesce(F.col(f"_weight{i}"), F.lit(0.0))
+        for name, weight in zip(columns, weights):
+            if weight is not None:
+                z = z + F.col(name).cast("double") * F.lit(weight)
+    for i, name in enumerate(name for name, has in zip(columns, categorical) if has):
+        terms = model.where(~plain & (F.col("feature") == name)).groupBy("value").agg(
+            F.sum("coefficient").alias(f"_weight{i}")
+        )
+        terms = terms.withColumnRenamed("value", f"_value{i}")
+        rows = rows.join(terms, F.col(name).cast("string") == F.col(f"_value{i}"), "left")
+        z = z + F.coalesce(f"_weight{i}", F.lit(0.0))
 
     scored = rows.select(*columns, z.alias("z"))
     p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))

@@ -92,6 +92,6 @@ def symmetric(similarity: DataFrame) -> DataFrame:
     return similarity.select("aid", "sim_aid", "sim").unionByName(mirror)
 
 
-def preview(similarity: DataFrame, rows: int = 100) -> DataFrame:
-    """First rows by item and neighbour."""
-    return similarity.orderBy("aid", "sim_aid").limit(rows)
+def in_order(similarity: DataFrame) -> DataFrame:
+    """All pairs by item and neighbour."""
+    return similarity.orderBy("aid", "sim_aid")

@@ -27,7 +27,7 @@ from affinity.operators import (
     ranking,
     ratings,
 )
-from affinity.plans.staging import stage
+from affinity.plans.staging import scratch, stage
 from affinity.sources import tables
 
 
@@ -60,6 +60,11 @@ def rate(
     return stage(ratings.user_item_ratings(scanned, as_of, weights), "ratings")
 
 
+def _kept(metric: DataFrame) -> DataFrame:
+    """A one-row metric, computed now, so that it reads nothing staged later."""
+    return metric.sparkSession.createDataFrame(metric.collect(), metric.schema)
+
+
 def run_itemcf(
     actions: DataFrame,
     as_of: dt.date,
@@ -69,15 +74,16 @@ def run_itemcf(
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """Item-based recall: the ``itemcf`` table, its cells, and the hold-out error."""
-    rated = rate(actions, as_of, weights)
-    training, holdout = ratings.random_split(rated, 0.8, seed)
-    similarity = itemcf.neighbours(training)
-    rmse = evaluate.rmse(itemcf.predict_holdout(training, holdout, similarity))
-    best = itemcf.recommend(training, k, similarity=similarity).drop("rank")
-    saved = sink.table(best, "itemcf")
-    lists = candidates.recommendation_lists(saved, "sim_aid")
-    sink.cells(export.itemcf_cells(lists), "itemcf")
-    return saved, rmse
+    with scratch(actions.sparkSession):
+        rated = rate(actions, as_of, weights)
+        training, holdout = ratings.random_split(rated, 0.8, seed)
+        similarity = itemcf.neighbours(training)
+        rmse = _kept(evaluate.rmse(itemcf.predict_holdout(training, holdout, similarity)))
+        best = itemcf.best_unseen(training, k, similarity=similarity).drop("rank")
+        saved = sink.table(best, "itemcf")
+        lists = candidates.recommendation_lists(saved, "sim_aid")
+        sink.cells(export.itemcf_cells(lists), "itemcf")
+        return saved, rmse
 
 
 def run_als(
@@ -89,30 +95,33 @@ def run_als(
     seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """Factor-based recall: the ``als`` table, its cells, and the hold-out error."""
-    rated = rate(actions, as_of, weights)
-    training, holdout = ratings.random_split(rated, 0.5, seed)
-    recall = als.fit_als(training, seed=seed)
-    rmse = evaluate.rmse(als.predict(recall, holdout), prediction="prediction")
-    saved = sink.table(als.unseen(als.recommend_all(recall, k), rated), "als")
-    lists = candidates.recommendation_lists(saved, "pred_aid")
-    sink.cells(export.als_cells(lists), "als")
-    return saved, rmse
+    with scratch(actions.sparkSession):
+        rated = rate(actions, as_of, weights)
+        training, holdout = ratings.random_split(rated, 0.5, seed)
+        recall = als.fit_als(training, seed=seed)
+        rmse = _kept(evaluate.rmse(als.predict(recall, holdout), prediction="prediction"))
+        saved = sink.table(als.unseen(als.topk_all(recall, k), rated), "als")
+        lists = candidates.recommendation_lists(saved, "pred_aid")
+        sink.cells(export.als_cells(lists), "als")
+        return saved, rmse
 
 
 def run_user_features(profiles: DataFrame, sink: Sink) -> DataFrame:
     """The ``user_base_vector`` table and its cells."""
-    vectors = features.user_features(tables.scan_user_base(profiles))
-    saved = sink.table(vectors, "user_base_vector")
-    sink.cells(export.user_base_cells(saved), "user_base")
-    return saved
+    with scratch(profiles.sparkSession):
+        vectors = features.user_features(tables.scan_user_base(profiles))
+        saved = sink.table(vectors, "user_base_vector")
+        sink.cells(export.user_base_cells(saved), "user_base")
+        return saved
 
 
 def run_article_features(facts: DataFrame, sink: Sink) -> DataFrame:
     """The ``article_base_vector`` table and its cells."""
-    vectors = features.article_features(tables.scan_article_base(facts))
-    saved = sink.table(vectors, "article_base_vector")
-    sink.cells(export.article_base_cells(saved), "article_base")
-    return saved
+    with scratch(facts.sparkSession):
+        vectors = features.article_features(tables.scan_article_base(facts))
+        saved = sink.table(vectors, "article_base_vector")
+        sink.cells(export.article_base_cells(saved), "article_base")
+        return saved
 
 
 def run_embedding(terms: DataFrame, sink: Sink) -> DataFrame:
@@ -132,14 +141,15 @@ def union_features(
     sink: Sink,
 ) -> None:
     """Cells of users with candidates, and of both candidate sets with their features."""
-    users = candidates.recommended_user_features(als_table, itemcf_table, user_vectors)
-    sink.cells(export.user_feature_cells(users), "user_features")
-    for table, item, name in (
-        (itemcf_table, "sim_aid", "itemcf"), (als_table, "pred_aid", "als"),
-    ):
-        wide = candidates.candidate_features(table, article_vectors, embeddings, item)
-        lists = candidates.candidate_lists(wide, item)
-        sink.cells(export.candidate_cells(lists, name), f"{name}_features")
+    with scratch(itemcf_table.sparkSession):
+        users = candidates.recommended_user_features(als_table, itemcf_table, user_vectors)
+        sink.cells(export.user_feature_cells(users), "user_features")
+        for table, item, name in (
+            (itemcf_table, "sim_aid", "itemcf"), (als_table, "pred_aid", "als"),
+        ):
+            wide = candidates.candidate_features(table, article_vectors, embeddings, item)
+            lists = candidates.candidate_lists(wide, item)
+            sink.cells(export.candidate_cells(lists, name), f"{name}_features")
 
 
 class Ranker(NamedTuple):
@@ -167,15 +177,17 @@ def train_ranker(
     sink: Sink,
 ) -> Ranker:
     """The ``lr_model`` table, fitted on labels joined to all three vectors."""
-    samples = ranking.training_samples(
-        tables.scan_training(labels), user_vectors, article_vectors, embeddings
-    )
-    merged = ranking.merged_features(samples).select("features", "label")
-    return _ranker(labels.sparkSession, merged, sink, "lr_model")
+    with scratch(labels.sparkSession):
+        samples = ranking.training_samples(
+            tables.scan_training(labels), user_vectors, article_vectors, embeddings
+        )
+        merged = ranking.merged_features(samples).select("features", "label")
+        return _ranker(labels.sparkSession, merged, sink, "lr_model")
 
 
 def train_csv_ranker(spark: SparkSession, path: str, sink: Sink) -> Ranker:
     """The ``lr_csv_model`` table, fitted on text vectors of a labelled CSV."""
-    rows = tables.binary_labels(tables.scan_labelled_csv(spark, path))
-    parsed = rows.withColumn("features", parse_vector(rows["features"]))
-    return _ranker(spark, parsed, sink, "lr_csv_model")
+    with scratch(spark):
+        rows = tables.binary_labels(tables.scan_labelled_csv(spark, path))
+        parsed = rows.withColumn("features", parse_vector(rows["features"]))
+        return _ranker(spark, parsed, sink, "lr_csv_model")

@@ -10,7 +10,6 @@ from affinity.plans.skew import tasks_for
 from affinity.plans.staging import stage
 
 ROWS_PER_BUCKET = 1_000_000
-MOST_BUCKETS = 10_000
 
 
 def running_total(
@@ -18,14 +17,14 @@ def running_total(
 ) -> DataFrame:
     """``df`` plus ``out``: the sum of ``value`` over all rows with a smaller ``order``.
 
-    ``order`` must be a number and unique. Rows are cut into value ranges at
+    ``order`` must be a number and unique; null comes before all numbers. Rows are cut into value ranges at
     approximate quantiles; each range is summed on its own window and shifted by
     the total of the ranges below. The cut points only balance the work, so the
     result is exact. The number of ranges follows the number of rows.
     """
     df = stage(df, "running")
     if buckets is None:
-        buckets = min(MOST_BUCKETS, tasks_for(df.sparkSession, df.count(), ROWS_PER_BUCKET))
+        buckets = tasks_for(df.sparkSession, df.count(), ROWS_PER_BUCKET)
     buckets = max(2, buckets)
     ranked = df.withColumn("_order", F.col(order).cast("double"))
     probabilities = [i / buckets for i in range(1, buckets)]
@@ -36,8 +35,9 @@ def running_total(
     placed = Bucketizer(
         splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep"
     ).transform(ranked)
+    placed = placed.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1.0)))
 
-    # One row per bucket, at most MOST_BUCKETS + 1.
+    # One row per bucket.
     totals = placed.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
@@ -49,7 +49,7 @@ def running_total(
     )
     return (
         placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(shifts), "_bucket")
+        .join(shifts, "_bucket")
         .withColumn(out, F.col("_inside") + F.col("_shift"))
         .select(*df.columns, out)
     )

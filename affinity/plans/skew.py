@@ -18,11 +18,10 @@ from affinity.plans.staging import stage
 # Result rows of a join per task: enough to be worth a task, and the most for one.
 LEAST_PER_TASK = 100_000
 MOST_PER_TASK = 5_000_000
-MOST_TASKS = 100_000
 
-# A part of a hot key keeps this many left rows, so that copying the right rows
-# to each part stays a small share of the join.
-LEFT_PER_PART = 1000
+# Cells a task's worth of a hot key is cut into, so that tasks that get several of them by
+# chance stay near the mean.
+CELLS_PER_TASK = 8
 
 
 def tasks_for(spark: SparkSession, rows: float, most_per_task: int = MOST_PER_TASK) -> int:
@@ -31,7 +30,7 @@ def tasks_for(spark: SparkSession, rows: float, most_per_task: int = MOST_PER_TA
     All cores once there is enough work for them, more tasks beyond that.
     """
     cores = min(spark.sparkContext.defaultParallelism, math.ceil(rows / LEAST_PER_TASK))
-    return max(1, cores, min(MOST_TASKS, math.ceil(rows / most_per_task)))
+    return max(1, cores, math.ceil(rows / most_per_task))
 
 
 def part_of(value: Column, parts: Column) -> Column:
@@ -55,42 +54,59 @@ def split_join(
     key: str,
     spread_by: str,
     most_per_task: int = MOST_PER_TASK,
-    left_per_part: int = LEFT_PER_PART,
     sized_by: DataFrame | None = None,
     unique_right: bool = False,
 ) -> DataFrame:
     """Inner join on ``key`` with the work of hot keys spread over several tasks.
 
-    A key that yields more than ``most_per_task`` rows is cut into parts by a
-    hash of ``spread_by`` on the left; its right rows go to each of its parts.
-    Left keys are counted first, in ``sized_by`` when left derives from that
-    cheaper table, so pass tables that are cheap to read again. ``unique_right``
-    says that right holds each key once.
+    A key that yields more than ``most_per_task`` rows is cut on both sides, by
+    hashes of ``spread_by`` on the left and of the other columns on the right.
+    Each left part meets each right part in a cell of its own; the sides are cut
+    in proportion to their sizes, which copies the fewest rows. Left keys are
+    counted first, in ``sized_by`` when left derives from that cheaper table, so
+    pass tables that are cheap to read again. ``unique_right`` says that right
+    holds each key once, so only the left is cut.
     """
     counted = left if sized_by is None else sized_by
     sizes = counted.groupBy(key).agg(F.count("*").alias("_left"))
     if unique_right:
-        sizes = sizes.withColumn("_rows", F.col("_left").cast("double"))
+        sizes = sizes.withColumn("_right", F.lit(1).cast("bigint"))
     else:
-        matches = right.groupBy(key).agg(F.count("*").cast("double").alias("_right"))
-        sizes = sizes.join(matches, key).withColumn("_rows", F.col("_left") * F.col("_right"))
-    parts = F.least(
-        F.ceil(F.col("_rows") / F.lit(most_per_task)), F.ceil(F.col("_left") / F.lit(left_per_part))
-    )
-    total, most_parts = sizes.agg(F.sum("_rows"), F.max(parts)).first()
+        sizes = sizes.join(right.groupBy(key).agg(F.count("*").alias("_right")), key)
+    rows = F.col("_left").cast("double") * F.col("_right")
+    sizes = stage(sizes.withColumn("_rows", rows), f"sizes-{key}")
+    cells = F.ceil(F.col("_rows") * (1 if unique_right else CELLS_PER_TASK) / most_per_task)
+    total, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
 
     keys = [key]
-    if (most_parts or 1) > 1:
-        keys = [key, "_part"]
-        hot = hot_table(sizes, key, parts, "_parts")
-        cuts = F.coalesce("_parts", F.lit(1))
-        left = left.join(hot, key, "left").withColumn("_part", part_of(F.col(spread_by), cuts))
-        right = right.join(hot, key, "left").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), cuts - 1))
+    if (most or 0) > most_per_task:
+        keys = [key, "_a", "_b"]
+        cut = F.ceil(F.sqrt(F.col("_cells") * F.col("_left") / F.col("_right")))
+        hot = (
+            sizes.where(F.col("_rows") > most_per_task)
+            .withColumn("_cells", cells)
+            .withColumn("_as", F.least("_left", F.greatest(F.lit(1), cut)))
+            .withColumn("_bs", F.least("_right", F.ceil(F.col("_cells") / F.col("_as"))))
+            .select(key, F.col("_as").cast("int"), F.col("_bs").cast("int"))
+        )
+        rest = [F.col(c) for c in right.columns if c != key]
+        one_a, one_b = F.coalesce("_as", F.lit(1)), F.coalesce("_bs", F.lit(1))
+        left = (
+            left.join(hot, key, "left")
+            .withColumn("_a", part_of(F.col(spread_by), one_a))
+            .withColumn("_b", F.explode(F.sequence(F.lit(0), one_b - 1)))
+            .drop("_as", "_bs")
+        )
+        right = (
+            right.join(hot, key, "left")
+            .withColumn("_b", F.pmod(F.xxhash64(*rest), one_b.cast("bigint")).cast("int"))
+            .withColumn("_a", F.explode(F.sequence(F.lit(0), one_a - 1)))
+            .drop("_as", "_bs")
         )
-        left, right = left.drop("_parts"), right.drop("_parts")
     if not unique_right:
         tasks = tasks_for(left.sparkSession, total or 0, most_per_task)
+        if len(keys) > 1:
+            tasks = max(tasks, math.ceil(CELLS_PER_TASK / 2 * total / most_per_task))
         if tasks > 1:
             left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    return left.join(right, keys).drop("_part")
+    return left.join(right, keys).drop("_a", "_b")

@@ -1,4 +1,7 @@
-"""Registered queries: recall by alternating least squares. The solver has no SQL twin."""
+"""Registered queries: recall by alternating least squares.
+
+The factors have no SQL twin; which users, items and pairs they cover has.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators import als, candidates, evaluate, ratings
-from affinity.operators.itemcf import JOB_TOP_K
 from affinity.plans.staging import stage
 from affinity.queries import inputs
+from affinity.queries.sql import using
 from affinity.sources import standins
 
-K = JOB_TOP_K
+K = 25
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, als.AlsRecall]:
-    """All ratings, the held-out half, and a model of the other half."""
-    rated = stage(standins.ratings(spark, sf_dir), "ratings")
-    train, holdout = ratings.random_split(rated, 0.5)
-    return rated, holdout, als.fit_als(train)
+    """Order ratings, with more items than K, the held-out part, and a model of the rest."""
+    rated = stage(standins.order_ratings(spark, sf_dir).withColumn("rating", F.col("rating").cast("double")), "bought")
+    train, holdout = ratings.hash_split(rated)
+    return rated, holdout, als.fit_als(stage(train, "training"))
 
 
 def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and item factors, one row per slot."""
-    model = _fitted(spark, sf_dir)[2].model
-    both = model.userFactors.withColumn("side", F.lit("user")).unionByName(
-        model.itemFactors.withColumn("side", F.lit("item"))
-    )
-    return both.select("side", "id", F.posexplode("features").alias("slot", "value"))
+    return als.factors(_fitted(spark, sf_dir)[2])
+
+
+def als_factor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which users and items have factors, and of how many slots."""
+    found = als_factors(spark, sf_dir).groupBy("side", "id")
+    return found.agg(F.count("*").alias("slots"))
+
+
+def als_predicted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which held-out pairs get a prediction."""
+    return als_predictions(spark, sf_dir).select("uid", "aid")
+
+
+def als_topk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items each user gets, and how many of them are distinct."""
+    best = als_topk(spark, sf_dir).groupBy("uid")
+    return best.agg(F.count("*").alias("n"), F.countDistinct("pred_aid").alias("items"))
+
+
+def als_unseen_are_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of items that are still offered to the user who rated them: none."""
+    offered = als_unseen_topk(spark, sf_dir).select("uid", F.col("pred_aid").alias("aid"))
+    bought = standins.order_ratings(spark, sf_dir).select("uid", "aid")
+    return bought.join(offered, ["uid", "aid"]).agg(F.count("*").alias("n"))
 
 
 def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,20 +59,20 @@ def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return als.recommend_all(_fitted(spark, sf_dir)[2], K)
+    return als.topk_all(_fitted(spark, sf_dir)[2], K)
 
 
 def als_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations for the users with a purchase on the last day of the log."""
-    actions = standins.user_actions(spark, sf_dir)
-    last = actions.agg(F.max("action_date").alias("action_date"))
-    buyers = actions.where(F.col("action") == "purchase").join(F.broadcast(last), "action_date")
-    return als.recommend_users(_fitted(spark, sf_dir)[2], buyers, K)
+    """The best items for the customers of the last day with an order."""
+    orders = standins.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid"), "o_orderdate")
+    last = orders.agg(F.max("o_orderdate").alias("o_orderdate"))
+    buyers = orders.join(F.broadcast(last), "o_orderdate")
+    return als.topk_users(_fitted(spark, sf_dir)[2], buyers, K)
 
 
 def als_unseen_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, _, recall = _fitted(spark, sf_dir)
-    return als.unseen(als.recommend_all(recall, K), rated)
+    return als.unseen(als.topk_all(recall, K), rated)
 
 
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +91,28 @@ def candidate_features_als(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        als_factors, als_predictions, als_topk, als_topk_subset, als_unseen_topk, als_rmse,
+        als_factors, als_factor_ids, als_predictions, als_predicted_pairs, als_topk,
+        als_topk_sizes, als_unseen_are_unseen, als_topk_subset, als_unseen_topk, als_rmse,
         candidate_features_als,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_TRAIN = "SELECT * FROM order_ratings WHERE (uid * 31 + aid * 17) % 5 <> 0"
+
+ORACLES = {
+    "als_factor_ids": using(
+        "order_ratings",
+        select=f"""SELECT DISTINCT 'user' AS side, uid AS id, {als.RANK} AS slots FROM ({_TRAIN})
+            UNION ALL SELECT DISTINCT 'item', aid, {als.RANK} FROM ({_TRAIN})""",
+    ),
+    "als_predicted_pairs": using(
+        "order_ratings",
+        select=f"""SELECT uid, aid FROM order_ratings WHERE (uid * 31 + aid * 17) % 5 = 0
+            AND uid IN (SELECT uid FROM ({_TRAIN})) AND aid IN (SELECT aid FROM ({_TRAIN}))""",
+    ),
+    "als_topk_sizes": using(
+        "order_ratings",
+        select=f"""SELECT DISTINCT uid, {K} AS n, {K} AS items FROM ({_TRAIN})""",
+    ),
+    "als_unseen_are_unseen": "SELECT 0 AS n",
+}

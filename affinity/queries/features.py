@@ -40,9 +40,7 @@ def labelled_csv(spark: SparkSession, sf_dir: str) -> str:
     path = new_path(spark, "labelled-csv")
     standins.read(spark, sf_dir, "embeddings").select(
         F.col("vec_id"),
-        fn.vector_to_text(F.slice(F.col("embedding"), 1, 4).cast("array<double>"), 6).alias(
-            "features"
-        ),
+        fn.vector_to_text(F.col("embedding").cast("array<double>"), 6).alias("features"),
         (F.col("label") % 3).alias("label"),
     ).write.option("header", True).csv(path)
     return path
@@ -167,10 +165,10 @@ def vector_parse_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First four embedding slots and the label pair as f1..f6."""
+    """All embedding slots and the label pair as f1..f66."""
     raw = standins.read(spark, sf_dir, "embeddings").select(
         "vec_id",
-        F.slice("embedding", 1, 4).cast("array<double>").alias("head"),
+        F.col("embedding").cast("array<double>").alias("head"),
         F.array(F.col("label") % 2, F.col("label") % 3).cast("array<double>").alias("tail"),
     )
     wide = fn.vector_columns(raw, "head", "tail")
@@ -187,10 +185,13 @@ QUERIES = {
     )
 }
 
-_CSV = f"""SELECT {text("list_slice(embedding, 1, 4)")} AS features,
+_CSV = f"""SELECT {text("embedding")} AS features,
                   CAST(label % 3 AS INTEGER) AS label FROM embeddings"""
 
 
+_SPREAD = ", ".join(f"round(embedding[{i}]::DOUBLE, 6) + 0.0 AS f{i}" for i in range(1, 65))
+
+
 def _slots_sql(source: str, key: str, vector: str) -> str:
     """SQL twin of ``inputs.slots``; adding zero turns a rounded -0.0 into 0.0."""
     return f"""SELECT {key}, CAST(slot - 1 AS INTEGER) AS slot, round({vector}[slot], 6) + 0.0 AS value
@@ -261,8 +262,6 @@ ORACLES = {
     "vector_parse_sparse": """SELECT vec_id, CAST(slot AS INTEGER) AS slot,
         CASE WHEN label = slot THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
         FROM embeddings CROSS JOIN range(0, 9) slots(slot)""",
-    "vector_columns": """SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS f1,
-        round(embedding[2]::DOUBLE, 6) + 0.0 AS f2, round(embedding[3]::DOUBLE, 6) + 0.0 AS f3,
-        round(embedding[4]::DOUBLE, 6) + 0.0 AS f4, (label % 2)::DOUBLE AS f5,
-        (label % 3)::DOUBLE AS f6 FROM embeddings""",
+    "vector_columns": f"""SELECT vec_id, {_SPREAD}, (label % 2)::DOUBLE AS f65,
+        (label % 3)::DOUBLE AS f66 FROM embeddings""",
 }

@@ -42,7 +42,7 @@ def scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-k recommendations, ranked on the rounded score so that ties fall alike."""
-    return itemcf.recommend(
+    return itemcf.best_unseen(
         training(spark, sf_dir), K, score=F.round("pred_rating", DIGITS)
     )
 

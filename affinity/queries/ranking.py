@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions import vectors as fn
@@ -14,6 +14,12 @@ from affinity.queries.inputs import DIGITS, rounded
 from affinity.queries.sql import millionths, using
 from affinity.sources import schemas, standins
 
+# A model with a term for each of the 64 embedding slots, from a rule.
+SLOT_MODEL = [
+    (ranking.INTERCEPT, None, 0.25),
+    *((f"f{i}", None, (i * 37 % 41 - 20) / 10) for i in range(1, 65)),
+]
+
 # A model with four numeric terms.
 NUMERIC_MODEL = [
     (ranking.INTERCEPT, None, -1.979557474498824),
@@ -46,6 +52,10 @@ CATEGORICAL_MODEL = [
 ]
 
 
+# How near the solver comes to the least loss, as a mean per slot.
+MOMENT_TOLERANCE = 1e-4
+
+
 def shown(df: DataFrame, *vectors: str) -> DataFrame:
     """Array columns as text of whole millionths, which two engines write alike."""
     return df.withColumns(
@@ -86,7 +96,7 @@ def recall_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Two recall tables: hold-out predictions, and top-k recommendations."""
     train, holdout = inputs.split(spark, sf_dir)
     near = itemcf.neighbours(train)
-    best = itemcf.recommend(train, inputs.K, F.round("pred_rating", DIGITS), near)
+    best = itemcf.best_unseen(train, inputs.K, F.round("pred_rating", DIGITS), near)
     return itemcf.predict_holdout(train, holdout, near), best
 
 
@@ -146,14 +156,38 @@ def lr_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.model_table(spark, ranking.fit_ranker(stage(parsed, "csv")))
 
 
+def _moments(samples: DataFrame) -> DataFrame:
+    """Per slot (0: the intercept) the mean of label times value, and whether the fitted model's
+    probabilities have the same mean, as they must where the unregularised loss is least."""
+    model = ranking.fit_ranker(samples, max_iter=500, tol=1e-12)
+    slots = ranking.predict(model, samples, "features").select(
+        "label", "p1", F.posexplode(F.concat(F.array(F.lit(1.0)), "features")).alias("slot", "x")
+    )
+    means = slots.groupBy("slot").agg(
+        F.avg(F.col("label") * F.col("x")).alias("label_mean"), F.avg(F.col("p1") * F.col("x")).alias("model_mean")
+    )
+    same = F.abs(F.col("label_mean") - F.col("model_mean")) < MOMENT_TOLERANCE
+    return rounded(means.select("slot", "label_mean", same.alias("same")), "label_mean")
+
+
+def lr_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = ranking.merged_features(samples(spark, sf_dir)).select("features", "label")
+    return _moments(stage(merged, "samples"))
+
+
+def lr_csv_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = filter_binary_label(spark, sf_dir).withColumn("features", fn.parse_vector(F.col("features")))
+    return _moments(stage(parsed, "csv"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings scored on their first four slots."""
+    """Embeddings scored on all their slots."""
     rows = standins.read(spark, sf_dir, "embeddings").select(
         "vec_id",
         (F.col("label") % 2).alias("label"),
-        F.slice("embedding", 1, 4).cast("array<double>").alias("x"),
+        F.col("embedding").cast("array<double>").alias("x"),
     )
-    model = spark.createDataFrame(NUMERIC_MODEL, schemas.MODEL)
+    model = spark.createDataFrame(SLOT_MODEL, schemas.MODEL)
     return ranking.linear_score(rows, model, vector="x").drop("x")
 
 
@@ -162,11 +196,17 @@ def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linear_score_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three numbers from the mean of a third of the slots each, and a text column."""
+
+    def mean(first: int, n: int) -> Column:
+        part = F.slice("embedding", first, n).cast("array<double>")
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n
+
     rows = standins.read(spark, sf_dir, "embeddings").select(
         "vec_id",
-        (F.col("embedding")[0].cast("double") + 5).alias("sepal_length"),
-        (F.col("embedding")[1].cast("double") + 3).alias("sepal_width"),
-        (F.col("embedding")[2].cast("double") + 1.5).alias("petal_length"),
+        (mean(1, 21) + 5).alias("sepal_length"),
+        (mean(22, 21) + 3).alias("sepal_width"),
+        (mean(43, 22) + 1.5).alias("petal_length"),
         F.format_string("%.1f", (F.col("vec_id") % 20) / 10).alias("petal_width"),
     )
     model = spark.createDataFrame(CATEGORICAL_MODEL, schemas.MODEL)
@@ -196,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         candidate_features_itemcf, candidate_lists, recommended_users, recommended_user_features,
-        training_samples, lr_fit, model_table, lr_csv, linear_score, linear_score_categorical,
+        training_samples, lr_fit, lr_moments, lr_csv_moments, model_table, lr_csv, linear_score, linear_score_categorical,
         accuracy, auc, auc_tied,
     )
 }
@@ -213,6 +253,13 @@ def _auc_sql(rows: str, score: str, positive: str) -> str:
               FROM {rows})"""
 
 
+def _moments_sql(rows: str) -> str:
+    """Mean of label times value for every slot of ``rows`` (label, x)."""
+    return f"""SELECT CAST(slot - 1 AS INTEGER) AS slot, round(avg(label * v), 6) + 0.0 AS label_mean, TRUE AS same
+        FROM (SELECT label, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS slot FROM ({rows}))
+        GROUP BY slot"""
+
+
 _WEIGHTS = " ".join(f"WHEN '{v}' THEN {c!r}::DOUBLE" for _, v, c in CATEGORICAL_MODEL[4:])
 _B, _SL, _SW, _PL = (f"{c!r}::DOUBLE" for _, _, c in CATEGORICAL_MODEL[:4])
 
@@ -242,6 +289,17 @@ ORACLES = {
         select=f"""SELECT uid, aid, label, {millionths('''list_concat(list_concat(article_features,
                           article_embedding), user_features)''')} AS features FROM assembled""",
     ),
+    "lr_moments": using(
+        "assembled",
+        select=_moments_sql(
+            """SELECT label, list_concat([1.0::DOUBLE], list_concat(list_concat(article_features,
+               article_embedding), user_features)) AS x FROM assembled"""
+        ),
+    ),
+    "lr_csv_moments": _moments_sql(
+        """SELECT label % 3 AS label, list_concat([1.0::DOUBLE],
+           [round(e::DOUBLE, 6) FOR e IN embedding]) AS x FROM embeddings WHERE label % 3 < 2"""
+    ),
     "linear_score": using(
         "scored",
         select="""SELECT vec_id, label, round(z, 6) AS z, round(p1, 6) AS p1,
@@ -252,8 +310,9 @@ ORACLES = {
         CASE WHEN 1 / (1 + exp(-z)) > 0.5 THEN 1 ELSE 0 END AS prediction
         FROM (SELECT vec_id, petal_width, {_B} + {_SL} * a + {_SW} * b + {_PL} * c
                      + CASE petal_width {_WEIGHTS} ELSE 0 END AS z
-              FROM (SELECT vec_id, embedding[1]::DOUBLE + 5 AS a, embedding[2]::DOUBLE + 3 AS b,
-                           embedding[3]::DOUBLE + 1.5 AS c,
+              FROM (SELECT vec_id, list_sum(list_slice(embedding, 1, 21)::DOUBLE[]) / 21 + 5 AS a,
+                           list_sum(list_slice(embedding, 22, 42)::DOUBLE[]) / 21 + 3 AS b,
+                           list_sum(list_slice(embedding, 43, 64)::DOUBLE[]) / 22 + 1.5 AS c,
                            printf('%.1f', (vec_id % 20)::DOUBLE / 10) AS petal_width
                     FROM embeddings))""",
     "accuracy": using(

@@ -13,18 +13,11 @@ from affinity.queries.inputs import rounded
 from affinity.queries.sql import using
 from affinity.sources import standins
 
-SCAN_LIMIT = 1000
-
 
 def scan_user_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.user_actions(spark, sf_dir)
 
 
-def scan_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limited = standins.user_actions(spark, sf_dir, limit=SCAN_LIMIT)
-    return limited.agg(F.count("*").alias("n"))
-
-
 def action_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = fn.action_weight(F.col("action"), standins.WEIGHTS)
     return (
@@ -112,7 +105,7 @@ def similarity_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = itemcf.neighbours(inputs.training(spark, sf_dir))
-    return rounded(similarity.preview(both), "sim")
+    return rounded(similarity.in_order(both), "sim")
 
 
 def rating_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,10 +130,19 @@ def cf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best, "pred_rating")
 
 
-def itemcf_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def itemcf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inputs.topk(spark, sf_dir), "pred_rating")
 
 
+def itemcf_topk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best unseen items on the sparse order ratings, end to end."""
+    bought = standins.order_ratings(spark, sf_dir).withColumn("rating", F.col("rating").cast("double"))
+    best = itemcf.best_unseen(
+        stage(bought, "bought"), inputs.K, score=F.round("pred_rating", inputs.DIGITS)
+    )
+    return rounded(best, "pred_rating")
+
+
 def cf_holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out ratings looked up in the full score table."""
     train, holdout = inputs.split(spark, sf_dir)
@@ -173,7 +175,7 @@ def explode_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hold-out scores checked against all ratings moved on by one item."""
+    """All ratings moved on by one item, without the items a user has rated."""
     rated = stage(standins.ratings(spark, sf_dir), "ratings")
     shifted = rated.select(
         "uid", (F.col("aid") + 1).alias("pred_aid"), F.col("rating").alias("pred_rating")
@@ -184,10 +186,10 @@ def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_user_action, scan_limited, action_weight, time_weight, days_since, date_range,
+        scan_user_action, action_weight, time_weight, days_since, date_range,
         action_rating, user_item_rating, rating_sorted, split_holdout, split_random, item_norms,
         item_similarity, item_similarity_orders, similarity_symmetric, similarity_preview,
-        rating_similarity_join, cf_scores, cf_unseen_scores, cf_topk, itemcf_recommend,
+        rating_similarity_join, cf_scores, cf_unseen_scores, cf_topk, itemcf_topk, itemcf_topk_orders,
         cf_holdout_predictions, cf_rmse, recommendation_lists, explode_recommendations,
         anti_join_seen,
     )
@@ -195,10 +197,6 @@ QUERIES = {
 
 ORACLES = {
     "scan_user_action": using("actions", select="SELECT * FROM actions"),
-    "scan_limited": using(
-        "actions",
-        select=f"SELECT count(*) AS n FROM (SELECT * FROM actions LIMIT {SCAN_LIMIT})",
-    ),
     "action_weight": using(
         "weighted",
         select="SELECT uid, aid, action, round(weight::DOUBLE, 6) AS weight FROM weighted",
@@ -256,8 +254,7 @@ ORACLES = {
     ),
     "similarity_preview": using(
         "sym",
-        select="""SELECT aid, sim_aid, round(sim, 6) AS sim FROM sym
-                  ORDER BY aid, sim_aid LIMIT 100""",
+        select="SELECT aid, sim_aid, round(sim, 6) AS sim FROM sym ORDER BY aid, sim_aid",
     ),
     "rating_similarity_join": using(
         "rsp",
@@ -278,11 +275,21 @@ ORACLES = {
                             ORDER BY round(pred_rating, 6) DESC, sim_aid) AS rank FROM scores)
             WHERE rank <= 25""",
     ),
-    "itemcf_recommend": using(
+    "itemcf_topk": using(
         "topk",
         select="""SELECT uid, sim_aid, round(pred_rating, 6) AS pred_rating,
                          CAST(rank AS INTEGER) AS rank FROM topk""",
     ),
+    "itemcf_topk_orders": using(
+        "order_scores",
+        select="""SELECT uid, sim_aid, round(pred_rating, 6) AS pred_rating,
+                         CAST(rank AS INTEGER) AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY uid
+                            ORDER BY round(pred_rating, 6) DESC, sim_aid) AS rank
+                  FROM order_scores s WHERE NOT EXISTS
+                  (SELECT 1 FROM order_ratings t WHERE t.uid = s.uid AND t.aid = s.sim_aid))
+            WHERE rank <= 25""",
+    ),
     "cf_holdout_predictions": using(
         "predicted",
         select="""SELECT uid, aid, round(rating, 6) AS rating,

@@ -78,6 +78,23 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT o_custkey AS uid, l_partkey AS aid, sum(l_quantity) AS rating
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey""",
     ),
+    "order_norms": (
+        ("order_ratings",),
+        "SELECT aid, sqrt(sum(rating * rating)::DOUBLE) AS norm FROM order_ratings GROUP BY aid",
+    ),
+    "order_sim": (
+        ("order_ratings", "order_norms"),
+        """SELECT p.aid, p.sim_aid, p.dot / (x.norm * y.norm) AS sim
+           FROM (SELECT a.aid, b.aid AS sim_aid, sum(a.rating * b.rating)::DOUBLE AS dot
+                 FROM order_ratings a JOIN order_ratings b ON a.uid = b.uid AND a.aid <> b.aid
+                 GROUP BY a.aid, b.aid) p
+           JOIN order_norms x ON p.aid = x.aid JOIN order_norms y ON p.sim_aid = y.aid""",
+    ),
+    "order_scores": (
+        ("order_ratings", "order_sim"),
+        """SELECT t.uid, s.sim_aid, sum(t.rating::DOUBLE * s.sim) / sum(s.sim) AS pred_rating
+           FROM order_ratings t JOIN order_sim s ON t.aid = s.aid GROUP BY t.uid, s.sim_aid""",
+    ),
     "articles": (
         (),
         """SELECT doc_id AS article_id, CAST(n_chars AS INTEGER) AS article_num,
@@ -191,11 +208,9 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "linear": (
         (),
-        """SELECT vec_id, label % 2 AS label,
-                  -1.979557474498824::DOUBLE + -0.805920436998945::DOUBLE * embedding[1]
-                  + -12.098913883790336::DOUBLE * embedding[2]
-                  + 9.068073983322742::DOUBLE * embedding[3]
-                  + 22.69041559187648::DOUBLE * embedding[4] AS z
+        """SELECT vec_id, label % 2 AS label, 0.25::DOUBLE
+                  + list_sum([embedding[i]::DOUBLE * ((i * 37 % 41 - 20)::DOUBLE / 10)
+                              FOR i IN range(1, 65)]) AS z
            FROM embeddings""",
     ),
     "scored": (

@@ -15,12 +15,6 @@ DEFAULTS = {
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
-# For tables of a few megabytes on one machine: keep partitions small enough to use all cores.
-LOCAL_DEFAULTS = {
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    "spark.sql.files.openCostInBytes": "256k",
-}
-
 
 def build_session(
     app: str,
@@ -39,8 +33,6 @@ def build_session(
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULTS)
-    if master and master.startswith("local"):
-        settings.update(LOCAL_DEFAULTS)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if checkpoint_dir:

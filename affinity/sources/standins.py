@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def user_actions(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+def user_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a behaviour log; the article id sits in the JSON properties."""
     raw = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("uid"),
@@ -29,7 +29,7 @@ def user_actions(spark: SparkSession, sf_dir: str, limit: int | None = None) ->
         F.col("event_type").alias("action"),
         F.date_format("ts", "yyyyMMdd").alias("action_date"),
     )
-    return tables.scan_user_actions(raw, limit)
+    return tables.scan_user_actions(raw)
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,34 +38,30 @@ def _present(df: DataFrame, *ids: str) -> DataFrame:
     return df
 
 
-def _limited(df: DataFrame, limit: int | None) -> DataFrame:
-    return df if limit is None else df.limit(limit)
-
-
-def scan_user_actions(raw: DataFrame, limit: int | None = None) -> DataFrame:
+def scan_user_actions(raw: DataFrame) -> DataFrame:
     """Behaviour log: uid, aid, action, action_date (``yyyyMMdd``)."""
-    return _limited(_present(typed(raw, schemas.USER_ACTIONS), "uid", "aid"), limit)
+    return _present(typed(raw, schemas.USER_ACTIONS), "uid", "aid")
 
 
-def scan_article_base(raw: DataFrame, limit: int | None = None) -> DataFrame:
+def scan_article_base(raw: DataFrame) -> DataFrame:
     """Article facts: character count, image count, type, days since publication."""
-    return _limited(_present(typed(raw, schemas.ARTICLE_BASE), "article_id"), limit)
+    return _present(typed(raw, schemas.ARTICLE_BASE), "article_id")
 
 
-def scan_user_base(raw: DataFrame, limit: int | None = None) -> DataFrame:
+def scan_user_base(raw: DataFrame) -> DataFrame:
     """User profile: gender, age, email suffix."""
-    return _limited(_present(typed(raw, schemas.USER_BASE), "uid"), limit)
+    return _present(typed(raw, schemas.USER_BASE), "uid")
 
 
-def scan_article_terms(raw: DataFrame, limit: int | None = None) -> DataFrame:
+def scan_article_terms(raw: DataFrame) -> DataFrame:
     """Word vectors of the top terms of each article, without the missing ones."""
     rows = typed(_present(raw, "vector"), schemas.ARTICLE_TERMS)
-    return _limited(_present(rows, "article_id"), limit)
+    return _present(rows, "article_id")
 
 
-def scan_training(raw: DataFrame, limit: int | None = None) -> DataFrame:
+def scan_training(raw: DataFrame) -> DataFrame:
     """Labelled (uid, aid) samples."""
-    return _limited(_present(typed(raw, schemas.TRAINING), "uid", "aid"), limit)
+    return _present(typed(raw, schemas.TRAINING), "uid", "aid")
 
 
 def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from affinity.operators import als
 from affinity.sources import schemas
-from affinity.sources.samples import sample_ratings
+from test_itemcf import RATINGS, invented
 
 
 @pytest.fixture(scope="module")
 def recall(spark):
-    return als.fit_als(sample_ratings(spark), rank=4, blocks=2)
+    return als.fit_als(invented(spark), rank=4, blocks=2)
 
 
 def test_factors_are_not_negative(recall):
@@ -21,8 +21,8 @@ def test_factors_are_not_negative(recall):
 
 
 def test_topk_bounds_and_unseen(spark, recall):
-    ratings = sample_ratings(spark)
-    top = als.recommend_all(recall, 5)
+    ratings = invented(spark)
+    top = als.topk_all(recall, 5)
     assert top.schema.simpleString() == "struct<uid:bigint,pred_aid:bigint,pred_rating:double>"
     assert set(Counter(r.uid for r in top.collect()).values()) == {5}
     seen = {(r.uid, r.aid) for r in ratings.collect()}
@@ -31,26 +31,57 @@ def test_topk_bounds_and_unseen(spark, recall):
 
 
 def test_chosen_users(spark, recall):
-    users = spark.createDataFrame([(2,), (2,), (4,), (99,)], "uid bigint")
-    assert Counter(r.uid for r in als.recommend_users(recall, users, 3).collect()) == {2: 3, 4: 3}
+    users = spark.createDataFrame([(12,), (12,), (14,), (99,)], "uid bigint")
+    assert Counter(r.uid for r in als.topk_users(recall, users, 3).collect()) == {12: 3, 14: 3}
 
 
 def test_predictions_drop_unknown_ids(spark, recall):
-    rows = [(1, 101, 5.0), (1, 999, 1.0), (77, 101, 1.0), (2**40, 101, 1.0)]
+    rows = [(11, 1, 5.0), (11, 999, 1.0), (77, 1, 1.0), (2**40, 1, 1.0)]
     got = als.predict(recall, spark.createDataFrame(rows, schemas.RATINGS)).collect()
-    assert [(r.uid, r.aid, r.rating) for r in got] == [(1, 101, 5.0)]
+    assert [(r.uid, r.aid, r.rating) for r in got] == [(11, 1, 5.0)]
 
 
 def test_wide_ids_are_numbered_and_restored(spark, recall):
     shift = 2**50
-    wide = sample_ratings(spark).select(
+    wide = invented(spark).select(
         (F.col("uid") * shift).alias("uid"), (F.col("aid") * shift).alias("aid"), "rating"
     )
     fitted = als.fit_als(wide, rank=4, blocks=2)
     assert fitted.users is not None and fitted.items is not None
-    got = als.recommend_all(fitted, 7)
-    assert {r.uid // shift for r in got.collect()} == {1, 2, 3, 4, 5}
-    assert {r.pred_aid // shift for r in got.collect()} == set(range(101, 108))
-    assert als.predict(fitted, wide).count() == 21
-    chosen = als.recommend_users(fitted, spark.createDataFrame([(shift,)], "uid bigint"), 2)
-    assert [r.uid for r in chosen.collect()] == [shift, shift]
+    got = als.topk_all(fitted, 6)
+    assert {r.uid // shift for r in got.collect()} == set(range(11, 18))
+    assert {r.pred_aid // shift for r in got.collect()} == set(range(1, 7))
+    assert als.predict(fitted, wide).count() == len(RATINGS)
+    chosen = als.topk_users(fitted, spark.createDataFrame([(12 * shift,)], "uid bigint"), 2)
+    assert [r.uid for r in chosen.collect()] == [12 * shift, 12 * shift]
+
+
+def by_id(recall):
+    table = als.factors(recall).orderBy("side", "id", "slot").collect()
+    out = {}
+    for r in table:
+        out.setdefault((r.side, r.id), []).append(r.value)
+    return out
+
+
+@pytest.mark.parametrize("shift", [1, 2**50])
+def test_predictions_are_dot_products_and_topk_the_best_of_them(spark, shift):
+    ratings = invented(spark).select(
+        (F.col("uid") * shift).alias("uid"), (F.col("aid") * shift).alias("aid"), "rating"
+    )
+    fitted = als.fit_als(ratings, rank=4, blocks=2)
+    factors = by_id(fitted)
+    users, items = ([i for side, i in factors if side == name] for name in ("user", "item"))
+    assert set(users) == {u * shift for u, _, _ in RATINGS} and set(items) == {a * shift for _, a, _ in RATINGS}
+
+    def dot(uid, aid):
+        return sum(x * y for x, y in zip(factors["user", uid], factors["item", aid]))
+
+    for r in als.predict(fitted, ratings).collect():
+        assert r.prediction == pytest.approx(dot(r.uid, r.aid), abs=1e-5)
+    best = {}
+    for r in als.topk_all(fitted, 3).collect():
+        best.setdefault(r.uid, []).append(r.pred_rating)
+    for uid in users:
+        expected = sorted((dot(uid, aid) for aid in items), reverse=True)[:3]
+        assert sorted(best[uid], reverse=True) == pytest.approx(expected, abs=1e-5)

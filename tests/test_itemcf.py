@@ -10,22 +10,21 @@ from affinity.operators import candidates, itemcf, similarity
 from affinity.operators.als import explode_recommendations
 from affinity.operators.ratings import hash_split
 from affinity.sources import schemas
-from affinity.sources.samples import RATINGS, sample_ratings
-
-PAIRS = {
-    (101, 102): .744173, (101, 103): .783312, (101, 104): .801638, (101, 105): .507224,
-    (101, 106): .728799, (101, 107): .286299, (102, 103): .793708, (102, 104): .460290,
-    (102, 105): .374017, (102, 106): .430775, (103, 104): .631383, (103, 105): .184586,
-    (103, 106): .531494, (104, 105): .748423, (104, 106): .801388, (104, 107): .533333,
-    (105, 106): .434122, (105, 107): .789352,
-}
-UNSEEN = {
-    1: [(107, 5.0), (105, 3.865201), (106, 3.704792), (104, 3.680070)],
-    2: [(106, 2.726139), (105, 2.408305), (107, 2.0)],
-    3: [(106, 3.553972), (102, 3.411300), (103, 3.323024)],
-    4: [(107, 4.674651), (105, 4.371781), (102, 4.074358)],
-    5: [(107, 3.754705)],
-}
+
+# An invented table: seven users, six items, every pair of items shared by somebody or nobody.
+RATINGS = [
+    (11, 1, 4.0), (11, 2, 1.0), (11, 3, 2.0),
+    (12, 1, 1.0), (12, 4, 3.0),
+    (13, 2, 5.0), (13, 3, 0.5), (13, 5, 2.5),
+    (14, 3, 1.5), (14, 4, 4.0), (14, 5, 1.0),
+    (15, 1, 2.0), (15, 5, 3.0),
+    (16, 2, 3.5), (16, 4, 0.5), (16, 6, 4.5),
+    (17, 6, 2.0),
+]
+
+
+def invented(spark):
+    return spark.createDataFrame(RATINGS, schemas.RATINGS)
 
 
 def pairs_of(df):
@@ -66,15 +65,24 @@ def skewed_rows(seed=5):
     return [(u, a, r) for (u, a), r in rows.items()]
 
 
-def test_golden_similarity(spark):
-    got = pairs_of(similarity.item_similarity(sample_ratings(spark)))
-    assert {k: round(v, 6) for k, v in got.items()} == PAIRS
+def expected_lists():
+    """Unseen items of each user, best first, from plain loops."""
+    lists = defaultdict(list)
+    for (uid, aid), score in brute_force(RATINGS)[1].items():
+        lists[uid].append((aid, round(score, 6)))
+    return {uid: sorted(x, key=lambda p: (-p[1], p[0])) for uid, x in lists.items()}
+
+
+def test_similarity_of_the_invented_table(spark):
+    got = pairs_of(similarity.item_similarity(invented(spark)))
+    expected = {k: v for k, v in brute_force(RATINGS)[0].items() if k[0] < k[1]}
+    assert got == pytest.approx(expected)
 
 
 def test_zero_ratings_form_no_pair(spark):
-    rows = [*RATINGS, (6, 108, 0.0), (6, 101, 3.0), (6, 102, 0.0)]
+    rows = [*RATINGS, (18, 7, 0.0), (18, 1, 3.0), (18, 6, 0.0)]
     got = pairs_of(similarity.item_similarity(spark.createDataFrame(rows, schemas.RATINGS)))
-    assert got.keys() == PAIRS.keys()
+    assert got.keys() == pairs_of(similarity.item_similarity(invented(spark))).keys()
 
 
 def test_similarity_agrees_with_the_matrix_library(spark):
@@ -98,16 +106,16 @@ def test_tiles_do_not_change_similarity(spark, tile, per_task):
 
 
 def test_symmetric_holds_both_directions(spark):
-    both = pairs_of(similarity.symmetric(similarity.item_similarity(sample_ratings(spark))))
-    assert len(both) == 36
+    both = pairs_of(similarity.symmetric(similarity.item_similarity(invented(spark))))
+    assert len(both) == 2 * similarity.item_similarity(invented(spark)).count()
     assert all(both[b, a] == s and 0 < s <= 1 + 1e-12 for (a, b), s in both.items())
 
 
-def test_golden_recommendations(spark):
+def test_best_unseen_of_the_invented_table(spark):
     got = defaultdict(list)
-    for r in itemcf.recommend(sample_ratings(spark)).orderBy("uid", "rank").collect():
+    for r in itemcf.best_unseen(invented(spark)).orderBy("uid", "rank").collect():
         got[r.uid].append((r.sim_aid, round(r.pred_rating, 6)))
-    assert got == UNSEEN
+    assert got == expected_lists()
 
 
 def test_top_k_ranks_without_gaps_and_breaks_ties_by_item(spark):
@@ -119,12 +127,12 @@ def test_top_k_ranks_without_gaps_and_breaks_ties_by_item(spark):
     ]
 
 
-@pytest.mark.parametrize("per_task, per_part", [(20_000_000, 1000), (50, 2), (1, 1)])
-def test_scores_match_brute_force_with_hot_items(spark, per_task, per_part):
+@pytest.mark.parametrize("per_task", [20_000_000, 500, 60])
+def test_scores_match_brute_force_with_hot_items(spark, per_task):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, schemas.RATINGS)
     sims = similarity.symmetric(similarity.item_similarity(df, items_per_tile=7))
-    joined = itemcf.rating_similarity_join(df, sims, per_task, per_part)
+    joined = itemcf.rating_similarity_join(df, sims, per_task)
     expected = pytest.approx(brute_force(rows)[1])
     for scored in (
         itemcf.drop_seen(itemcf.item_scores(joined), df), itemcf.unseen_scores(joined, df),
@@ -132,13 +140,13 @@ def test_scores_match_brute_force_with_hot_items(spark, per_task, per_part):
         assert {(r.uid, r.sim_aid): r.pred_rating for r in scored.collect()} == expected
 
 
-@pytest.mark.parametrize("per_task, per_part", [(20_000_000, 1000), (20, 2)])
-def test_holdout_is_predicted_alike_with_and_without_all_scores(spark, per_task, per_part):
+@pytest.mark.parametrize("per_task", [20_000_000, 100])
+def test_holdout_is_predicted_alike_with_and_without_all_scores(spark, per_task):
     train, holdout = hash_split(spark.createDataFrame(skewed_rows(), schemas.RATINGS))
     near = itemcf.neighbours(train)
     scores = itemcf.item_scores(itemcf.rating_similarity_join(train, near))
     full = itemcf.holdout_predictions(scores, holdout).collect()
-    few = itemcf.predict_holdout(train, holdout, near, per_task, per_part).collect()
+    few = itemcf.predict_holdout(train, holdout, near, per_task).collect()
     assert full and {(r.uid, r.aid, r.rating): r.pred_rating for r in few} == pytest.approx(
         {(r.uid, r.aid, r.rating): r.pred_rating for r in full}
     )
@@ -165,12 +173,12 @@ def test_holdout_predictions_keep_only_predicted_pairs(spark):
 
 
 def test_lists_are_best_first_and_explode_back(spark):
-    top = itemcf.recommend(sample_ratings(spark)).drop("rank")
+    top = itemcf.best_unseen(invented(spark)).drop("rank")
     lists = candidates.recommendation_lists(top, "sim_aid")
     got = {
         r.uid: [(x.aid, round(x.rating, 6)) for x in r.recommendations] for r in lists.collect()
     }
-    assert got == UNSEEN
+    assert got == expected_lists()
     back = {tuple(r) for r in explode_recommendations(lists).collect()}
     assert back == {tuple(r) for r in top.collect()}
 
@@ -180,10 +188,10 @@ def plan_of(df) -> str:
 
 
 def test_seen_filter_is_an_anti_join_and_top_k_is_limited_before_the_shuffle(spark):
-    train = sample_ratings(spark)
-    plan = plan_of(itemcf.drop_seen(sample_ratings(spark).withColumnRenamed("aid", "sim_aid"), train))
+    train = invented(spark)
+    plan = plan_of(itemcf.drop_seen(invented(spark).withColumnRenamed("aid", "sim_aid"), train))
     assert "LeftAnti" in plan
-    plan = plan_of(itemcf.recommend(train, 3))
+    plan = plan_of(itemcf.best_unseen(train, 3))
     assert "partial_sum" in plan and "Anti" not in plan
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -200,4 +208,3 @@ def test_nulls_in_ids_are_dropped_at_the_scan(spark):
     got = scan_user_actions(raw)
     assert got.schema.simpleString() == "struct<uid:bigint,aid:bigint,action:string,action_date:string>"
     assert got.select("uid", "aid").collect() == [(1, 2)]
-    assert scan_user_actions(raw.union(raw), limit=1).count() == 1

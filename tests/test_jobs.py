@@ -33,7 +33,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert itemcf.groupBy("uid").count().agg(F.max("count")).first()[0] <= 20
     width = len(users.first().features) + len(articles.first().features) + 64
     assert ranker.model.count() == width + 1
-    assert small.model.where(F.col("feature") != ranking.INTERCEPT).count() == 4
+    assert small.model.where(F.col("feature") != ranking.INTERCEPT).count() == 64
     assert ranker.loss.count() > 1
     assert {r.metric for r in ranker.metrics.collect()} == {"accuracy", "auc"}
 

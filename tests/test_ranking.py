@@ -25,15 +25,14 @@ def test_numeric_scores(spark):
     assert got[2].prediction == 1
 
 
-@pytest.mark.parametrize("inline", [5000, 3])
-def test_categorical_scores_inline_and_joined(spark, inline):
+def test_categorical_scores(spark):
     values = ["0.2", "1.8", None, "1.7"]
     rows = spark.createDataFrame(
         [(i, 5.0, 3.0, 1.5, v) for i, v in enumerate(values)],
         "id int, sepal_length double, sepal_width double, petal_length double, petal_width string",
     )
     model = spark.createDataFrame(CATEGORICAL_MODEL, schemas.MODEL)
-    scored = ranking.linear_score(rows, model, max_inline_terms=inline)
+    scored = ranking.linear_score(rows, model)
     assert scored.columns == [*rows.columns, "z", "p1", "p0", "prediction"]
     got = {r.id: r.z for r in scored.collect()}
     base = -18.243543304562436 + 12.42706970289986
@@ -42,6 +41,38 @@ def test_categorical_scores_inline_and_joined(spark, inline):
     )
 
 
+@pytest.mark.parametrize(
+    "terms, vector, expected",
+    [
+        ([("f1", 2.0), ("f3", 3.0)], [1.0, 10.0, 100.0], 302.5),
+        ([("f1", 2.0), ("f3", 3.0), ("f7", 1.0)], [1.0, 0.0, 1.0, 9.0, 9.0, 9.0, 5.0], 10.5),
+        ([("f2", 2.0), ("f2", 5.0)], [1.0, 3.0], 21.5),
+    ],
+)
+def test_scores_with_gaps_and_repeats(spark, terms, vector, expected):
+    model = [(ranking.INTERCEPT, None, 0.5), *((name, None, weight) for name, weight in terms)]
+    rows = spark.createDataFrame([(vector,)], "x array<double>")
+    scored = ranking.linear_score(rows, spark.createDataFrame(model, schemas.MODEL), vector="x")
+    assert scored.first().z == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("terms", [[("f1", 2.0)], [("f1", 1.0), ("f9", 1.0)], [("g1", 1.0), ("f2", 1.0)]])
+def test_wrong_width_or_slot_is_an_error(spark, terms):
+    model = spark.createDataFrame([(n, None, w) for n, w in terms], schemas.MODEL)
+    rows = spark.createDataFrame([([1.0, 2.0],)], "x array<double>")
+    with pytest.raises(Exception, match="as wide as|no slot"):
+        ranking.linear_score(rows, model, vector="x").collect()
+
+
+def test_repeated_categorical_terms_add_up(spark):
+    model = [("a", "x", 1.0), ("a", "x", 2.0), ("b", None, 1.0), ("b", None, 1.5)]
+    rows = spark.createDataFrame([("x", 2.0), ("y", 2.0)], "a string, b double")
+    scored = ranking.linear_score(rows, spark.createDataFrame(model, schemas.MODEL))
+    assert sorted((r.a, r.z) for r in scored.collect()) == [("x", 8.0), ("y", 5.0)]
+    with pytest.raises(ValueError):
+        ranking.linear_score(rows.drop("b"), spark.createDataFrame(model, schemas.MODEL))
+
+
 def fitted(spark):
     rng = random.Random(3)
     rows = []
@@ -136,6 +167,13 @@ def test_auc_with_and_without_ties(spark, levels):
     assert got == pytest.approx(library.evaluate(df))
 
 
+@pytest.mark.parametrize("row", [(None, 1), (0.5, None)])
+def test_auc_of_a_missing_score_or_label_is_an_error(spark, row):
+    df = spark.createDataFrame([(0.5, 1), (0.6, 0), row], "p1 double, label int")
+    with pytest.raises(Exception, match="missing"):
+        evaluate.auc(df).collect()
+
+
 def test_auc_of_one_class_is_null(spark):
     df = spark.createDataFrame([(0.5, 1), (0.6, 1)], "p1 double, label int")
     assert evaluate.auc(df).first().auc is None
@@ -146,7 +184,7 @@ def test_rmse(spark):
     assert evaluate.rmse(df).first().rmse == pytest.approx(math.sqrt(2.5))
 
 
-@pytest.mark.parametrize("values, parts", [(8_000_000, 1), (300, 3), (10, 90)])
+@pytest.mark.parametrize("values, parts", [(8_000_000, 8), (300, 8), (10, 90)])
 def test_training_partitions_follow_the_vectors(spark, monkeypatch, values, parts):
     monkeypatch.setattr(ranking, "VALUES_PER_PARTITION", values)
     samples, _ = fitted(spark)
