@@ -30,19 +30,30 @@ def _sparse_width(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*\(\s*(\d+)", 1).try_cast("int")
 
 
+def dense(width: Column, indices: Column, values: Column) -> Column:
+    """The ``array<double>`` of a sparse vector, in one pass over its entries."""
+    entries = F.array_sort(F.zip_with(indices, values, lambda i, v: F.struct(i.alias("i"), v.alias("v"))))
+
+    def place(sorted_entries: Column, n: Column) -> Column:
+        return F.coalesce(F.get(sorted_entries, n)["i"], F.lit(-1))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+    def filled(e: Column) -> Column:
+        runs = F.transform(e, lambda x, n: F.concat(zeros(x["i"] - place(e, n - 1) - 1), F.array(x["v"])))
+        return F.concat(F.flatten(runs), zeros(width - 1 - place(e, F.size(e) - 1)))
+
+    # The array of one holds the sorted entries, so that they are sorted once.
+    return F.transform(F.array(entries), filled)[0]
+
+
 def parse_sparse(text: Column) -> Column:
     """``(n,[i..],[v..])`` to a dense ``array<double>`` of length n."""
-    width = _sparse_width(text)
     parts = r"\[([^\]]*)\]\s*,\s*\[([^\]]*)\]"
-    cells = F.map_from_arrays(
-        _numbers(F.regexp_extract(text, parts, 1), "int"),
-        _numbers(F.regexp_extract(text, parts, 2), "double"),
-    )
-    filled = F.transform(
-        F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1),
-        lambda i: F.coalesce(F.try_element_at(cells, i), F.lit(0.0)),
-    )
-    return F.slice(filled, F.lit(1), width)
+    indices = _numbers(F.regexp_extract(text, parts, 1), "int")
+    values = _numbers(F.regexp_extract(text, parts, 2), "double")
+    return dense(_sparse_width(text), indices, values)
 
 
 def parse_vector(text: Column) -> Column:

@@ -1,44 +1,78 @@
-"""Feature vectors of users and articles."""
+"""Feature vectors of users and articles.
+
+A category is indexed by a table of its values, however many there are; a vector is put
+together from (size, indices, values) and made dense at the end.
+"""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.functions.vectors import dense
+from affinity.plans.skew import tasks_for
+from affinity.plans.staging import stage
+
 # Lower bounds of the age groups; the last one is open.
 AGE_SPLITS = [0.0, 15.0, 25.0, 35.0, 50.0, 60.0, float("inf")]
 USER_CATEGORIES = ("gender", "email_suffix")
 ARTICLE_NUMBERS = ("article_num", "img_num", "pub_gap")
-
-# A dense slot per category: more values than this are not one-hot features.
-MOST_CATEGORIES = 10_000
+VALUES_PER_TASK = 1_000_000
 
 Bounds = dict[str, tuple[float, float]]
 
 
-def _named(columns: tuple[str, ...], suffix: str) -> list[str]:
-    return [f"{column}_{suffix}" for column in columns]
+def category_index(rows: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
+    """(column, index) of every value: by falling frequency, ties alphabetical.
 
-
-def string_indexer(*columns: str) -> StringIndexer:
-    """Value to index by falling frequency, ties alphabetical; all columns in one pass."""
-    return StringIndexer(
-        inputCols=list(columns),
-        outputCols=_named(columns, "index"),
-        stringOrderType="frequencyDesc",
+    Values are counted, sorted in ranges, numbered within each and shifted by the
+    ranges before, so no task sees them all. A missing value is an error.
+    """
+    missing = F.raise_error(F.lit(f"{column} is missing")).cast("string")
+    value = F.coalesce(F.col(column).cast("string"), missing).alias(column)
+    counts = stage(rows.groupBy(value).agg(F.count("*").alias("n")), "values")
+    if partitions is None:
+        partitions = tasks_for(rows.sparkSession, counts.count(), VALUES_PER_TASK)
+    ranged = counts.repartitionByRange(partitions, F.desc("n"), F.asc(column))
+    placed = stage(ranged.withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("range").agg(F.count("*").alias("size"))
+    shifts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("range").orderBy(F.desc("n"), F.asc(column))
+    index = (F.row_number().over(inside) - 1 + F.col("shift")).cast("double")
+    return placed.join(shifts, "range").select(column, index.alias(f"{column}_index"))
+
+
+def indexed(rows: DataFrame, indexes: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` with ``<column>_index`` for each of the indexes; unknown values drop out."""
+    for column, index in indexes.items():
+        rows = rows.join(index, column)
+    return rows
+
+
+def one_hot(index: str, width: int) -> Column:
+    """(size, indices, values) with a 1 at the index, and no slot for the last, rarest value."""
+    hot = F.col(index) < width - 1
+    return F.struct(
+        F.lit(width - 1).alias("size"),
+        F.when(hot, F.array(F.col(index).cast("int"))).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(hot, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"),
     )
 
 
-def one_hot_encoder(*columns: str) -> OneHotEncoder:
-    """Index to a 0/1 vector without a slot for the last, rarest value."""
-    return OneHotEncoder(
-        inputCols=_named(columns, "index"), outputCols=_named(columns, "vec"), dropLast=True
-    )
+def to_dense(vector: Column) -> Column:
+    """A sparse vector as ``array<double>``."""
+    return dense(vector["size"], vector["indices"], vector["values"])
+
+
+def _width(index: DataFrame, column: str) -> int:
+    n = index.count()
+    if n < 2:
+        raise ValueError(f"{column!r} needs at least two distinct values, has {n}")
+    return n
 
 
 def age_bucketizer() -> Bucketizer:
@@ -46,19 +80,10 @@ def age_bucketizer() -> Bucketizer:
     return Bucketizer(inputCol="age", outputCol="age_group", splits=AGE_SPLITS)
 
 
-def column_bounds(
-    rows: DataFrame, *columns: str, categories: tuple[str, ...] = ()
-) -> Bounds:
-    """Smallest and largest value of each column, in one pass.
-
-    The same pass counts the values of ``categories`` and raises where one has
-    too many for its index to be held on the driver.
-    """
+def column_bounds(rows: DataFrame, *columns: str) -> Bounds:
+    """Smallest and largest value of each column, in one pass."""
     ends = [end(F.col(c).cast("double")) for c in columns for end in (F.min, F.max)]
-    row = rows.agg(*ends, *[F.approx_count_distinct(c) for c in categories]).first()
-    for column, n in zip(categories, row[len(ends):]):
-        if n > MOST_CATEGORIES:
-            raise ValueError(f"{column!r} has about {n} values, more than {MOST_CATEGORIES}")
+    row = rows.agg(*ends).first()
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
@@ -72,29 +97,30 @@ def minmax(column: str, bounds: Bounds) -> Column:
 
 
 class FeatureModel(NamedTuple):
-    """Fitted category indexes and column bounds."""
+    """Category indexes with their numbers of values, and column bounds."""
 
-    stages: PipelineModel
+    indexes: dict[str, DataFrame]
+    widths: dict[str, int]
     bounds: Bounds
 
 
+def _fit(rows: DataFrame, categories: tuple[str, ...], bounds: Bounds) -> FeatureModel:
+    indexes = {column: stage(category_index(rows, column), "index") for column in categories}
+    return FeatureModel(indexes, {c: _width(i, c) for c, i in indexes.items()}, bounds)
+
+
 def fit_user_features(profiles: DataFrame) -> FeatureModel:
     """Indexes of gender and email suffix, and the range of age groups."""
     grouped = age_bucketizer().transform(profiles)
-    bounds = column_bounds(grouped, "age_group", categories=USER_CATEGORIES)
-    stages = Pipeline(
-        stages=[
-            string_indexer(*USER_CATEGORIES), one_hot_encoder(*USER_CATEGORIES), age_bucketizer(),
-        ]
-    ).fit(profiles)
-    return FeatureModel(stages, bounds)
+    return _fit(profiles, USER_CATEGORIES, column_bounds(grouped, "age_group"))
 
 
 def apply_user_features(model: FeatureModel, profiles: DataFrame) -> DataFrame:
     """(uid, features). Slots: gender, email suffix, scaled age group."""
-    onehot = [vector_to_array(name) for name in _named(USER_CATEGORIES, "vec")]
+    rows = age_bucketizer().transform(indexed(profiles, model.indexes))
+    onehot = [to_dense(one_hot(f"{c}_index", model.widths[c])) for c in USER_CATEGORIES]
     features = F.concat(*onehot, F.array(minmax("age_group", model.bounds)))
-    return model.stages.transform(profiles).select("uid", features.alias("features"))
+    return rows.select("uid", features.alias("features"))
 
 
 def user_features(profiles: DataFrame) -> DataFrame:
@@ -104,16 +130,15 @@ def user_features(profiles: DataFrame) -> DataFrame:
 
 def fit_article_features(facts: DataFrame) -> FeatureModel:
     """Index of the article type, and the ranges of the three numbers."""
-    bounds = column_bounds(facts, *ARTICLE_NUMBERS, categories=("type_name",))
-    stages = Pipeline(stages=[string_indexer("type_name"), one_hot_encoder("type_name")])
-    return FeatureModel(stages.fit(facts), bounds)
+    return _fit(facts, ("type_name",), column_bounds(facts, *ARTICLE_NUMBERS))
 
 
 def apply_article_features(model: FeatureModel, facts: DataFrame) -> DataFrame:
     """(article_id, features). Slots: scaled length, images and age, then the type."""
     numbers = F.array(*[minmax(name, model.bounds) for name in ARTICLE_NUMBERS])
-    features = F.concat(numbers, vector_to_array("type_name_vec"))
-    return model.stages.transform(facts).select("article_id", features.alias("features"))
+    types = to_dense(one_hot("type_name_index", model.widths["type_name"]))
+    rows = indexed(facts, model.indexes)
+    return rows.select("article_id", F.concat(numbers, types).alias("features"))
 
 
 def article_features(facts: DataFrame) -> DataFrame:

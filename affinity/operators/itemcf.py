@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinity.operators.similarity import item_similarity, symmetric
+from affinity.operators.similarity import staged_similarity, symmetric
 from affinity.plans.skew import MOST_PER_TASK, split_join
-from affinity.plans.staging import stage
 
 TOP_K = 25
 JOB_TOP_K = 100
@@ -107,7 +106,7 @@ def neighbours(training: DataFrame) -> DataFrame:
     It is the costliest part, and its written size decides the joins that follow.
     The pairs are staged once and mirrored where they are read.
     """
-    return symmetric(stage(item_similarity(training), "similarity"))
+    return symmetric(staged_similarity(training))
 
 
 def best_unseen(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.plans.skew import MOST_PER_TASK, hot_table, part_of, tasks_for
+from affinity.plans.skew import MOST_PER_TASK, hot_table, part_of, shuffle_partitions, tasks_for
+from affinity.plans.staging import stage
 
 # Items of one user that meet in one task.
 ITEMS_PER_TILE = 2000
@@ -84,6 +85,20 @@ def item_similarity(
     )
 
 
+def pair_count(ratings: DataFrame) -> float:
+    """How many (user, item, item) combinations :func:`item_similarity` sums up."""
+    sizes = ratings.where(F.col("rating") != 0).groupBy("uid").agg(F.count("*").alias("n"))
+    pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    return sizes.agg(F.sum(pairs)).first()[0] or 0.0
+
+
+def staged_similarity(ratings: DataFrame) -> DataFrame:
+    """:func:`item_similarity`, written with as many shuffle partitions as its pairs fill."""
+    spark = ratings.sparkSession
+    with shuffle_partitions(spark, tasks_for(spark, pair_count(ratings))):
+        return stage(item_similarity(ratings), "similarity")
+
+
 def symmetric(similarity: DataFrame) -> DataFrame:
     """Both directions of an upper-triangle similarity table."""
     mirror = similarity.select(

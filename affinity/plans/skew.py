@@ -9,6 +9,8 @@ instead, and change nothing about the result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,19 @@ def tasks_for(spark: SparkSession, rows: float, most_per_task: int = MOST_PER_TA
     return max(1, cores, math.ceil(rows / most_per_task))
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """At least so many shuffle partitions for what is run inside: a sum over pairs has as
+    many rows as the join below it makes, whatever the size of its input."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def part_of(value: Column, parts: Column) -> Column:
     """Stable part number in ``[0, parts)`` for a value."""
     return F.pmod(F.xxhash64(value), parts.cast("bigint")).cast("int")

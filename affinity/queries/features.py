@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions import vectors as fn
 from affinity.operators import features
 from affinity.operators.ranking import nonempty
-from affinity.plans.staging import new_path
+from affinity.plans.staging import new_path, stage
 from affinity.queries import inputs
 from affinity.queries.inputs import rounded, slots
 from affinity.queries.sql import text, using
@@ -68,17 +66,16 @@ def filter_nonempty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = standins.user_base(spark, sf_dir)
-    indexed = features.string_indexer(*features.USER_CATEGORIES).fit(profiles).transform(profiles)
-    return indexed.select("uid", "gender", "email_suffix", "gender_index", "email_suffix_index")
+    indexes = {c: features.category_index(profiles, c) for c in features.USER_CATEGORIES}
+    rows = features.indexed(profiles, indexes)
+    return rows.select("uid", "gender", "email_suffix", "gender_index", "email_suffix_index")
 
 
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = standins.article_base(spark, sf_dir)
-    stages = [features.string_indexer("type_name"), features.one_hot_encoder("type_name")]
-    encoded = Pipeline(stages=stages).fit(facts).transform(facts)
-    return slots(
-        encoded.select("article_id", vector_to_array("type_name_vec").alias("v")), "article_id", "v"
-    )
+    index = stage(features.category_index(facts, "type_name"), "index")
+    vector = features.to_dense(features.one_hot("type_name_index", index.count()))
+    return slots(facts.join(index, "type_name").select("article_id", vector.alias("v")), "article_id", "v")
 
 
 def bucketize_age(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,11 +56,21 @@ def test_a_single_type_is_an_error(spark):
         features.article_features(spark.createDataFrame(rows, schemas.ARTICLE_BASE))
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(features, "MOST_CATEGORIES", 2)
-    rows = [(i, "F", 20, f"{i}.com") for i in range(5)]
-    with pytest.raises(ValueError, match="email_suffix"):
-        features.user_features(spark.createDataFrame(rows, schemas.USER_BASE))
+@pytest.mark.parametrize("partitions", [None, 7])
+def test_index_of_twenty_thousand_values(spark, partitions):
+    rows = spark.range(20_500).select((F.col("id") % 20_000).cast("string").alias("c"))
+    got = {r["c"]: r["c_index"] for r in features.category_index(rows, "c", partitions).collect()}
+    order = sorted(map(str, range(500))) + sorted(map(str, range(500, 20_000)))
+    assert got == {value: float(i) for i, value in enumerate(order)}
+    wide = rows.join(features.category_index(rows, "c", partitions), "c").where("c = '3'").limit(1)
+    vector = wide.select(features.to_dense(features.one_hot("c_index", 20_000)).alias("v")).first().v
+    assert len(vector) == 19_999 and sum(vector) == 1 and vector[int(got["3"])] == 1
+
+
+def test_missing_category_is_an_error(spark):
+    rows = spark.createDataFrame([("a",), (None,)], "c string")
+    with pytest.raises(Exception, match="c is missing"):
+        features.category_index(rows, "c").collect()
 
 
 def test_missing_number_is_an_error(spark):

@@ -53,6 +53,21 @@ def test_hot_table_holds_only_split_keys(spark):
     assert hot.collect() == [(1, 3)]
 
 
+def test_shuffle_partitions_follow_the_work(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+
+    def written():
+        plan = spark.range(9).groupBy((F.col("id") % 3).alias("k")).count()
+        return plan._jdf.queryExecution().executedPlan().toString()
+
+    with skew.shuffle_partitions(spark, 123):
+        assert ", 123)" in written()
+    with skew.shuffle_partitions(spark, 1):
+        assert spark.conf.get(name) == before
+    assert spark.conf.get(name) == before
+
+
 def test_tasks_follow_the_work(spark):
     assert skew.tasks_for(spark, 0) == 1
     assert skew.tasks_for(spark, 250_000) == 3
