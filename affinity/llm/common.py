@@ -6,6 +6,7 @@ text, a run of words by a polynomial over those hashes.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,11 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from affinity.plans import staging
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other C libraries have none
+except (OSError, AttributeError):
+    _LIBC = None
 _MARKS = re.compile(r"[\W_]+")
 SPACES = r"[\x20\x09-\x0D]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,11 +158,23 @@ def by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
+def release() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def batches(stream: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, so that memory stays bounded."""
+    """The same rows in batches of at most ``rows``, so that memory stays bounded.
+
+    What a batch has left in the allocators goes back to the system: workers are kept for
+    later stages, and an executor's memory is shared by all of them.
+    """
     for batch in stream:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            release()
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import batches, by_hash, chunked, mix, read, split_words, stage, typed
+from affinity.llm.common import batches, by_hash, chunked, mix, read, release, split_words, stage, typed
 
 DEPTH = 5
 MOST_CONTEXTS = 1_500_000
@@ -108,7 +108,7 @@ class Tree:
                 weight[d], below = np.ones(len(keys)), own
                 continue
             at, (_, z, o) = parents[d + 1], levels[d + 1]
-            split = np.bincount(at, below, len(keys))
+            split = np.bincount(at, below, len(keys)).astype(float)
             rest = [x - np.bincount(at, y, len(keys)) for x, y in ((zeros, z), (ones, o))]
             split += log_block(*rest)
             mixed = np.logaddexp(own, split) - np.log(2)
@@ -222,6 +222,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         return words, names, at, counts, group
 
     def deal(key, table):
+        release()
         _, names, _, counts, group = tokens(table)
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -234,6 +235,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         })
 
     def total(table):
+        release()
         table = table.sort_by("chunk")
         packed = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
@@ -247,6 +249,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         ).append_column("types", pa.array(types))
 
     def finish(key, left, right):
+        release()
         words, names, at, counts, group = tokens(left)
         right = right.sort_by("part")
         totals = np.empty(len(names), np.int64)

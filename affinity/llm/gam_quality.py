@@ -12,7 +12,7 @@ Features are counted over whole texts. The model is fitted on the driver from at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -221,16 +221,25 @@ def held_out(doc_id: Column) -> Column:
 
 def with_features(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` as ``row``, with the array ``x`` of features."""
+    return _per_text(docs, keep, "x array<double>", _listed)
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
+
+
+def _per_text(docs: DataFrame, keep: tuple[str, ...], column: str, make: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """``keep`` as ``row``, and a column made from the features of each text."""
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
     kind = rows.schema["row"].dataType
+    name = column.split()[0]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 1000):
-            x = features(batch.column("text"))
-            offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            yield pa.record_batch([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["row", "x"])
+            yield pa.record_batch([batch.column("row"), make(features(batch.column("text")))], ["row", name])
 
-    return rows.mapInArrow(run, typed(row=kind, after="x array<double>"))
+    return rows.mapInArrow(run, typed(row=kind, after=column))
 
 
 def train(features_of: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -265,7 +274,9 @@ def scored(features_of: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good; all columns as they were."""
     model = train(with_features(docs, "doc_id"), labels)
-    return scored(with_features(docs, *docs.columns), model).filter("predicted = 1").select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scores = _per_text(docs, tuple(docs.columns), "score double", lambda x: pa.array(shared.value.score(x)))
+    return scores.filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op8_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

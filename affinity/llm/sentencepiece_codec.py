@@ -27,7 +27,7 @@ from affinity.llm.common import batches, flat, read, typed
 
 MARK = "▁"
 # Distinct chunks whose ids a task keeps for later batches; only speed depends on it.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -335,7 +335,7 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for batch in batches(stream, 1000):
+        for batch in batches(stream, 400):
             texts = pc.fill_null(pc.struct_field(batch.column("row"), "text"), "")
             ids, counts = codec.encode(texts)
             same = [a == b for a, b in zip(codec.decode(ids, counts), texts.to_pylist())]
@@ -354,7 +354,7 @@ def decode(tokens: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for batch in batches(stream, 1000):
+        for batch in batches(stream, 400):
             lists = pc.struct_field(batch.column("row"), "ids")
             counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             texts = codec.decode(flat(lists).flatten().to_numpy(), counts)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, ordered, read, split_words, typed
+from affinity.llm.common import Runs, Words, batches, by_hash, chunked, found, mix, ordered, read, release, split_words, typed
 
 WINDOW = 20
 GROUP_SIZE = 1_000_000
@@ -145,6 +145,7 @@ def remove_repeats(
     groups = max(1, -(-size // (6 * group_size)) * 2)
 
     def deal(key, table):
+        release()
         words = split_words(pc.struct_field(ordered(table).column("row"), "text"))
         starts, prefix, whole, runs = prefixes(words, window, frequent)
         group = _group(prefix, groups)
@@ -161,6 +162,7 @@ def remove_repeats(
         })
 
     def repeated(table):
+        release()
         table = table.sort_by("chunk")
         packed = [np.frombuffer(x, np.uint64) for x in table.column("labels").to_pylist()]
         labels = np.concatenate(packed)
@@ -175,6 +177,7 @@ def remove_repeats(
     row_type = docs.select(F.struct("*").alias("row")).schema["row"].dataType
 
     def cut(key, left, right):
+        release()
         table = ordered(left)
         words = split_words(pc.struct_field(table.column("row"), "text"))
         starts, prefix, whole, _ = prefixes(words, window, frequent)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import chunked, mix, ordered, read, typed
+from affinity.llm.common import chunked, mix, ordered, read, release, typed
 
 K, S, SIZE = 16, 5, 48
 SLACK = 64
@@ -178,6 +178,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
         return pc.fill_null(pc.struct_field(table.column("row"), "text"), "").to_pylist()
 
     def inner(key, table):
+        release()
         table = ordered(table)
         own = texts(table)
         columns = _compare(own[1:], own[:-1], chained=True)
