@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,12 @@ def brute_force(training, texts):
         if context:
             longer[context[1:], prefix].add(context)
 
+    @cache
     def block(a, b):
         terms = [math.log((i + 0.5) / (i + 1)) for i in range(a)]
         return sum(terms + [math.log((i + 0.5) / (a + i + 1)) for i in range(b)])
 
+    @cache
     def weighted(context, prefix):
         own = block(*counts[context, prefix])
         if len(context) == DEPTH:
