@@ -196,7 +196,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     )
     rows = shared.select("node", F.explode(pairs).alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return rows.join(full, "key").select("key", "node")
+    return rows.hint("merge").join(full, "key").select("key", "node")
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -101,7 +101,7 @@ def allocate(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS
     sources = apportion(
         sources.withColumn("quota", F.round(F.col("total") / block).cast("long")), ["quota"], _name(), "target", "total", "quota"
     )
-    passes = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    passes = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words)))
     sources = stage(
         sources.withColumn("passes", passes)
@@ -143,6 +143,9 @@ def allocate(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS
     parts = (
         placed.filter("size > 0 and blocks > 0")
         .select("name", "shard", "number", "start", "end", F.explode(F.sequence(first_block, last_block)).alias("block"))
+        # Blocks are many for each row they come from: planned by the rows' size, a join would
+        # broadcast them.
+        .hint("merge")
         .join(chosen, ["name", "shard", "block"])
         .select("name", "shard", "number", F.struct((low - F.col("start")).alias("from"), (high - F.col("start")).alias("to")).alias("part"))
         .groupBy("name", "shard", "number")
@@ -151,7 +154,7 @@ def allocate(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
     extra = F.aggregate("parts", F.lit(0).cast("long"), lambda n, part: n + part["to"] - part["from"])
     return (
-        placed.join(parts, ["name", "shard", "number"], "left")
+        placed.join(parts.hint("merge"), ["name", "shard", "number"], "left")
         .withColumn("parts", F.coalesce("parts", none))
         .withColumn("taken", F.col("passes") * F.col("size") + extra)
         .select("doc_id", "source", "digest", "size", "source_size", "target", "passes", "parts", "taken")
