@@ -199,14 +199,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return rows.hint("merge").join(full, "key").select("key", "node")
 
 
-def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of near duplicates, and the links found between different texts.
-
-    The first result has, for every row of ``docs``, (doc_id, digest of the text, class_id,
-    n_links of its text). The class is the least doc_id of it. Texts without words are alike
-    only as copies. A null doc_id never leads a class with other rows; where a text has no
-    other, the class is a negative number drawn from the digest and only copies join it.
-    """
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest) of every row; (digest, id, node, class_id, n_links) of every text; links."""
     spark = docs.sparkSession
     rows = docs.count()
     weights = spark.sparkContext.broadcast(Weights(rows, *frequent_shingles(docs, rows)))
@@ -223,7 +217,10 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     digest = F.md5(F.col("text").cast("binary"))
     signed = stage(texts.withColumn("digest", digest).mapInArrow(sign, "doc_id long, digest string, bands array<long>"), "signed")
     own = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest")))
-    nodes = stage(signed.groupBy("digest").agg(own.alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = signed.groupBy("digest").agg(
+        F.min("doc_id").alias("id"), own.alias("node"), F.first("bands").alias("bands")
+    )
+    nodes = stage(nodes, "nodes")
     members = stage(_buckets(nodes), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     held = texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -257,7 +254,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         reps = classes.groupBy("key", "class").agg(F.min("node").alias("node")).select("key", "node")
         several = reps.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
         members = stage(reps.join(several, "key"), "members")
-    found_nodes = nodes.select("digest", "node")
+    found_nodes = nodes.select("digest", "id", "node")
     if labels is None:
         links = spark.createDataFrame([], "a long, b long")
         found_nodes = found_nodes.withColumns({"class_id": F.col("node"), "n_links": F.lit(0).cast("long")})
@@ -268,15 +265,25 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .join(degree, "node", "left")
             .withColumns({"class_id": F.coalesce("class", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
         )
-    classes = signed.select("doc_id", "digest").join(found_nodes.select("digest", "class_id", "n_links", "node"), "digest")
-    return classes, links
+    return signed.select("doc_id", "digest"), found_nodes, links
+
+
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of near duplicates, and the links found between different texts.
+
+    The first result has, for every row of ``docs``, (doc_id, digest of the text, class_id,
+    n_links of its text). The class is the least doc_id of it. Texts without words are alike
+    only as copies. A null doc_id never leads a class with other rows; where a text has no
+    other, the class is a negative number drawn from the digest and only copies join it.
+    """
+    rows, texts, links = _grouped(docs)
+    return rows.join(texts.select("digest", "class_id", "n_links"), "digest"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their class; of equal rows one."""
-    classes, _ = near_classes(docs)
-    leads = classes.filter(F.coalesce("doc_id", "node") == F.col("class_id"))
-    leads = leads.select(F.col("doc_id").alias("lead"), F.col("digest").alias("lead_digest")).distinct()
+    _, texts, _ = _grouped(docs)
+    leads = texts.filter("node = class_id").select(F.col("id").alias("lead"), F.col("digest").alias("lead_digest"))
     marked = docs.select(
         F.struct("*").alias("row"),
         F.col("doc_id").cast("long").alias("id"),
