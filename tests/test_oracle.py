@@ -8,6 +8,7 @@ import pytest
 from check_oracle import connect, difference
 
 import __spark_entry__ as contract
+from affinity.queries import MODULES
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.is_dir(), reason="no test tables here")
@@ -18,7 +19,7 @@ def sql():
     return connect(str(SF_DIR))
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(name for module in MODULES for name in module.QUERIES))
 def test_query(spark, sql, name):
     got = contract.queries()[name](spark, str(SF_DIR)).toPandas()
     statement = contract.oracle_sql().get(name)
