@@ -10,10 +10,10 @@ which bounds the table that is broadcast.
 
 Each text gets BANDS * ROWS samples; two texts agree in one with a probability equal to
 their weighted Jaccard similarity. Texts that agree in two bands are candidates. Candidates
-are verified by their exact weighted Jaccard similarity, in rounds: in every bucket the
-members are compared with its LEADERS least ones; then, with the classes found, the
-representatives of the classes that are left, until no bucket has a pair of classes whose
-representatives were not compared. Copies are one node from the start.
+are verified by their exact weighted Jaccard similarity, in rounds: in every bucket some
+members lead, are compared with all its members of other classes and then leave it; with
+the classes found, the next ones lead, four times as many, until no bucket has two classes.
+So every two candidates were compared or are in one class. Copies are one node from the start.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 RARE = 250
 LEADERS = 8
+TILE = 1 << 17
 IDF_SHARE = 0.25
 _BLOCK = 1 << 15
 _LOG = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
@@ -187,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node): the pairs of bands a node shares with another one."""
+    """(key, node, class, size, largest): the pairs of bands a node shares with another one."""
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key")).filter("key != 0")
     crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = bands.join(crowded, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("hits"))
@@ -195,8 +196,40 @@ def _buckets(nodes: DataFrame) -> DataFrame:
         F.transform("hits", lambda x: F.transform(F.filter("hits", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["key"], y["key"])))
     )
     rows = shared.select("node", F.explode(pairs).alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return rows.hint("merge").join(full, "key").select("key", "node")
+    full = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return rows.hint("merge").join(full, "key").select("key", "node", F.col("node").alias("class"), "size", F.lit(None).cast("long").alias("largest"))
+
+
+def _leaders(members: DataFrame, most: int) -> DataFrame:
+    """Of every bucket up to ``most`` members: one of each class first, none of its largest
+    class, since the bucket is done when the members of all other classes have led."""
+    inside, across = Window.partitionBy("key", "class").orderBy("node"), Window.partitionBy("key").orderBy("turn", "node")
+    first = members.filter("largest is null or class != largest").withColumn("turn", F.row_number().over(inside))
+    ranked = first.filter(F.col("turn") <= most).withColumn("rank", F.row_number().over(across))
+    return ranked.filter(F.col("rank") <= most).select("key", "node", "class", "size")
+
+
+def _pairs(members: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
+    """(a, b), a > b: leaders with their bucket's members of other classes.
+
+    A bucket is cut into tiles of its members, each of about TILE pairs; the leaders go to all.
+    """
+    tiles = F.ceil(F.col("size") * F.lit(most) / F.lit(TILE))
+    left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "class")
+    right = leaders.select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), F.col("node").alias("leader"), F.col("class").alias("other")
+    )
+    met = left.join(right, ["key", "tile"]).filter("class != other")
+    return met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """The members (key, node, class) of the buckets with several classes."""
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(
+        F.sum("n").alias("size"), F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")
+    )
+    return members.join(several.filter("classes > 1").drop("classes"), "key").select("key", "node", "class", "size", "largest")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -231,18 +264,13 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             near = similarity(batch.column("left"), batch.column("right"), weights.value)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "similarity"])
 
-    compared, labels = None, None
-    while True:
-        # Pairs of a bucket's class representatives with the least ones of them.
-        rank = Window.partitionBy("key").orderBy("node")
-        first = members.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= LEADERS)
-        leaders = first.select("key", F.col("node").alias("b"))
-        pairs = members.join(leaders, "key").filter("node > b").select(F.col("node").alias("a"), "b").distinct()
+    compared, labels, most = None, None, LEADERS
+    while not members.isEmpty():
+        leaders = stage(_leaders(members, most), "leaders")
+        pairs = _pairs(members, leaders, most)
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         sides = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
             held.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b"
         )
@@ -250,10 +278,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         compared = checked if compared is None else compared.unionByName(checked)
         links = compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
         labels = components(links)
-        classes = members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        reps = classes.groupBy("key", "class").agg(F.min("node").alias("node")).select("key", "node")
-        several = reps.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        members = stage(reps.join(several, "key"), "members")
+        left = members.select("key", "node").join(leaders.select("key", "node"), ["key", "node"], "left_anti")
+        left = left.join(labels, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+        members = stage(_unsettled(left), "members")
+        most *= 4
     found_nodes = nodes.select("digest", "id", "node")
     if labels is None:
         links = spark.createDataFrame([], "a long, b long")

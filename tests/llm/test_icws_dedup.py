@@ -157,3 +157,38 @@ def test_a_large_group_of_near_copies_is_one_class(spark, documents):
 def test_empty_table(spark, documents):
     assert op.near_classes(documents([]))[0].count() == 0
     assert op.keep_one(documents([])).count() == 0
+
+
+def template_texts(n, seed):
+    """Texts of one template, just under the limit, the last two just over it."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(320)]
+    texts = [[*template, *(word() for _ in range(34))] for _ in range(n)]
+    texts.append([*texts[-1][:323], *(word() for _ in range(31))])
+    return [" ".join(words) for words in texts]
+
+
+def test_unlike_texts_of_one_bucket_all_meet(spark, documents):
+    texts = template_texts(50, 0)
+    near = brute(texts)
+    assert [pair for pair, similarity in near.items() if similarity >= op.SIMILARITY] == [(50, 49)]
+    got, links = op.near_classes(documents([(i, t, "s") for i, t in enumerate(texts)]))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: min(i, 49) for i in range(51)}
+    assert [tuple(r) for r in links.collect()] == [(50, 49)]
+
+
+def test_a_link_between_two_members_that_do_not_lead(spark):
+    members = [(1, i) for i in range(60)]
+    found, rest, most, met = {}, members, 2, set()
+    near = {(i, i - 1) for i in range(1, 60) if i % 10}
+    table = spark.createDataFrame([(k, i, i, 60, None) for k, i in members], "key long, node long, class long, size long, largest long")
+    while not table.isEmpty():
+        leaders = op._leaders(table, most)
+        met |= {tuple(r) for r in op._pairs(table, leaders, most).collect()}
+        found = dict(enumerate(classes_of(met & near, 60)))
+        led = {r["node"] for r in leaders.collect()}
+        rest = [(k, i) for k, i in rest if i not in led]
+        table = op._unsettled(spark.createDataFrame([(k, i, found[i]) for k, i in rest], "key long, node long, class long"))
+        most *= 2
+    assert found == {i: i - i % 10 for i in range(60)}
