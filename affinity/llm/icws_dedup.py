@@ -233,7 +233,7 @@ def _unsettled(members: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, digest) of every row; (digest, id, node, class_id, n_links) of every text; links."""
+    """(doc_id, digest) of every row; (digest, id, node, class_id) of every text; links."""
     spark = docs.sparkSession
     rows = docs.count()
     weights = spark.sparkContext.broadcast(Weights(rows, *frequent_shingles(docs, rows)))
@@ -285,27 +285,23 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found_nodes = nodes.select("digest", "id", "node")
     if labels is None:
         links = spark.createDataFrame([], "a long, b long")
-        found_nodes = found_nodes.withColumns({"class_id": F.col("node"), "n_links": F.lit(0).cast("long")})
+        found_nodes = found_nodes.withColumn("class_id", F.col("node"))
     else:
-        degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-        found_nodes = (
-            found_nodes.join(labels, "node", "left")
-            .join(degree, "node", "left")
-            .withColumns({"class_id": F.coalesce("class", "node"), "n_links": F.coalesce("n_links", F.lit(0))})
-        )
+        found_nodes = found_nodes.join(labels, "node", "left").withColumn("class_id", F.coalesce("class", "node"))
     return signed.select("doc_id", "digest"), found_nodes, links
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of near duplicates, and the links found between different texts.
+    """Classes of near duplicates, and verified links that hold them together.
 
-    The first result has, for every row of ``docs``, (doc_id, digest of the text, class_id,
-    n_links of its text). The class is the least doc_id of it. Texts without words are alike
+    The first result has, for every row of ``docs``, (doc_id, digest of the text, class_id).
+    The links (a, b) are pairs of similar texts, enough of them to connect every class; they
+    are not all of its pairs, whose number grows with the square of a class. The class is the least doc_id of it. Texts without words are alike
     only as copies. A null doc_id never leads a class with other rows; where a text has no
     other, the class is a negative number drawn from the digest and only copies join it.
     """
     rows, texts, links = _grouped(docs)
-    return rows.join(texts.select("digest", "class_id", "n_links"), "digest"), links
+    return rows.join(texts.select("digest", "class_id"), "digest"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -322,9 +318,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op7_icws_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's class of near duplicates, its links, and whether it leads the class."""
+    """Every document's class of near duplicates, and whether it leads the class."""
     classes, _ = near_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return classes.select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 QUERIES = {"op7_icws_minhash": op7_icws_minhash}

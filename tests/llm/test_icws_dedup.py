@@ -178,6 +178,15 @@ def test_unlike_texts_of_one_bucket_all_meet(spark, documents):
     assert [tuple(r) for r in links.collect()] == [(50, 49)]
 
 
+def test_links_are_similar_and_connect_the_classes(spark, documents):
+    texts = sorted(set(corpus(4)))
+    got, links = op.near_classes(documents([(i, t, "s") for i, t in enumerate(texts)]))
+    assert got.columns == ["digest", "doc_id", "class_id"]
+    pairs, near = [tuple(r) for r in links.collect()], brute(texts)
+    assert pairs and len(set(pairs)) == len(pairs) and all(near[pair] >= op.SIMILARITY for pair in pairs)
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(classes_of(pairs, len(texts))))
+
+
 def test_a_link_between_two_members_that_do_not_lead(spark):
     members = [(1, i) for i in range(60)]
     found, rest, most, met = {}, members, 2, set()
