@@ -1,15 +1,14 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words.
-
-Every suffix of every document that has ``window`` words left is a leaf, cut at that
-depth. Suffixes are dealt to groups by a prefix of one word; a prefix that holds more
-suffixes than ``group_size`` is lengthened (2, 4, 8, ... words) until its groups fit in
-memory. The prefixes to lengthen are found by counting, shortest first. In a group the
-suffixes are sorted by their path label, the hash of all their words; equal labels meet
-in a deep internal node, a repeat, and all its leaves but the first in text order are
-marked. Marks that overlap join to maximal repeats.
-
-A prefix of the full depth with more than ``group_size`` suffixes is one deep node. It
-needs no tree: its first leaf is a minimum, aggregated before the shuffle.
+"""Removal of repeated passages by hashed windows of words, dealt by prefixes.
+
+No suffix tree is built: every suffix of every document that has ``window`` words left is
+cut at that depth and stands for the hash of these words. Suffixes are dealt to groups by a
+prefix of one word; a prefix that holds more suffixes than ``group_size`` is lengthened
+(2, 4, 8, ... words) until its groups fit in memory. The prefixes to lengthen are found by
+counting, shortest first. In a group the hashes are sorted; of equal ones all but the first
+in text order are marked. Marks that overlap join to one passage, however deep its repeat is.
+
+A prefix of the full depth with more than ``group_size`` suffixes is one window. It
+needs no group: its first place is a minimum, aggregated before the shuffle.
 
 Suffixes travel as packed 64-bit labels, one row for each group and chunk of documents,
 in text order, and come back as one bit each, so no document is shuffled more than once.
