@@ -8,9 +8,11 @@ with the product over its longer contexts, half and half, so every depth takes p
 prediction. The weights are fixed after training; a context that was never seen takes the
 estimate of the longest context that was.
 
-Counts are taken over all training documents and grow with them; ``most_contexts`` bounds
-how many byte runs of a length enter the tree (the most frequent do, the rest of a node
-is one joint context), so the tree can be broadcast.
+Counts and weights cover every byte run of the training texts. The tree is kept in parts by
+the last CUT bytes of a context: a part weighs its nodes bottom-up, the levels above CUT,
+which the number of bytes bounds, are weighed on the driver, and a second pass over the parts
+gives the probability of every distinct run of all texts. Chunks of documents ask for those
+of their runs by hash group.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from affinity.llm.common import batches, by_hash, chunked, mix, read, release, split_words, stage, typed
 
 DEPTH = 5
+CUT = 2
+RUNS_PER_PART = 250_000
 MOST_CONTEXTS = 1_500_000
 END = 0x0A
 _END_TOKEN = np.uint64(0x0A0A0A0A0A0A0A0A)
@@ -158,7 +162,7 @@ class Tree:
 
 
 def train(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXTS) -> Tree:
-    """The weighted tree of all texts of ``docs``."""
+    """The weighted tree of all texts of ``docs`` in one process; :func:`score` does without."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 1500):
@@ -192,21 +196,186 @@ def train(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
     return Tree(counts)
 
 
-def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def _up(keys: np.ndarray, d: int) -> np.ndarray:
+    """The node one byte shorter of every node of level ``d``."""
+    return ((keys >> _EIGHT) & np.uint64((1 << (8 * (d - 1))) - 1)) << _EIGHT | (keys & np.uint64(255))
+
+
+def _climb(levels, below: np.ndarray):
+    """Places of the parents, weights of all levels but the last, and the log probabilities
+    of the first, from those ``below`` of the last. ``levels`` has (d, keys, zeros, ones)."""
+    parents, weights = [], []
+    for (_, shorter, zeros, ones), (d, keys, _, _) in reversed(list(zip(levels, levels[1:]))):
+        at = np.searchsorted(shorter, _up(keys, d))
+        own = log_block(zeros, ones)
+        mixed = np.logaddexp(own, np.bincount(at, below, len(shorter))) - np.log(2)
+        parents.insert(0, at)
+        weights.insert(0, np.exp(own - np.log(2) - mixed))
+        below = mixed
+    return parents, weights, below
+
+
+def _descend(levels, parents, weights, above, left):
+    """(keys, share) of every level, and what reaches the last one."""
+    nodes = []
+    for i, (_, keys, zeros, ones) in enumerate(levels):
+        estimate = (ones + 0.5) / (zeros + ones + 1)
+        nodes.append((keys, (above + left * estimate).astype(np.float32)))
+        if i < len(parents):
+            at, weight = parents[i], weights[i]
+            above, left = (above + left * weight * estimate)[at], (left * (1 - weight))[at]
+    return nodes, above, left
+
+
+def _levels(codes: np.ndarray, n: np.ndarray, first: int, depth: int, bit: int):
+    """(d, keys, zeros, ones) of the levels from ``first`` to ``depth``."""
+    out = []
+    for d in range(first, depth + 1):
+        short, at = np.unique(codes & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        out.append((d, *Tree._level(short, np.bincount(at, n, len(short)).astype(np.int64), bit)))
+    return out
+
+
+def _top(table: pa.Table, cut: int):
+    """Nodes of the levels above ``cut`` by bit, and (keys, above, left) of that of ``cut``."""
+    nodes, reach = [[None] * 8 for _ in range(cut)], []
+    bits = table.column("bit").to_numpy()
+    columns = [table.column(c).to_numpy() for c in ("key", "zeros", "ones", "below")]
+    for bit in range(8):
+        keys, zeros, ones, below = (x[bits == bit] for x in columns)
+        order = np.argsort(keys)
+        levels, below = [(cut, keys[order].astype(np.uint64), zeros[order], ones[order])], below[order]
+        for d in range(cut, 0, -1):
+            _, longer, z, o = levels[0]
+            short, at = np.unique(_up(longer, d), return_inverse=True)
+            levels.insert(0, (d - 1, short, *(np.bincount(at, x, len(short)) for x in (z, o))))
+        parents, weights, _ = _climb(levels, below)
+        shares, above, left = _descend(levels, parents, weights, np.zeros(len(levels[0][1])), np.ones(len(levels[0][1])))
+        for d in range(cut):
+            nodes[d][bit] = shares[d]
+        reach.append((levels[-1][1], above, left))
+    return nodes, reach
+
+
+def run_logs(docs: DataFrame, depth: int, groups: int) -> DataFrame:
+    """(part, codes, logs): log10 probabilities of all distinct byte runs of ``docs``, packed
+    by hash group; learned from the rows that are not ``out``."""
+    cut = min(CUT, depth)
+
+    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, 1500):
+            codes, sizes = encode(split_words(batch.column("text"), lower=True), depth)
+            learn = np.repeat(~np.asarray(batch.column("out").to_numpy(zero_copy_only=False), bool), sizes)
+            names = by_hash(codes)[0]
+            n = np.bincount(np.searchsorted(names, codes[learn]), minlength=len(names))
+            yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], ["code", "n"])
+
+    runs = docs.select("text", "out").mapInArrow(count, "code long, n long")
+    runs = stage(runs.groupBy("code").agg(F.sum("n").alias("n")), "byte_runs")
+    parts = max(1, -(-runs.count() // RUNS_PER_PART))
+    near = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * cut)) - 1))
+    runs = runs.select(F.pmod(F.xxhash64(near), F.lit(parts)).alias("tree"), "code", "n")
+
+    def sorted_runs(table):
+        table = table.sort_by("code")
+        return table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+
+    def bottom(table):
+        release()
+        codes, n = sorted_runs(table)
+        codes, n = codes[n > 0], n[n > 0]
+        out = []
+        for bit in range(8):
+            levels = _levels(codes, n, cut, depth, bit)
+            below = _climb(levels, log_block(*levels[-1][2:]))[2]
+            _, keys, zeros, ones = levels[0]
+            out.append(pa.table({
+                "bit": pa.array(np.full(len(keys), bit, np.int64)),
+                "key": pa.array(keys.astype(np.int64)),
+                "zeros": pa.array(zeros.astype(np.int64)),
+                "ones": pa.array(ones.astype(np.int64)),
+                "below": pa.array(below.astype(float)),
+            }))
+        return pa.concat_tables(out)
+
+    tops = runs.groupBy("tree").applyInArrow(bottom, "bit long, key long, zeros long, ones long, below double")
+    shared = docs.sparkSession.sparkContext.broadcast(_top(tops.toArrow(), cut))
+
+    def predict(table):
+        release()
+        codes, n = sorted_runs(table)
+        upper, reach = shared.value
+        tree = Tree.__new__(Tree)
+        tree.depth, tree.nodes = depth, [*upper, *([None] * 8 for _ in range(cut, depth + 1))]
+        for bit in range(8):
+            levels = _levels(codes[n > 0], n[n > 0], cut, depth, bit)
+            parents, weights, _ = _climb(levels, log_block(*levels[-1][2:]))
+            keys, above, left = reach[bit]
+            at = np.searchsorted(keys, levels[0][1])
+            for d, node in enumerate(_descend(levels, parents, weights, above[at], left[at])[0], cut):
+                tree.nodes[d][bit] = node
+        logs = np.concatenate([tree._bits(codes[at : at + _BLOCK]) for at in range(0, len(codes), _BLOCK)])
+        order, names, starts = _dealt(codes, groups)
+        return pa.table({
+            "part": pa.array(names),
+            "codes": pa.array([x.tobytes() for x in np.split(codes[order], starts[1:])], pa.binary()),
+            "logs": pa.array([x.tobytes() for x in np.split(logs[order].astype(np.float32), starts[1:])], pa.binary()),
+        })
+
+    return runs.groupBy("tree").applyInArrow(predict, "part long, codes binary, logs binary")
+
+
+def _dealt(codes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ``codes`` by hash group, the groups that occur and where each starts."""
+    group = (mix(codes) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order, group[order][starts], starts
+
+
+def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(row, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``;
     ``row`` has all its columns but the text.
 
     Learns from the rows that are not :func:`held_out`. Null and blank texts have the end
-    token only. Word counts are exact: every chunk of documents sends its distinct words to
-    groups by hash and gets their totals back.
+    token only. Word counts and probabilities of byte runs are exact: every chunk of documents
+    sends its distinct words and runs to groups by hash and gets its answers back.
     """
-    spark = docs.sparkSession
-    tree = train(docs.filter(~held_out(F.col("doc_id"))), depth, most_contexts)
-    shared = spark.sparkContext.broadcast(tree)
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("all")
     marked = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("out"), rest)
     rows, size = chunked(marked)
     groups = max(1, -(-size // (16 << 20)))
+    logs = run_logs(marked, depth, groups)
+
+    def asked(table):
+        """The chunk's byte runs, how many each text has, and the distinct ones."""
+        words = split_words(pc.struct_field(table.column("row"), "text"), lower=True)
+        codes, sizes = encode(words, depth)
+        return codes, sizes, by_hash(codes)[0]
+
+    def ask(key, table):
+        release()
+        names = asked(table)[2]
+        order, parts, starts = _dealt(names, groups)
+        return pa.table({
+            "part": pa.array(parts),
+            "chunk": pa.array(np.full(len(parts), key[0].as_py(), np.int64)),
+            "codes": pa.array([x.tobytes() for x in np.split(names[order], starts[1:])], pa.binary()),
+        })
+
+    def answer(key, left, right):
+        release()
+        known = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("codes").to_pylist()])
+        value = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
+        order = np.argsort(known)
+        known, value = known[order], value[order]
+        wanted = [np.frombuffer(x, np.uint64) for x in left.column("codes").to_pylist()]
+        return pa.table({
+            "part": pa.array(np.full(len(wanted), groups + key[0].as_py(), np.int64)),
+            "chunk": left.column("chunk"),
+            "totals": pa.array([value[np.searchsorted(known, x)].tobytes() for x in wanted], pa.binary()),
+            "types": pa.array(np.zeros(len(wanted), np.int64)),
+        })
 
     def tokens(table):
         """The chunk's words, distinct tokens in group order with the group of each, the
@@ -253,15 +422,17 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         words, names, at, counts, group = tokens(left)
         right = right.sort_by("part")
         totals = np.empty(len(names), np.int64)
-        replies = [np.frombuffer(x, np.int64) for x in right.column("totals").to_pylist()]
+        packed = list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
+        replies = [np.frombuffer(x, np.int64) for part, x in packed if part < groups]
         totals[np.argsort(group, kind="stable")] = np.concatenate(replies)
         each, end = totals[at[:-1]], totals[at[-1]]
         n = len(words.counts)
         base = np.bincount(words.owner, np.log10(each + 0.5), n) + np.log10(end + 0.5)
         known = np.bincount(words.owner, each > 0, n).astype(np.int64) + int(end > 0)
-        model = shared.value
-        codes, sizes = encode(words, model.depth)
-        logs = np.bincount(np.repeat(np.arange(n), sizes), model.log10(codes), n)
+        codes, sizes, runs = asked(left)
+        value = np.empty(len(runs), np.float32)
+        value[_dealt(runs, groups)[0]] = np.concatenate([np.frombuffer(x, np.float32) for part, x in packed if part >= groups])
+        logs = np.bincount(np.repeat(np.arange(n), sizes), value[np.searchsorted(runs, codes)], n)
         extra = {"n_tokens": words.counts + 1, "n_known": known, "base": base, "score": logs}
         table = pa.table({"row": pc.struct_field(left.column("row"), "all")} | {k: pa.array(v) for k, v in extra.items()})
         facts = pa.table({
@@ -278,6 +449,14 @@ def score(docs: DataFrame, depth: int = DEPTH, most_contexts: int = MOST_CONTEXT
         .groupBy("part")
         .applyInArrow(total, "part long, chunk long, totals binary, types long")
     )
+    answers = (
+        rows.groupBy("chunk")
+        .applyInArrow(ask, "part long, chunk long, codes binary")
+        .groupBy("part")
+        .cogroup(logs.groupBy("part"))
+        .applyInArrow(answer, "part long, chunk long, totals binary, types long")
+    )
+    replies = replies.unionByName(answers)
     kind = docs.select(rest).schema["all"].dataType
     counts = "n_tokens long, n_known long, base double, score double, types long, learned long"
     schema = typed(row=kind, after=counts)

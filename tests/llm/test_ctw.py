@@ -117,5 +117,15 @@ def test_a_bound_on_contexts_keeps_probabilities_proper(spark, documents):
     assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, rel=1e-5)
 
 
+def test_scores_learn_from_every_byte_run(spark, documents, monkeypatch):
+    bounds = ctw.score.__defaults__[1:]
+    monkeypatch.setattr(ctw.score, "__defaults__", (DEPTH, *(12 for _ in bounds)))
+    monkeypatch.setattr(ctw, "RUNS_PER_PART", 7, raising=False)
+    rows = [(i, f"rare{i * i % 31} ab cd{i % 4}", "s") for i in range(40)]
+    train = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    got = {r["doc_id"]: r["score"] for r in ctw.score(documents(rows)).select("row.doc_id", "score").collect()}
+    assert [got[i] for i, _, _ in rows] == pytest.approx(brute_force(train, [r[1] for r in rows]), rel=1e-4)
+
+
 def test_empty_table(spark, documents):
     assert ctw.score(documents([]), depth=DEPTH).count() == 0
