@@ -6,6 +6,7 @@ from affinity.llm import (
     gam_quality,
     html_wrappers,
     icws_dedup,
+    merkle,
     mixing,
     sentencepiece_codec,
     substring_dedup,
@@ -24,4 +25,5 @@ MODULES = (
     gam_quality,
     mixing,
     url_filters,
+    merkle,
 )
