@@ -8,6 +8,8 @@ from affinity.llm import (
     icws_dedup,
     merkle,
     mixing,
+    permuterm,
+    secret_scan,
     sentencepiece_codec,
     substring_dedup,
     syncmers,
@@ -26,4 +28,6 @@ MODULES = (
     mixing,
     url_filters,
     merkle,
+    secret_scan,
+    permuterm,
 )

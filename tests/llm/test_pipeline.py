@@ -52,7 +52,7 @@ def test_stages_call_the_operators_in_order(spark, tmp_path):
 def test_registered_queries():
     names = contract.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 

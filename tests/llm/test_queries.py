@@ -18,6 +18,9 @@ COLUMNS = {
     "op6": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op8": ["doc_id", "held_out", "score", "predicted"],
     "op9": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op13": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
@@ -26,7 +29,8 @@ def test_query(spark, name):
     rows = QUERIES[name](spark, SF_DIR)
     table = "pages" if name.split("_")[0] in ("op3", "op10") else "documents"
     got = rows.toPandas()
-    assert len(got) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
+    if not name.startswith("op13_"):
+        assert len(got) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
     expected = COLUMNS.get(name.split("_")[0])
     assert expected is None or rows.columns == expected
     if name in ORACLES:
