@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinity.functions.sums import exact_sum
+from affinity.operators.blocked import tile_candidates
 from affinity.operators.similarity import staged_similarity, symmetric
 from affinity.plans.skew import MOST_PER_TASK, split_join
 
@@ -28,7 +30,7 @@ def rating_similarity_join(
 
 
 def _weighted_mean() -> Column:
-    return F.try_divide(F.sum("rsp"), F.sum("sim")).alias("pred_rating")
+    return F.try_divide(exact_sum(F.col("rsp")), exact_sum(F.col("sim"))).alias("pred_rating")
 
 
 def item_scores(rated_similarity: DataFrame) -> DataFrame:
@@ -119,3 +121,16 @@ def best_unseen(
     similarity = neighbours(training) if similarity is None else similarity
     rated = rating_similarity_join(training, similarity)
     return top_k(unseen_scores(rated, training), k, score=score)
+
+
+def best_unseen_blocked(
+    training: DataFrame, k: int = JOB_TOP_K, digits: int | None = None, similarity: DataFrame | None = None
+) -> DataFrame:
+    """:func:`best_unseen` for a large catalogue: scores are summed tile by tile, and at most
+    ``k`` rows a user and tile are shuffled. Ranks by the score rounded to ``digits``, if given.
+
+    ``similarity`` holds each pair once, as :func:`staged_similarity` gives it.
+    """
+    similarity = staged_similarity(training) if similarity is None else similarity
+    score = F.col("pred_rating") if digits is None else F.round("pred_rating", digits)
+    return top_k(tile_candidates(training, similarity, k, digits), k, score=score)

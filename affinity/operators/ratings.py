@@ -15,6 +15,7 @@ from affinity.functions.rating import (
     days_since,
     freshness,
 )
+from affinity.functions.sums import exact_sum
 
 
 def rate_actions(
@@ -38,9 +39,9 @@ def user_item_ratings(
     weights: Mapping[str, float] = ACTION_WEIGHTS,
     aging_days: int = AGING_DAYS,
 ) -> DataFrame:
-    """One row per (uid, aid): the sum of its action ratings as double."""
+    """One row per (uid, aid): the exact sum of its action ratings as double."""
     rated = rate_actions(actions, as_of, weights, aging_days)
-    return rated.groupBy("uid", "aid").agg(F.sum("rating").cast("double").alias("rating"))
+    return rated.groupBy("uid", "aid").agg(exact_sum(F.col("rating")).alias("rating"))
 
 
 def sorted_ratings(ratings: DataFrame) -> DataFrame:

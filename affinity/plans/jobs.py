@@ -26,6 +26,7 @@ from affinity.operators import (
     itemcf,
     ranking,
     ratings,
+    similarity,
 )
 from affinity.plans.staging import scratch, stage
 from affinity.sources import tables
@@ -77,9 +78,10 @@ def run_itemcf(
     with scratch(actions.sparkSession):
         rated = rate(actions, as_of, weights)
         training, holdout = ratings.random_split(rated, 0.8, seed)
-        similarity = itemcf.neighbours(training)
-        rmse = _kept(evaluate.rmse(itemcf.predict_holdout(training, holdout, similarity)))
-        best = itemcf.best_unseen(training, k, similarity=similarity).drop("rank")
+        near = similarity.staged_similarity(training)
+        predicted = itemcf.predict_holdout(training, holdout, similarity.symmetric(near))
+        rmse = _kept(evaluate.rmse(predicted))
+        best = itemcf.best_unseen_blocked(training, k, similarity=near).drop("rank")
         saved = sink.table(best, "itemcf")
         lists = candidates.recommendation_lists(saved, "sim_aid")
         sink.cells(export.itemcf_cells(lists), "itemcf")

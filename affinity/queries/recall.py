@@ -137,9 +137,7 @@ def itemcf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def itemcf_topk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best unseen items on the sparse order ratings, end to end."""
     bought = standins.order_ratings(spark, sf_dir).withColumn("rating", F.col("rating").cast("double"))
-    best = itemcf.best_unseen(
-        stage(bought, "bought"), inputs.K, score=F.round("pred_rating", inputs.DIGITS)
-    )
+    best = itemcf.best_unseen_blocked(stage(bought, "bought"), inputs.K, inputs.DIGITS)
     return rounded(best, "pred_rating")
 
 
