@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators.itemcf import drop_seen
@@ -17,6 +17,7 @@ from affinity.plans.staging import shared_dir, stage
 RANK = 16
 MAX_ITER = 6
 REG = 0.01
+ALPHA = 1.0
 
 # Every user block exchanges with every item block, so blocks stay large and few.
 RATINGS_PER_BLOCK = 1_000_000
@@ -67,6 +68,7 @@ def fit_als(
         rank=rank,
         maxIter=max_iter,
         regParam=reg,
+        alpha=ALPHA,
         implicitPrefs=True,
         nonnegative=True,
         coldStartStrategy="drop",
@@ -127,6 +129,56 @@ def factors(recall: AlsRecall) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+def optimality(recall: AlsRecall, training: DataFrame, reg: float = REG, alpha: float = ALPHA) -> DataFrame:
+    """(uid, slot, value, pull, push): how far each user factor is from the least loss.
+
+    The solver's last step sets the user factors for fixed item factors. At the least
+    non-negative loss the gradient, ``push - pull``, is 0 in slots above 0, and not negative
+    in slots at 0. With ``c = alpha * |rating|`` for a user's own ratings, ``push`` is what
+    all items, the own ones once more by ``c``, and the penalty make of the factor; ``pull``
+    is the sum of the positively rated items, each by ``1 + c``. The penalty is ``reg`` for
+    each positive rating. ``training`` is the table the model was fitted on.
+    """
+    rank = recall.model.rank
+    slots = range(rank)
+    items = recall.model.itemFactors.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("y"))
+    users = recall.model.userFactors.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("x"))
+    # One row of rank * rank sums, whatever the number of items.
+    products = [F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"{i}_{j}") for i in slots for j in slots]
+    held = items.agg(*products).first()
+    gram = [[float(held[f"{i}_{j}"]) for j in slots] for i in slots]
+
+    met = _encoded(training, recall).join(items, "item").join(users, "user")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    c = alpha * F.abs("rating")
+    liked = F.when(F.col("rating") > 0, 1 + c).otherwise(0.0)
+    own = met.select("uid", "x", "y", (c * dot).alias("again"), liked.alias("liked"))
+    summed = own.groupBy("uid").agg(
+        F.first("x").alias("x"),
+        F.sum(F.when(F.col("liked") > 0, reg).otherwise(0.0)).alias("penalty"),
+        F.array(*[F.sum(F.col("again") * F.col("y")[i]) for i in slots]).alias("again"),
+        F.array(*[F.sum(F.col("liked") * F.col("y")[i]) for i in slots]).alias("pull"),
+    )
+
+    def push(i: int) -> Column:
+        shared = sum((F.col("x")[j] * gram[i][j] for j in slots), F.lit(0.0))
+        return shared + F.col("again")[i] + F.col("penalty") * F.col("x")[i]
+
+    each = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("x")[i].alias("value"), F.col("pull")[i].alias("pull"), push(i).alias("push")) for i in slots])
+    return summed.select("uid", F.inline(each))
+
+
+def factor_products(recall: AlsRecall, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (uid, aid, ...) with ``product``, the scalar product of their factors."""
+    own = [
+        table.select(F.col("id").alias(name), F.col("features").alias(side))
+        for table, name, side in ((recall.model.userFactors, "user", "_x"), (recall.model.itemFactors, "item", "_y"))
+    ]
+    met = _encoded(pairs, recall).join(own[0], "user").join(own[1], "item")
+    terms = F.zip_with("_x", "_y", lambda a, b: a.cast("double") * b.cast("double"))
+    return met.select(*pairs.columns, F.aggregate(terms, F.lit(0.0), lambda a, b: a + b).alias("product"))
+
+
 def topk_all(recall: AlsRecall, k: int) -> DataFrame:
     """The ``k`` best items for every user, seen ones included."""
     return _decoded(recall, recall.model.recommendForAllUsers(k))

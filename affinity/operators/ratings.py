@@ -68,8 +68,10 @@ def random_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Training and hold-out ratings drawn at random with a fixed seed.
 
-    The draw hashes the pair with the seed rather than counting rows, so a
-    recomputed partition gives the same split.
+    The draw hashes the pair with the seed rather than counting rows, so a recomputed
+    partition gives the same split; it is the first five digits of an MD5, so any engine does.
     """
-    draw = F.pmod(F.xxhash64("uid", "aid", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20)
+    text = F.concat_ws(":", F.col("uid").cast("string"), F.col("aid").cast("string"), F.lit(str(seed)))
+    digits = F.substring(F.md5(text.cast("binary")), 1, 5)
+    draw = F.conv(digits, 16, 10).cast("bigint") / F.lit(1 << 20)
     return ratings.where(draw < training), ratings.where(draw >= training)

@@ -15,6 +15,8 @@ from affinity.queries.sql import using
 from affinity.sources import standins
 
 K = 25
+# Of the gradient's two parts; factors are kept in single precision.
+TOLERANCE = 1e-3
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, als.AlsRecall]:
@@ -53,6 +55,39 @@ def als_unseen_are_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought.join(offered, ["uid", "aid"]).agg(F.count("*").alias("n"))
 
 
+def als_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each user's factor is not negative, has no gradient where it is above 0, and
+    none that would raise it where it is 0: the conditions of the least loss."""
+    rated = stage(standins.order_ratings(spark, sf_dir).withColumn("rating", F.col("rating").cast("double")), "bought")
+    train = stage(ratings.hash_split(rated)[0], "training")
+    slots = als.optimality(als.fit_als(train), train)
+    slope = (F.col("push") - F.col("pull")) / F.greatest(F.col("push") + F.col("pull"), F.lit(1e-12))
+    free = F.col("value") > 0
+    return slots.groupBy("uid").agg(
+        F.count("*").alias("slots"),
+        F.bool_and(F.col("value") >= 0).alias("nonnegative"),
+        F.bool_and(~free | (F.abs(slope) < TOLERANCE)).alias("stationary"),
+        F.bool_and(free | (slope > -TOLERANCE)).alias("bounded"),
+    )
+
+
+def als_predictions_are_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the prediction of each held-out pair is the product of its factors."""
+    _, holdout, recall = _fitted(spark, sf_dir)
+    predicted = als.factor_products(recall, als.predict(recall, holdout))
+    agrees = F.abs(F.col("prediction") - F.col("product")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("product"))
+    return predicted.select("uid", "aid", agrees.alias("agrees"))
+
+
+def als_topk_are_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each user's scores are the products of their factors, best first."""
+    recall = _fitted(spark, sf_dir)[2]
+    best = als.topk_all(recall, K).withColumnRenamed("pred_aid", "aid")
+    each = als.factor_products(recall, best)
+    agrees = F.abs(F.col("pred_rating") - F.col("product")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("product"))
+    return each.groupBy("uid").agg(F.count("*").alias("n"), F.bool_and(agrees).alias("agrees"))
+
+
 def als_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, holdout, recall = _fitted(spark, sf_dir)
     return als.predict(recall, holdout)
@@ -93,7 +128,7 @@ QUERIES = {
     for f in (
         als_factors, als_factor_ids, als_predictions, als_predicted_pairs, als_topk,
         als_topk_sizes, als_unseen_are_unseen, als_topk_subset, als_unseen_topk, als_rmse,
-        candidate_features_als,
+        candidate_features_als, als_optimality, als_predictions_are_products, als_topk_are_products,
     )
 }
 
@@ -115,4 +150,17 @@ ORACLES = {
         select=f"""SELECT DISTINCT uid, {K} AS n, {K} AS items FROM ({_TRAIN})""",
     ),
     "als_unseen_are_unseen": "SELECT 0 AS n",
+    "als_optimality": using(
+        "order_ratings",
+        select=f"""SELECT DISTINCT uid, {als.RANK} AS slots, TRUE AS nonnegative, TRUE AS stationary,
+            TRUE AS bounded FROM ({_TRAIN})""",
+    ),
+    "als_predictions_are_products": using(
+        "order_ratings",
+        select=f"""SELECT uid, aid, TRUE AS agrees FROM order_ratings WHERE (uid * 31 + aid * 17) % 5 = 0
+            AND uid IN (SELECT uid FROM ({_TRAIN})) AND aid IN (SELECT aid FROM ({_TRAIN}))""",
+    ),
+    "als_topk_are_products": using(
+        "order_ratings", select=f"""SELECT DISTINCT uid, {K} AS n, TRUE AS agrees FROM ({_TRAIN})"""
+    ),
 }

@@ -11,13 +11,21 @@ from affinity.plans.staging import stage
 from affinity.queries import inputs
 from affinity.queries.inputs import rounded
 from affinity.queries.sql import using
-from affinity.sources import standins
+from affinity.sources import standins, tables
+
+LIMIT = 1000
 
 
 def scan_user_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.user_actions(spark, sf_dir)
 
 
+def scan_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a scan of at most :data:`LIMIT` rows of the log gives."""
+    log = tables.open_table(spark, f"{sf_dir}/events.parquet", "parquet", LIMIT)
+    return log.agg(F.count("*").alias("n"))
+
+
 def action_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = fn.action_weight(F.col("action"), standins.WEIGHTS)
     return (
@@ -184,7 +192,7 @@ def anti_join_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_user_action, action_weight, time_weight, days_since, date_range,
+        scan_user_action, scan_limited, action_weight, time_weight, days_since, date_range,
         action_rating, user_item_rating, rating_sorted, split_holdout, split_random, item_norms,
         item_similarity, item_similarity_orders, similarity_symmetric, similarity_preview,
         rating_similarity_join, cf_scores, cf_unseen_scores, cf_topk, itemcf_topk, itemcf_topk_orders,
@@ -195,6 +203,7 @@ QUERIES = {
 
 ORACLES = {
     "scan_user_action": using("actions", select="SELECT * FROM actions"),
+    "scan_limited": f"SELECT least({LIMIT}, count(*)) AS n FROM events",
     "action_weight": using(
         "weighted",
         select="SELECT uid, aid, action, round(weight::DOUBLE, 6) AS weight FROM weighted",
@@ -232,6 +241,12 @@ ORACLES = {
         select="""SELECT uid, aid, round(rating, 6) AS rating, 'training' AS part FROM train
             UNION ALL SELECT uid, aid, round(rating, 6), 'holdout' FROM holdout""",
     ),
+    "split_random": using(
+        "ratings",
+        select="""SELECT uid, aid, round(rating, 6) AS rating,
+                CASE WHEN CAST('0x' || substr(md5(uid || ':' || aid || ':17'), 1, 5) AS BIGINT) / 1048576.0 < 0.8
+                     THEN 'training' ELSE 'holdout' END AS part FROM ratings""",
+    ),
     "item_norms": using("norms", select="SELECT aid, round(norm, 6) AS norm FROM norms"),
     "item_similarity": using(
         "sim", select="SELECT aid, sim_aid, round(sim, 6) AS sim FROM sim"

@@ -14,9 +14,12 @@ from pyspark.sql.types import StructType
 from affinity.sources import schemas
 
 
-def open_table(spark: SparkSession, source: str, fmt: str | None = None) -> DataFrame:
-    """A catalog table, or with ``fmt`` the files under a path."""
-    return spark.table(source) if fmt is None else spark.read.format(fmt).load(source)
+def open_table(
+    spark: SparkSession, source: str, fmt: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """A catalog table, or with ``fmt`` the files under a path; with ``limit`` any so many rows."""
+    table = spark.table(source) if fmt is None else spark.read.format(fmt).load(source)
+    return table if limit is None else table.limit(limit)
 
 
 def typed(df: DataFrame, schema: str) -> DataFrame:

@@ -85,3 +85,24 @@ def test_predictions_are_dot_products_and_topk_the_best_of_them(spark, shift):
     for uid in users:
         expected = sorted((dot(uid, aid) for aid in items), reverse=True)[:3]
         assert sorted(best[uid], reverse=True) == pytest.approx(expected, abs=1e-5)
+
+
+def worst(slots):
+    """The largest violation of the conditions of the least loss, relative to the gradient's parts."""
+    out = 0.0
+    for r in slots.collect():
+        slope = (r.push - r.pull) / max(r.push + r.pull, 1e-12)
+        out = max(out, abs(slope) if r.value > 0 else -slope, -r.value)
+    return out
+
+
+def test_user_factors_are_optimal(spark, recall):
+    rows = [*RATINGS, (18, 1, 0.0), (18, 2, 2.0), (19, 3, -1.5), (19, 1, 1.0)]
+    ratings = spark.createDataFrame(rows, schemas.RATINGS)
+    fitted = als.fit_als(ratings, rank=4, blocks=2)
+    slots = als.optimality(fitted, ratings)
+    assert slots.count() == 4 * 9
+    assert worst(slots) < 1e-4
+    assert worst(als.optimality(fitted, ratings, reg=0.5)) > 1e-2
+    assert worst(als.optimality(fitted, ratings, alpha=1.1)) > 1e-3
+    assert worst(als.optimality(fitted, ratings.where("aid != 1"))) > 1e-2
