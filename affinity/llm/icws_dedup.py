@@ -9,11 +9,18 @@ documents; those above the floor are at most ``RARE`` times the shingles of a me
 which bounds the table that is broadcast.
 
 Each text gets BANDS * ROWS samples; two texts agree in one with a probability equal to
-their weighted Jaccard similarity. Texts that agree in two bands are candidates. Candidates
-are verified by their exact weighted Jaccard similarity, in rounds: in every bucket some
-members lead, are compared with all its members of other classes and then leave it; with
-the classes found, the next ones lead, four times as many, until no bucket has two classes.
-So every two candidates were compared or are in one class. Copies are one node from the start.
+their weighted Jaccard similarity. Texts that agree in two bands share a bucket and are
+candidates, unless their weights rule out the similarity. Candidates are verified by their
+exact weighted Jaccard similarity, in rounds. First every text meets one lead, the best
+known text of the largest class of its largest bucket; with the classes found it meets the
+next, while a tenth of these pairs or more are similar. So a family comes together around
+the text it was copied from, by a few pairs a member. Of the texts still apart the weight
+counts that another of them has as well; what is a text's own can only lower a similarity,
+so most pairs are ruled out unread. Then, in every bucket with several classes, some members
+lead, are compared with all its members of other classes that they can be similar to, and
+leave it, four times as many each round, until no bucket has two classes. So every two
+candidates were compared, ruled out by their weights or are in one class. Copies are one
+node from the start.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.llm.common import Runs, batches, by_hash, found, mix, read, split_words, stage
@@ -39,8 +46,8 @@ _LOG = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 _LOW = np.uint64(0xFFFF)
 
 
-def shingles(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, hash, times) of the distinct shingles of every text, owners rising."""
+def runs_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of every shingle of every text, in no order."""
     words = split_words(texts, fold=True)
     runs = Runs(words.hashes)
     starts = np.flatnonzero(words.left >= WIDTH)
@@ -49,6 +56,11 @@ def shingles(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         short = np.flatnonzero(words.counts == length)
         hashes = np.append(hashes, runs.at(words.starts[short], length))
         owner = np.append(owner, short)
+    return owner, hashes
+
+
+def distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, times) of distinct pairs, owners rising."""
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     if not len(hashes):
@@ -57,17 +69,23 @@ def shingles(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[cuts], hashes[cuts], np.diff(np.append(cuts, len(hashes)))
 
 
+def shingles(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, times) of the distinct shingles of every text, owners rising."""
+    return distinct(*runs_of(texts))
+
+
 def frequent_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, document frequencies) of the shingles in more than rows / RARE documents.
 
     A shingle over the floor still has half of it when every batch of texts leaves out the
-    first 1 / (2 RARE) of its own size; that sum picks the candidates, at most 2 RARE times
-    the shingles of a mean document. A second pass counts them exactly.
+    first 1 / (2 RARE) of its own size; that sum, over all places of a shingle, picks the
+    candidates, at most 2 RARE times the shingles of a mean document. A second pass counts
+    the documents of the candidates exactly; only their places are sorted.
     """
 
     def surplus(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            values, n = by_hash(shingles(batch.column("text"))[1])
+            values, n = by_hash(runs_of(batch.column("text"))[1])
             left_out = batch.num_rows / (2 * RARE)
             over = n > left_out
             yield pa.record_batch([pa.array(values[over].view(np.int64)), pa.array(n[over] - left_out)], ["shingle", "n"])
@@ -85,8 +103,9 @@ def frequent_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarra
 
     def exact(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            hashes = shingles(batch.column("text"))[1]
-            values, n = by_hash(hashes[found(hashes, table)])
+            owner, hashes = runs_of(batch.column("text"))
+            kept = found(hashes, table)
+            values, n = by_hash(distinct(owner[kept], hashes[kept])[1])
             yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     counted = (
@@ -188,25 +207,70 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, class, size, largest): the pairs of bands a node shares with another one."""
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key")).filter("key != 0")
-    crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = bands.join(crowded, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("hits"))
+    """(key, node, total, shared, fame, class): the pairs of bands a node shares with another.
+
+    ``shared`` bounds the weight of what it can have in common with another text; ``fame`` is
+    how many nodes have its bands, most for the text that a family was copied from.
+    """
+    bands = nodes.select("node", "total", F.posexplode("bands").alias("band", "key")).filter("key != 0")
+    crowded = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    hits = F.array_sort(F.collect_list(F.struct("band", "key"))).alias("hits")
+    shared = bands.join(crowded, "key").groupBy("node", "total").agg(hits, F.sum("n").alias("fame"))
     pairs = F.flatten(
         F.transform("hits", lambda x: F.transform(F.filter("hits", lambda y: y["band"] > x["band"]), lambda y: F.xxhash64(x["key"], y["key"])))
     )
-    rows = shared.select("node", F.explode(pairs).alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.hint("merge").join(full, "key").select("key", "node", F.col("node").alias("class"), "size", F.lit(None).cast("long").alias("largest"))
+    rows = shared.select("node", "total", "fame", F.explode(pairs).alias("key"))
+    return rows.select("key", "node", "total", F.col("total").alias("shared"), "fame", F.col("node").alias("class"))
+
+
+_MEMBER = ("key", "node", "total", "shared", "fame")
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """The members of the buckets with several classes, with the bucket's ``size``, its
+    ``largest`` class and the node of most fame in it, ``lead``."""
+    lead = F.max(F.struct("fame", "node", "total", "shared")).alias("lead")
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n"), lead)
+    several = sizes.groupBy("key").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "lead", "class")).alias("top"), F.count("*").alias("classes")
+    )
+    open_ = several.filter("classes > 1").select("key", "size", F.col("top.class").alias("largest"), F.col("top.lead").alias("lead"))
+    return members.hint("merge").join(open_, "key").select(*_MEMBER, "class", "size", "largest", "lead")
+
+
+def _reachable(total: Column, shared: Column, other_total: Column, other_shared: Column) -> Column:
+    """Whether two texts can be similar: they have at most the lesser ``shared`` in common."""
+    common = F.least(shared, other_shared)
+    return common * (1 + 1e-9) >= SIMILARITY * (total + other_total - common)
+
+
+def _pair(one: Column, other: Column) -> list[Column]:
+    return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
+
+
+def _nearest(members: DataFrame, compared: DataFrame | None) -> DataFrame:
+    """(a, b), a > b: each node with the lead of the largest bucket that another class leads,
+    of those it was not ``compared`` with.
+
+    At most one pair a node, however large the buckets: enough to bring a family together.
+    """
+    near = _reachable(F.col("total"), F.col("shared"), F.col("lead.total"), F.col("lead.shared"))
+    apart = members.filter((F.col("class") != F.col("largest")) & near)
+    leads = apart.groupBy("node", F.col("lead.node").alias("other")).agg(F.max("size").alias("size"))
+    leads = leads.select(*_pair(F.col("node"), F.col("other")), "node", "other", "size")
+    if compared is not None:
+        leads = leads.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    chosen = leads.groupBy("node").agg(F.max(F.struct("size", "other")).alias("best"))
+    return chosen.select(*_pair(F.col("node"), F.col("best.other"))).distinct()
 
 
 def _leaders(members: DataFrame, most: int) -> DataFrame:
     """Of every bucket up to ``most`` members: one of each class first, none of its largest
     class, since the bucket is done when the members of all other classes have led."""
     inside, across = Window.partitionBy("key", "class").orderBy("node"), Window.partitionBy("key").orderBy("turn", "node")
-    first = members.filter("largest is null or class != largest").withColumn("turn", F.row_number().over(inside))
+    first = members.filter("class != largest").withColumn("turn", F.row_number().over(inside))
     ranked = first.filter(F.col("turn") <= most).withColumn("rank", F.row_number().over(across))
-    return ranked.filter(F.col("rank") <= most).select("key", "node", "class", "size")
+    return ranked.filter(F.col("rank") <= most).select(*_MEMBER, "class", "size")
 
 
 def _pairs(members: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
@@ -215,21 +279,14 @@ def _pairs(members: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
     A bucket is cut into tiles of its members, each of about TILE pairs; the leaders go to all.
     """
     tiles = F.ceil(F.col("size") * F.lit(most) / F.lit(TILE))
-    left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "class")
+    left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "total", "shared", "class")
     right = leaders.select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), F.col("node").alias("leader"), F.col("class").alias("other")
-    )
-    met = left.join(right, ["key", "tile"]).filter("class != other")
-    return met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-
-
-def _unsettled(members: DataFrame) -> DataFrame:
-    """The members (key, node, class) of the buckets with several classes."""
-    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(
-        F.sum("n").alias("size"), F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")
-    )
-    return members.join(several.filter("classes > 1").drop("classes"), "key").select("key", "node", "class", "size", "largest")
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"),
+        F.col("node").alias("leader"), F.col("total").alias("other_total"), F.col("shared").alias("other_shared"), F.col("class").alias("other"),
+    )
+    near = _reachable(F.col("total"), F.col("shared"), F.col("other_total"), F.col("other_shared"))
+    met = left.join(right, ["key", "tile"]).filter("class != other").filter(near)
+    return met.select(*_pair(F.col("node"), F.col("leader"))).distinct()
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -241,20 +298,22 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             owner, hashes, times = shingles(batch.column("text"))
-            keys = signatures(owner, hashes, weights.value(hashes, times), batch.num_rows)
+            weight = weights.value(hashes, times)
+            keys = signatures(owner, hashes, weight, batch.num_rows)
+            total = pa.array(np.bincount(owner, weight, batch.num_rows).astype(float))
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), bands], ["doc_id", "digest", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), bands, total], ["doc_id", "digest", "bands", "total"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
-    signed = stage(texts.withColumn("digest", digest).mapInArrow(sign, "doc_id long, digest string, bands array<long>"), "signed")
+    signed = stage(texts.withColumn("digest", digest).mapInArrow(sign, "doc_id long, digest string, bands array<long>, total double"), "signed")
     own = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest")))
     nodes = signed.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), own.alias("node"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), own.alias("node"), F.first("bands").alias("bands"), F.first("total").alias("total")
     )
     nodes = stage(nodes, "nodes")
-    members = stage(_buckets(nodes), "members")
+    members = stage(_unsettled(stage(_buckets(nodes), "buckets")), "members")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     held = texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     held = stage(held, "texts")
@@ -264,24 +323,49 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             near = similarity(batch.column("left"), batch.column("right"), weights.value)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(near)], ["a", "b", "similarity"])
 
-    compared, labels, most = None, None, LEADERS
+    def spread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            owner, hashes, times = shingles(batch.column("text"))
+            node = batch.column("doc_id").take(pa.array(owner))
+            yield pa.record_batch([node, pa.array(hashes.view(np.int64)), pa.array(weights.value(hashes, times))], ["node", "shingle", "w"])
+
+    def narrowed(members: DataFrame) -> DataFrame:
+        """``members`` with ``shared`` less the weight of the shingles that no other of them has."""
+        still = held.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        each = still.mapInArrow(spread, "node long, shingle long, w double")
+        single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
+        own = single.groupBy("node").agg(F.sum("w").alias("own"))
+        less = F.col("total") - F.coalesce("own", F.lit(0.0))
+        return members.join(own, "node", "left").withColumn("shared", less).select(*_MEMBER, "class").filter(F.col("shared") * (1 + 1e-9) >= SIMILARITY * F.col("total"))
+
+    # First every node meets one lead a round, while many of them turn out similar: families
+    # come together by about one pair a member. What is left apart then meets bucket by bucket.
+    compared, labels, most, gathering, gathered = None, None, LEADERS, True, False
     while not members.isEmpty():
-        leaders = stage(_leaders(members, most), "leaders")
-        pairs = _pairs(members, leaders, most)
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        left = members.select(*_MEMBER)
+        if gathering:
+            pairs = _nearest(members, compared)
+        else:
+            leaders = stage(_leaders(members, most), "leaders")
+            pairs = _pairs(members, leaders, most).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            left = left.join(leaders.select("key", "node"), ["key", "node"], "left_anti")
+            most *= 4
         pairs = stage(pairs, "pairs")
         sides = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
             held.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b"
         )
         checked = stage(sides.mapInArrow(verify, "a long, b long, similarity double"), "checked")
+        similar = F.col("similarity") >= SIMILARITY
+        if gathering:
+            n, alike = checked.agg(F.count("*"), F.count_if(similar)).first()
+            gathering, gathered = alike * 10 > n, alike * 10 <= n
         compared = checked if compared is None else compared.unionByName(checked)
-        links = compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+        links = compared.filter(similar).select("a", "b")
         labels = components(links)
-        left = members.select("key", "node").join(leaders.select("key", "node"), ["key", "node"], "left_anti")
-        left = left.join(labels, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+        left = left.join(labels, "node", "left").select(*_MEMBER, F.coalesce("class", "node").alias("class"))
         members = stage(_unsettled(left), "members")
-        most *= 4
+        if gathered:
+            members, gathered = stage(_unsettled(narrowed(members)), "members"), False
     found_nodes = nodes.select("digest", "id", "node")
     if labels is None:
         links = spark.createDataFrame([], "a long, b long")

@@ -191,13 +191,47 @@ def test_a_link_between_two_members_that_do_not_lead(spark):
     members = [(1, i) for i in range(60)]
     found, rest, most, met = {}, members, 2, set()
     near = {(i, i - 1) for i in range(1, 60) if i % 10}
-    table = spark.createDataFrame([(k, i, i, 60, None) for k, i in members], "key long, node long, class long, size long, largest long")
+    schema = "key long, node long, total double, shared double, fame long, class long"
+    table = op._unsettled(spark.createDataFrame([(k, i, 1.0, 1.0, 1, i) for k, i in members], schema))
     while not table.isEmpty():
         leaders = op._leaders(table, most)
         met |= {tuple(r) for r in op._pairs(table, leaders, most).collect()}
         found = dict(enumerate(classes_of(met & near, 60)))
         led = {r["node"] for r in leaders.collect()}
         rest = [(k, i) for k, i in rest if i not in led]
-        table = op._unsettled(spark.createDataFrame([(k, i, found[i]) for k, i in rest], "key long, node long, class long"))
+        table = op._unsettled(spark.createDataFrame([(k, i, 1.0, 1.0, 1, found[i]) for k, i in rest], schema))
         most *= 2
     assert found == {i: i - i % 10 for i in range(60)}
+
+
+def family(n, seed):
+    """A text, and copies of it with ever more of its words changed or left out."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+    rows = [" ".join(text)]
+    for i in range(n):
+        copy = list(text)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            copy[at] = f"x{i}y{at}"
+        rows.append(" ".join(copy[: rng.randint(85, 120)]))
+    return sorted(set(rows))
+
+
+def test_a_family_is_compared_by_a_few_pairs_a_member(spark, documents, monkeypatch):
+    """Classes are those of all pairs, by a small share of them."""
+    counts = {}
+    for n in (150, 600):
+        texts = family(n, n)
+        compared = []
+        monkeypatch.setattr(op, "stage", lambda df, name: compared.append(x) or x if (x := staged(df, name)) and name == "checked" else x)
+        got, _ = op.near_classes(documents([(i, t, "s") for i, t in enumerate(texts)]))
+        found = {r["doc_id"]: r["class_id"] for r in got.collect()}
+        near = [pair for pair, similarity in brute(texts).items() if similarity >= op.SIMILARITY]
+        expected = dict(enumerate(classes_of(near, len(texts))))
+        alike = sum(found[i] == expected[i] for i in found)
+        assert alike >= 0.98 * len(texts)
+        counts[len(texts)] = sum(x.count() for x in compared)
+    assert all(pairs <= 12 * n and pairs <= 0.08 * n * (n - 1) / 2 for n, pairs in counts.items())
+
+
+staged = op.stage
