@@ -2,15 +2,18 @@
 
 A run of K bytes is an anchor if the least of its inner runs of S bytes, by hash, stands at
 either end of it. Whether a run is an anchor depends on its own bytes only, so an edit
-leaves all anchors away from it as they were. A fingerprint holds the SIZE distinct anchors
-with the least hashes, each with the place it first stands at. Two fingerprints are alike by
-the anchors they share at one common shift, among the SIZE least of both.
+leaves all anchors away from it as they were, and any K - S runs in a row hold one. A
+fingerprint is all anchors of the whole text in the order of their places. Two anchors in a
+row and the distance between them make a link; two fingerprints are alike by the links they
+share, each as often as both have it. A link says where its anchors stand to each other and
+nothing of the rest, so passages match wherever they stand and whatever comes between them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +21,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from affinity.llm.common import chunked, mix, ordered, read, release, typed
+from affinity.llm.common import by_hash, chunked, mix, ordered, read, release, typed
 
-K, S, SIZE = 16, 5, 48
-SLACK = 64
-_ANCHOR = np.dtype([("hash", ">u4"), ("high", "u1"), ("low", ">u2")])
+K, S = 16, 5
+TEXTS = 500
+_ANCHOR = np.dtype([("gap", "u1"), ("hash", ">u4")])
 _BLOCK = 1 << 19
+_OWNER_BITS = 10
+
+
+class Prints(NamedTuple):
+    """Anchors of some texts, one text after another: those of text i stand at
+    ``starts[i]`` to ``starts[i + 1]``, by rising place."""
+
+    starts: np.ndarray
+    hashes: np.ndarray
+    places: np.ndarray
+
+    def rows(self, first: int, last: int) -> Prints:
+        """The fingerprints of the texts from ``first`` up to ``last``."""
+        low, high = self.starts[first], self.starts[last]
+        return Prints(self.starts[first : last + 1] - low, self.hashes[low:high], self.places[low:high])
 
 
 def _packed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,81 +68,86 @@ def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, mix(eight[places] ^ mix(eight[places + 8]))
 
 
-def fingerprints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places), one row a text, SIZE wide, by rising hash; unused cells are -1.
-
-    A text without anchors, as a short one, is one anchor as a whole; an empty one has none.
-    """
+def fingerprints(texts: list[bytes]) -> Prints:
+    """All anchors of each text. A text without one, as a short one, is one anchor as a
+    whole; an empty text has none."""
     n = len(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts) + b"\0" * K, np.uint8)
-    owners, hashes, places = [], [], []
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at in range(0, len(data) - K, _BLOCK):
         place, value = _anchors(data[at : min(at + _BLOCK, len(data) - K) + K])
-        owners.append(np.searchsorted(ends, place + at, side="right"))
         places.append(place + at)
         hashes.append(value >> np.uint64(32))
-    owner, place, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, places, hashes))
+    place, value = np.concatenate(places), np.concatenate(hashes)
+    owner = np.searchsorted(ends, place, side="right")
     fits = place + K <= ends[owner] if n else place > 0
-    owner, place, value = owner[fits], place[fits], value[fits].astype(np.uint64)
+    owner, place, value = owner[fits], place[fits], value[fits]
     bare = np.flatnonzero((np.bincount(owner, minlength=n) == 0) & (sizes > 0))
     digest = [int.from_bytes(hashlib.sha256(texts[i]).digest()[:4], "big") for i in bare]
-    owner, place = np.append(owner, bare), np.append(place, (ends - sizes)[bare])
-    value = np.append(value, np.array(digest, np.uint64))
-    key = owner.astype(np.uint64) << np.uint64(32) | value
-    order = np.argsort(key)
-    key, place = key[order], place[order]
-    out = np.full((n, SIZE), -1, np.int64)
-    where = np.full((n, SIZE), -1, np.int64)
-    if not len(key):
-        return out, where
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    first = np.minimum.reduceat(place, cuts)
-    owner = (key[cuts] >> np.uint64(32)).astype(np.int64)
-    rank = np.arange(len(cuts)) - np.searchsorted(owner, owner)
-    kept = rank < SIZE
-    owner, rank = owner[kept], rank[kept]
-    out[owner, rank] = (key[cuts][kept] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    where[owner, rank] = first[kept] - (ends - sizes)[owner]
-    return out, where
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Share of common anchors (twice the common ones over all of both), row by row; 1 for
-    two empty fingerprints."""
-    n = len(a[0])
-    hashes = np.concatenate([a[0], b[0]], axis=1)
-    places = np.concatenate([a[1], b[1]], axis=1)
-    blank = hashes < 0
-    hashes = np.where(blank, (1 << 40) + np.arange(2 * SIZE), hashes)
-    order = np.argsort(hashes, axis=1, kind="stable")
-    hashes, places = np.take_along_axis(hashes, order, 1), np.take_along_axis(places, order, 1)
-    again = np.zeros((n, 2 * SIZE), bool)
-    again[:, 1:] = hashes[:, 1:] == hashes[:, :-1]
-    rank = np.cumsum(~again, axis=1)
-    inside = (rank <= SIZE) & (hashes < 1 << 40)
-    common = again & inside
-    shift = np.zeros((n, 2 * SIZE))
-    shift[:, 1:] = places[:, 1:] - places[:, :-1]
-    has = common.any(axis=1)
-    middle = np.zeros(n)
-    if has.any():
-        middle[has] = np.nanmedian(np.where(common[has], shift[has], np.nan), axis=1)
-    common &= np.abs(shift - middle[:, None]) <= SLACK
-    shared, total = common.sum(axis=1), (inside & ~again).sum(axis=1)
-    share = shared / np.maximum(total, 1)
-    return np.where(total == 0, 1.0, 2 * share / (1 + share))
-
-
-def text_form(prints: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    """Fingerprints as text: base64 of 4 bytes of hash and 3 of place for each anchor."""
-    hashes, places = prints
-    place = np.clip(places, 0, (1 << 24) - 1)
-    cells = np.zeros(hashes.shape, _ANCHOR)
-    cells["hash"], cells["high"], cells["low"] = np.maximum(hashes, 0), place >> 16, place & 0xFFFF
-    used = (hashes >= 0).sum(axis=1)
-    return [base64.b64encode(row[:n].tobytes()).decode() for row, n in zip(cells, used)]
+    at = np.searchsorted(owner, bare)
+    owner, value = np.insert(owner, at, bare), np.insert(value, at, np.array(digest, np.uint64))
+    place = np.insert(place, at, (ends - sizes)[bare])
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int64)
+    return Prints(starts, value, place - (ends - sizes)[owner] if n else place)
+
+
+def _links(prints: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, link) of every two anchors in a row; a single anchor is a link by itself."""
+    n = np.diff(prints.starts)
+    owner = np.repeat(np.arange(len(n)), n)
+    first = np.flatnonzero(owner[1:] == owner[:-1])
+    gap = (prints.places[first + 1] - prints.places[first]).astype(np.uint64)
+    pair = mix(prints.hashes[first] << np.uint64(32) | prints.hashes[first + 1])
+    alone = prints.starts[:-1][n == 1]
+    links = np.concatenate([mix(pair ^ gap), mix(prints.hashes[alone])])
+    return np.concatenate([owner[first], owner[alone]]), links
+
+
+def likeness(a: Prints, b: Prints) -> np.ndarray:
+    """Twice the shared links over all links of both, row by row; 1 for two empty
+    fingerprints."""
+    n = len(a.starts) - 1
+    if n > 1 << _OWNER_BITS:
+        half = n // 2
+        return np.concatenate([
+            likeness(a.rows(*part), b.rows(*part)) for part in ((0, half), (half, n))
+        ])
+    keys, total = [], np.zeros(n)
+    for prints in (a, b):
+        owner, link = _links(prints)
+        total += np.bincount(owner, minlength=n)
+        key = owner.astype(np.uint64) << np.uint64(64 - _OWNER_BITS) | link >> np.uint64(_OWNER_BITS)
+        keys.append(by_hash(key))
+    (left, often), (right, times) = keys
+    at = np.minimum(np.searchsorted(right, left), max(0, len(right) - 1))
+    hit = right[at] == left if len(right) else np.zeros(len(left), bool)
+    owner = (left[hit] >> np.uint64(64 - _OWNER_BITS)).astype(np.int64)
+    shared = np.bincount(owner, np.minimum(often[hit], times[at[hit]]), n)
+    return np.where(total == 0, 1.0, 2 * shared / np.maximum(total, 1))
+
+
+def text_form(prints: Prints) -> list[str]:
+    """Fingerprints as text: base64 of a byte of distance from the anchor before (the first:
+    from the start), then 4 of hash, for each anchor. Distances are at most K - S."""
+    gaps = np.diff(prints.places, prepend=0)
+    first = prints.starts[:-1][np.diff(prints.starts) > 0]
+    gaps[first] = prints.places[first]
+    cells = np.zeros(len(gaps), _ANCHOR)
+    cells["gap"], cells["hash"] = gaps, prints.hashes
+    data, ends = cells.tobytes(), prints.starts * _ANCHOR.itemsize
+    return [base64.b64encode(data[low:high]).decode() for low, high in zip(ends, ends[1:])]
+
+
+def from_text(forms: list[str]) -> Prints:
+    """The fingerprints that :func:`text_form` wrote."""
+    data = [base64.b64decode(form) for form in forms]
+    cells = np.frombuffer(b"".join(data), _ANCHOR)
+    starts = np.concatenate([[0], np.cumsum([len(d) // _ANCHOR.itemsize for d in data])]).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(cells["gap"].astype(np.int64))])
+    places = sums[1:] - np.repeat(sums[starts[:-1]], np.diff(starts))
+    return Prints(starts, cells["hash"].astype(np.uint64), places)
 
 
 _FIELDS = {
@@ -147,12 +170,13 @@ def _compare(texts: list[str], nexts: list[str], chained: bool = False) -> dict[
     cuts = [len(t) // 3 for t in texts]
     edited = [(t[: len(t) - c] + x[:c]).encode() for t, x, c in zip(texts, nexts, cuts)]
     columns: dict[str, list] = {name: [] for name in _FIELDS}
-    for at in range(0, len(texts), 500):
-        part = slice(at, at + 500)
+    for at in range(0, len(texts), TEXTS):
+        part = slice(at, at + TEXTS)
         other = fingerprints(edited[part])
         if chained:
             both = fingerprints([t.encode() for t in nexts[at : at + 1] + texts[part]])
-            own, after = tuple(x[1:] for x in both), tuple(x[:-1] for x in both)
+            n = len(both.starts) - 1
+            own, after = both.rows(1, n), both.rows(0, n - 1)
         else:
             own = fingerprints([t.encode() for t in texts[part]])
             after = fingerprints([t.encode() for t in nexts[part]])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pytest
 
@@ -38,15 +39,61 @@ def test_anchors_are_closed_syncmers():
     assert [p for p in places.tolist() if p + syncmers.K <= len(text)] == expected
 
 
+def alike(*texts):
+    prints = syncmers.fingerprints([t.encode() for t in texts])
+    return float(syncmers.likeness(prints.rows(0, 1), prints.rows(1, 2))[0])
+
+
+def brute_force(a, b):
+    """Likeness by the definition, with counters of links."""
+    links = []
+    for text in (a.encode(), b.encode()):
+        prints = syncmers.fingerprints([text])
+        anchors = list(zip(prints.hashes.tolist(), prints.places.tolist()))
+        pairs = [(h, k, q - p) for (h, p), (k, q) in zip(anchors, anchors[1:])]
+        links.append(Counter(pairs or anchors[:1]))
+    total = sum(links[0].values()) + sum(links[1].values())
+    return 2 * sum((links[0] & links[1]).values()) / total if total else 1.0
+
+
+def test_likeness_follows_its_definition(odd_rows):
+    texts = [t or "" for _, t, _ in odd_rows] + ["ab" * 3000, "ab" * 200 + "xy" * 9, "abcdefghijklmnopqr", "0123456789abcdef"]
+    pairs = [(a, b) for a in texts for b in texts]
+    sides = [syncmers.fingerprints([pair[i].encode() for pair in pairs]) for i in (0, 1)]
+    assert syncmers.likeness(*sides).tolist() == pytest.approx([brute_force(*pair) for pair in pairs])
+    again = [syncmers.from_text(syncmers.text_form(side)) for side in sides]
+    for side, other in zip(sides, again):
+        assert all((x == y).all() for x, y in zip(side, other))
+
+
+def test_many_pairs_at_once():
+    texts = [f"text {i * i} of many " * (i % 5) for i in range(3000)]
+    a, b = (syncmers.fingerprints([t.encode() for t in x]) for x in (texts, texts[::-1]))
+    got = syncmers.likeness(a, b)
+    assert got.tolist() == pytest.approx([brute_force(*pair) for pair in zip(texts, texts[::-1])])
+
+
+def test_distances_fit_a_byte():
+    rng = syncmers.np.random.default_rng(3)
+    texts = [rng.integers(0, kinds, 5000).astype("u1").tobytes() for kinds in (1, 2, 4, 256)]
+    prints = syncmers.fingerprints(texts)
+    for i in range(len(texts)):
+        places = prints.rows(i, i + 1).places
+        assert syncmers.np.diff(places, prepend=0).max() <= syncmers.K - syncmers.S
+
+
 def test_likeness_of_edits():
-    text = " ".join(f"word{i * i % 9973}" for i in range(600)).encode()
-    moved, other = b"a new start here " + text, b" ".join(b"term%d" % (i * 31) for i in range(600))
-    prints = syncmers.fingerprints([text, moved, other, b"", b"ab"])
-    pick = lambda i: (prints[0][i : i + 1], prints[1][i : i + 1])
-    assert syncmers.likeness(pick(0), pick(0))[0] == 1
-    assert syncmers.likeness(pick(0), pick(1))[0] > 0.9
-    assert syncmers.likeness(pick(0), pick(2))[0] < 0.1
-    assert syncmers.likeness(pick(3), pick(3))[0] == 1 and syncmers.likeness(pick(3), pick(4))[0] == 0
+    words = [f"word{i * i % 9973}x{i}" for i in range(20000)]
+    other = [f"term{i * 31 % 7919}y{i}" for i in range(20000)]
+    text = " ".join(words)
+    added = " ".join([*words[:10000], *(f"new{i}" for i in range(15)), *words[10000:]])
+    assert alike(text, text) == 1
+    assert alike(text, added) > 0.99
+    assert alike(text, " ".join([*words[:1000], *other[1000:]])) == pytest.approx(0.05, abs=0.01)
+    assert alike(text, " ".join([*words[-4000:], *other[4000:]])) == pytest.approx(0.2, abs=0.02)
+    assert alike(text, " ".join(words[10000:] + words[:10000])) > 0.99
+    assert alike(text, " ".join(other)) < 0.02
+    assert alike("", "") == 1 and alike("", "ab") == 0 and alike("ab", "ab") == 1 and alike("ab", "ac") == 0
 
 
 def test_empty_table_and_single_row(spark, documents):
