@@ -80,7 +80,7 @@ def tree_of(training):
 def test_tree_equals_the_definition():
     training, other = ["ab ab ba", "Abc  cab", "", None, "aab"], ["abca", "zz ab", "é"]
     tree = tree_of(training)
-    got = [tree.log10(ctw.encode(split_words(pa.array([t])), DEPTH)[0]).sum() for t in ["ab", *other]]
+    got = [tree._bits(ctw.encode(split_words(pa.array([t])), DEPTH)[0]).sum() for t in ["ab", *other]]
     assert got == pytest.approx(brute_force(training, ["ab", *other]), rel=1e-5)
 
 
@@ -88,7 +88,7 @@ def test_probabilities_of_the_next_byte_add_to_one():
     tree = tree_of(["ab ab ba", "abc cab"])
     for context in (b"ab", b"zz", b" a"):
         codes = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], np.uint64)
-        assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, rel=1e-5)
+        assert (10 ** tree._bits(codes)).sum() == pytest.approx(1, rel=1e-5)
 
 
 def test_scores_and_base_counts(spark, documents, odd_rows):
@@ -110,13 +110,6 @@ def test_scores_and_base_counts(spark, documents, odd_rows):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-4)
 
 
-def test_a_bound_on_contexts_keeps_probabilities_proper(spark, documents):
-    rows = [(i, "ab" * (i % 7) + " cd" * (i % 5) + f" {i}", "s") for i in range(40)]
-    tree = ctw.train(documents(rows), depth=DEPTH, most_contexts=12)
-    codes = np.array([ord("a") << 16 | ord("b") << 8 | b for b in range(256)], np.uint64)
-    assert (10 ** tree.log10(codes)).sum() == pytest.approx(1, rel=1e-5)
-
-
 def test_scores_learn_from_every_byte_run(spark, documents, monkeypatch):
     bounds = ctw.score.__defaults__[1:]
     monkeypatch.setattr(ctw.score, "__defaults__", (DEPTH, *(12 for _ in bounds)))
