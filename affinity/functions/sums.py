@@ -15,8 +15,9 @@ _COARSE, _FINE = 2.0**32, 2.0**63
 _UNIT = 2.0**62
 
 
-def exact_sum(value: Column) -> Column:
-    """The sum of doubles, the same for every order of the rows.
+def exact_sum(value: Column, times: Column | None = None) -> Column:
+    """The sum of doubles, the same for every order of the rows; with ``times`` a value counts
+    that often, as if its row were there so many times.
 
     A value keeps what it has down to 2**-63. The magnitudes of a group may add up to 2**31;
     beyond that the sum overflows, which is an error, not a wrong result.
@@ -24,7 +25,8 @@ def exact_sum(value: Column) -> Column:
     value = value.cast("double")
     coarse = F.rint(value * _COARSE)
     fine = F.rint((value - coarse / _COARSE) * _FINE)
-    return F.sum(coarse.cast("bigint")).cast("double") / _COARSE + F.sum(fine.cast("bigint")).cast("double") / _FINE
+    parts = [part.cast("bigint") if times is None else part.cast("bigint") * times for part in (coarse, fine)]
+    return F.sum(parts[0]).cast("double") / _COARSE + F.sum(parts[1]).cast("double") / _FINE
 
 
 def exact_unit_sum(value: Column) -> Column:

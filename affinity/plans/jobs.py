@@ -24,6 +24,7 @@ from affinity.operators import (
     export,
     features,
     itemcf,
+    publish,
     ranking,
     ratings,
     similarity,
@@ -35,18 +36,22 @@ from affinity.sources import tables
 class Sink(NamedTuple):
     """Where a job writes: the catalog database of its tables and the folder of its cells.
 
-    With ``table_path`` the table files live there instead of in the warehouse.
+    With ``table_path`` the table files live there instead of in the warehouse. A table is
+    published in versions, of which the newest ``keep`` stay.
     """
 
     cells_path: str
     database: str | None = None
     table_path: str | None = None
+    keep: int = 2
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Overwrite a table; later steps read the saved copy."""
-        full = f"{self.database}.{name}" if self.database else name
-        path = f"{self.table_path}/{name}" if self.table_path else None
-        return export.save_table(df, full, path)
+        """Publish a table; later steps read the saved copy."""
+        catalog = df.sparkSession.catalog
+        database = self.database or catalog.currentDatabase()
+        folder = self.table_path or catalog.getDatabase(database).locationUri
+        root = f"{folder}/{name}" if self.table_path else f"{folder}/{name}.versions"
+        return publish.publish_table(df, f"{database}.{name}", root, keep=self.keep)
 
     def cells(self, rows: DataFrame, name: str) -> None:
         """Write cells in key order."""

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.functions import rating as fn
-from affinity.operators import als, candidates, evaluate, itemcf, ratings, similarity
-from affinity.plans.staging import stage
+from affinity.operators import als, candidates, daily, evaluate, itemcf, ratings, similarity
+from affinity.plans.staging import new_path, stage
 from affinity.queries import inputs
 from affinity.queries.inputs import rounded
 from affinity.queries.sql import using
 from affinity.sources import standins, tables
 
 LIMIT = 1000
+RATED_DAYS = (dt.date(2024, 1, 10), dt.date(2024, 1, 20), standins.AS_OF)
+_DAYS = ", ".join(f"(DATE '{day}')" for day in RATED_DAYS)
 
 
 def scan_user_action(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +79,19 @@ def user_item_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(standins.ratings(spark, sf_dir), "rating")
 
 
+def ratings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings for three days from one table of daily counts, written in two steps."""
+    path = new_path(spark, "days")
+    log = standins.user_actions(spark, sf_dir)
+    daily.write_days(log.where(F.col("action_date") < "20240116"), path)
+    counts = daily.write_days(log.where(F.col("action_date") >= "20240116"), path)
+    parts = [
+        daily.ratings_as_of(counts, day, standins.WEIGHTS).withColumn("as_of", F.lit(str(day)))
+        for day in RATED_DAYS
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), "rating")
+
+
 def rating_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ratings.sorted_ratings(standins.ratings(spark, sf_dir)), "rating")
 
@@ -193,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_user_action, scan_limited, action_weight, time_weight, days_since, date_range,
-        action_rating, user_item_rating, rating_sorted, split_holdout, split_random, item_norms,
+        action_rating, user_item_rating, ratings_as_of, rating_sorted, split_holdout, split_random, item_norms,
         item_similarity, item_similarity_orders, similarity_symmetric, similarity_preview,
         rating_similarity_join, cf_scores, cf_unseen_scores, cf_topk, itemcf_topk, itemcf_topk_orders,
         cf_holdout_predictions, cf_rmse, recommendation_lists, explode_recommendations,
@@ -232,6 +250,18 @@ ORACLES = {
     "user_item_rating": using(
         "ratings", select="SELECT uid, aid, round(rating, 6) AS rating FROM ratings"
     ),
+    "ratings_as_of": using(
+        "actions",
+        select=f"""SELECT uid, aid, CAST(as_of AS VARCHAR) AS as_of,
+                round(CAST(sum(weight * CAST(1 / (1 + exp(1 - (life - 7) * CAST(0.8 AS DOUBLE))) AS FLOAT))
+                    AS DOUBLE), 6) AS rating
+            FROM (SELECT *, CASE WHEN days > 14 THEN 1 ELSE 14 - days END AS life,
+                      CAST(CASE action WHEN 'click' THEN 0.1 WHEN 'view' THEN 0.15
+                           WHEN 'signup' THEN 0.2 WHEN 'purchase' THEN 0.3 ELSE 0 END AS FLOAT) AS weight
+                  FROM (SELECT *, as_of - CAST(strptime(action_date, '%Y%m%d') AS DATE) AS days
+                        FROM actions, (VALUES {_DAYS}) AS d(as_of)))
+            WHERE days >= 0 GROUP BY uid, aid, as_of""",
+    ),
     "rating_sorted": using(
         "ratings",
         select="SELECT uid, aid, round(rating, 6) AS rating FROM ratings ORDER BY uid DESC, aid",

@@ -9,6 +9,7 @@ ARTICLE_TERMS = "article_id bigint, top_term string, vector array<double>"
 TRAINING = "uid bigint, aid bigint, label int"
 LABELLED_CSV = "features string, label string"
 
+DAILY_COUNTS = "uid bigint, aid bigint, action string, n bigint, day date"
 RATINGS = "uid bigint, aid bigint, rating double"
 ITEMCF = "uid bigint, sim_aid bigint, pred_rating double"
 ALS = "uid bigint, pred_aid bigint, pred_rating double"
