@@ -226,4 +226,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLES = {}
+ORACLES = {
+    "op4_substring_dedup": f"""
+        WITH spread AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM documents)),
+        windows AS (
+            SELECT doc_id, place, list(word) OVER following AS run FROM spread
+            WINDOW following AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+        ranked AS (
+            SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, place) > 1 AS again
+            FROM windows WHERE len(run) = {WINDOW}),
+        covered AS (
+            SELECT s.doc_id, s.place, s.word,
+                coalesce(max(r.again) OVER (PARTITION BY s.doc_id ORDER BY s.place
+                    ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), false) AS gone
+            FROM spread s LEFT JOIN ranked r ON r.doc_id = s.doc_id AND r.place = s.place),
+        cut AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept
+            FROM covered GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id"""
+}
