@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.functions.sums import exact_sum, exact_unit_sum
-from affinity.plans.skew import MOST_PER_TASK, hot_table, part_of, shuffle_partitions, tasks_for
+from affinity.plans.skew import MOST_PER_TASK, hot_table, part_of, shuffle_partitions, split_join, tasks_for
 from affinity.plans.staging import stage
 
 # Items of one user that meet in one task.
 ITEMS_PER_TILE = 2000
 
+# Steps of the order of users: for each doubling of their size, and by hash within one.
+STEPS_PER_POWER, HASH_STEPS = 4, 64
+# What rounding may take from a bound.
+MARGIN = 1e-9
+
 
 def item_norms(ratings: DataFrame) -> DataFrame:
     """Euclidean length of each item's rating column; zero columns are left out."""
@@ -22,6 +27,13 @@ def item_norms(ratings: DataFrame) -> DataFrame:
     )
 
 
+def unit_columns(ratings: DataFrame) -> DataFrame:
+    """(uid, aid, w): ratings other than 0, scaled to a length of 1 an item."""
+    return ratings.where(F.col("rating") != 0).join(item_norms(ratings), "aid").select(
+        "uid", "aid", (F.col("rating") / F.col("norm")).alias("w")
+    )
+
+
 def item_similarity(
     ratings: DataFrame,
     items_per_tile: int = ITEMS_PER_TILE,
@@ -36,11 +48,21 @@ def item_similarity(
     pairs of a heavy user. Pairs run from the join into the map-side sum within
     one stage. Sums are exact in units of 2**-62, so a cosine below that is none.
     """
-    nonzero = ratings.where(F.col("rating") != 0)
-    unit = nonzero.join(item_norms(ratings), "aid").select(
-        "uid", "aid", (F.col("rating") / F.col("norm")).alias("w")
+    sizes = ratings.where(F.col("rating") != 0).groupBy("uid").agg(F.count("*").alias("n"))
+    met = _meetings(unit_columns(ratings), sizes, items_per_tile, most_per_task)
+    return (
+        met.groupBy("aid", "sim_aid")
+        .agg(exact_unit_sum(F.col("product")).alias("sim"))
+        .where(F.col("sim") != 0)
     )
-    sizes = nonzero.groupBy("uid").agg(F.count("*").alias("n"))
+
+
+def _meetings(
+    unit: DataFrame, sizes: DataFrame, items_per_tile: int, most_per_task: int, *carried: str
+) -> DataFrame:
+    """(aid, sim_aid, product) of every two items of a user, ``aid < sim_aid``, and the columns
+    ``carried`` of one side and the other, as ``_a`` and ``_b``. ``sizes`` has each user's
+    number of rows ``n``."""
     tiles = F.ceil(F.col("n") / F.lit(items_per_tile))
     most_tiles, pairs = sizes.agg(
         F.max(tiles), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
@@ -60,29 +82,112 @@ def item_similarity(
         )
         # Tile pair (a, b) with a <= b; within a diagonal tile each pair once.
         left = tiled.select(
-            "uid", "aid", "w", F.col("tile").alias("tile_a"),
+            "uid", "aid", "w", *carried, F.col("tile").alias("tile_a"),
             F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile_b"),
         )
         right = tiled.select(
-            "uid", "aid", "w", F.explode(F.sequence(F.lit(0), "tile")).alias("tile_a"),
+            "uid", "aid", "w", *carried, F.explode(F.sequence(F.lit(0), "tile")).alias("tile_a"),
             F.col("tile").alias("tile_b"),
         )
         ordered = (F.col("a.tile_a") < F.col("a.tile_b")) | (F.col("a.aid") < F.col("b.aid"))
 
-    tasks = tasks_for(ratings.sparkSession, pairs or 0, most_per_task)
+    tasks = tasks_for(unit.sparkSession, pairs or 0, most_per_task)
     if tasks > 1:
         left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     same_tile = [F.col(f"a.{key}") == F.col(f"b.{key}") for key in keys]
     met = left.alias("a").join(right.alias("b"), [*same_tile, ordered])
+    return met.select(
+        F.least("a.aid", "b.aid").alias("aid"),
+        F.greatest("a.aid", "b.aid").alias("sim_aid"),
+        (F.col("a.w") * F.col("b.w")).alias("product"),
+        *(F.col(f"{side}.{name}").alias(f"{name}_{side}") for name in carried for side in "ab"),
+    )
+
+
+def index_entries(unit: DataFrame, least: float) -> DataFrame:
+    """(uid, aid, w, before, rest): the entries of unit columns that two items must share to
+    reach a similarity of ``least``.
+
+    Users are put in one order, those with many items first, and each item leaves out its
+    first users as long as their part is shorter than ``least``; ``rest`` is the length of
+    that part, ``before`` that of all earlier users than the entry's. Two items that share no
+    user both have kept share only users that the one with the later cut left out, and their
+    similarity is at most that part's length. So the heaviest users, whose pairs are most of
+    the work, mostly take no part. The order goes by steps of the users' sizes and a hash,
+    and cuts fall between steps: an item has a bounded number of them, however many users.
+    """
+    sizes = unit.groupBy("uid").agg(F.count("*").alias("n"))
+    step = -F.floor(F.log2("n") * STEPS_PER_POWER) * HASH_STEPS + F.pmod(F.xxhash64("uid"), F.lit(HASH_STEPS))
+    placed = unit.join(sizes, "uid").select("uid", "aid", "w", step.alias("step"))
+    parts = placed.groupBy("aid", "step").agg(F.sum(F.col("w") * F.col("w")).alias("part"))
+    item = Window.partitionBy("aid")
+    until = item.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    far = parts.withColumn("far", F.sum("part").over(until))
+    out = F.col("far") < F.lit(least * least * (1 - MARGIN))
+    lengths = far.select(
+        "aid", "step", out.alias("out"),
+        F.sqrt(F.greatest(F.col("far") - F.col("part"), F.lit(0.0))).alias("before"),
+        F.sqrt(F.coalesce(F.max(F.when(out, F.col("far"))).over(item), F.lit(0.0))).alias("rest"),
+    )
+    return placed.join(lengths.where(~F.col("out")), ["aid", "step"]).select("uid", "aid", "w", "before", "rest")
+
+
+def candidate_pairs(
+    unit: DataFrame,
+    least: float,
+    items_per_tile: int = ITEMS_PER_TILE,
+    most_per_task: int = MOST_PER_TASK,
+) -> DataFrame:
+    """(aid, sim_aid): all pairs that can be as similar as ``least``, and some that are not.
+
+    A pair's similarity is at most the sum over the users both have kept and what the others
+    can add: no more than the longer one of the parts left out, nor than the product of both
+    lengths before the first user they share.
+    """
+    kept = stage(index_entries(unit, least), "indexed")
+    sizes = kept.groupBy("uid").agg(F.count("*").alias("n"))
+    met = _meetings(kept, sizes, items_per_tile, most_per_task, "before", "rest")
+    sums = met.groupBy("aid", "sim_aid").agg(
+        F.sum("product").alias("part"),
+        F.max(F.greatest("rest_a", "rest_b")).alias("rest"),
+        F.min(F.col("before_a") * F.col("before_b")).alias("before"),
+    )
+    most = F.col("part") + F.least("rest", "before")
+    return sums.where(most >= least * (1 - MARGIN) - MARGIN).select("aid", "sim_aid")
+
+
+def similarity_at_least(
+    ratings: DataFrame,
+    least: float,
+    items_per_tile: int = ITEMS_PER_TILE,
+    most_per_task: int = MOST_PER_TASK,
+) -> DataFrame:
+    """The rows of :func:`item_similarity` with ``sim >= least``, bit for bit, without the
+    sums of the others. ``least`` lies above 0 and is at most 1; ratings are none below 0.
+
+    Candidates come from :func:`candidate_pairs`. Each is then summed over the users of the
+    one of its items that has fewer, looked up in the other. Pass staged ratings.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least must lie above 0 and be at most 1, not {least}")
+    unit = stage(unit_columns(ratings), "unit")
+    pairs = stage(candidate_pairs(unit, least, items_per_tile, most_per_task), "candidates")
+    users = unit.groupBy("aid").agg(F.count("*").alias("n"))
+    sized = pairs.join(users, "aid").join(
+        users.select(F.col("aid").alias("sim_aid"), F.col("n").alias("sim_n")), "sim_aid"
+    )
+    turned = F.col("n") > F.col("sim_n")
+    near = sized.select(
+        F.when(turned, F.col("sim_aid")).otherwise(F.col("aid")).alias("aid"),
+        F.when(turned, F.col("aid")).otherwise(F.col("sim_aid")).alias("other"),
+    )
+    spread = split_join(unit, stage(near, "near"), "aid", "uid", most_per_task)
+    looked_up = unit.select("uid", F.col("aid").alias("other"), F.col("w").alias("v"))
     return (
-        met.select(
-            F.least("a.aid", "b.aid").alias("aid"),
-            F.greatest("a.aid", "b.aid").alias("sim_aid"),
-            (F.col("a.w") * F.col("b.w")).alias("product"),
-        )
-        .groupBy("aid", "sim_aid")
-        .agg(exact_unit_sum(F.col("product")).alias("sim"))
-        .where(F.col("sim") != 0)
+        spread.join(looked_up, ["uid", "other"])
+        .groupBy(F.least("aid", "other").alias("aid"), F.greatest("aid", "other").alias("sim_aid"))
+        .agg(exact_unit_sum(F.col("w") * F.col("v")).alias("sim"))
+        .where(F.col("sim") >= least)
     )
 
 

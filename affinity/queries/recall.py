@@ -17,6 +17,7 @@ from affinity.queries.sql import using
 from affinity.sources import standins, tables
 
 LIMIT = 1000
+LEAST = {"events": 0.3, "orders": 0.2}
 RATED_DAYS = (dt.date(2024, 1, 10), dt.date(2024, 1, 20), standins.AS_OF)
 _DAYS = ", ".join(f"(DATE '{day}')" for day in RATED_DAYS)
 
@@ -125,6 +126,17 @@ def item_similarity_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(similarity.item_similarity(bought), "sim")
 
 
+def item_similarity_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and parts that are alike, from a least similarity on."""
+    bought = stage(standins.order_ratings(spark, sf_dir), "bought")
+    logs = {"events": inputs.training(spark, sf_dir), "orders": bought}
+    parts = [
+        similarity.similarity_at_least(rated, LEAST[name]).withColumn("log", F.lit(name))
+        for name, rated in logs.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), "sim")
+
+
 def similarity_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(itemcf.neighbours(inputs.training(spark, sf_dir)), "sim")
 
@@ -212,7 +224,7 @@ QUERIES = {
     for f in (
         scan_user_action, scan_limited, action_weight, time_weight, days_since, date_range,
         action_rating, user_item_rating, ratings_as_of, rating_sorted, split_holdout, split_random, item_norms,
-        item_similarity, item_similarity_orders, similarity_symmetric, similarity_preview,
+        item_similarity, item_similarity_orders, item_similarity_least, similarity_symmetric, similarity_preview,
         rating_similarity_join, cf_scores, cf_unseen_scores, cf_topk, itemcf_topk, itemcf_topk_orders,
         cf_holdout_predictions, cf_rmse, recommendation_lists, explode_recommendations,
         anti_join_seen,
@@ -292,6 +304,13 @@ ORACLES = {
             JOIN (SELECT aid, sqrt(sum(rating * rating)) AS norm FROM order_ratings
                   GROUP BY aid) y ON p.sim_aid = y.aid""",
     ),
+    "item_similarity_least": using(
+        "sim", "order_sim",
+        select=f"""SELECT aid, sim_aid, round(sim, 6) AS sim, 'events' AS log FROM sim
+            WHERE sim >= {LEAST["events"]}
+            UNION ALL SELECT aid, sim_aid, round(sim, 6), 'orders' FROM order_sim
+            WHERE aid < sim_aid AND sim >= {LEAST["orders"]}""",
+    ),
     "similarity_symmetric": using(
         "sym", select="SELECT aid, sim_aid, round(sim, 6) AS sim FROM sym"
     ),
