@@ -158,6 +158,16 @@ def by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and the number of each of ``values`` among them."""
+    codes = pa.array(values).dictionary_encode()
+    names = codes.dictionary.to_numpy()
+    order = np.argsort(names)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return names[order], rank[codes.indices.to_numpy()]
+
+
 def release() -> None:
     """Gives free memory of this process back to the system."""
     pa.default_memory_pool().release_unused()

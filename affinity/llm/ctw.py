@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.common import batches, by_hash, chunked, mix, read, release, split_words, stage, typed
+from affinity.llm.common import batches, chunked, mix, numbered, read, release, split_words, stage, typed
 
 DEPTH = 5
 CUT = 2
@@ -175,15 +175,20 @@ def _descend(levels, parents, weights, above, left):
     return nodes, above, left
 
 
-def _levels(codes: np.ndarray, n: np.ndarray, first: int, depth: int, bit: int):
-    """(d, keys, zeros, ones) of the levels from ``first`` to ``depth``."""
+def _counts(codes: np.ndarray, n: np.ndarray, first: int, depth: int):
+    """(d, runs, n) of the levels from ``first`` to ``depth``, from the distinct runs of the last."""
     out = []
     for d in range(first, depth + 1):
-        short, at = np.unique(codes & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
-        out.append((d, *Tree._level(short, np.bincount(at, n, len(short)).astype(np.int64), bit)))
+        short, at = numbered(codes & np.uint64((1 << (8 * (d + 1))) - 1))
+        out.append((d, short, np.bincount(at, n, len(short)).astype(np.int64)))
     return out
 
 
+def _levels(counts, bit: int):
+    """(d, keys, zeros, ones) of the same levels."""
+    return [(d, *Tree._level(short, n, bit)) for d, short, n in counts]
+
+
 def _top(table: pa.Table, cut: int):
     """Nodes of the levels above ``cut`` by bit, and (keys, above, left) of that of ``cut``."""
     nodes, reach = [[None] * 8 for _ in range(cut)], []
@@ -214,8 +219,8 @@ def run_logs(docs: DataFrame, depth: int, groups: int) -> DataFrame:
         for batch in batches(stream, 1500):
             codes, sizes = encode(split_words(batch.column("text"), lower=True), depth)
             learn = np.repeat(~np.asarray(batch.column("out").to_numpy(zero_copy_only=False), bool), sizes)
-            names = by_hash(codes)[0]
-            n = np.bincount(np.searchsorted(names, codes[learn]), minlength=len(names))
+            names, at = numbered(codes)
+            n = np.bincount(at[learn], minlength=len(names))
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], ["code", "n"])
 
     runs = docs.select("text", "out").mapInArrow(count, "code long, n long")
@@ -231,10 +236,10 @@ def run_logs(docs: DataFrame, depth: int, groups: int) -> DataFrame:
     def bottom(table):
         release()
         codes, n = sorted_runs(table)
-        codes, n = codes[n > 0], n[n > 0]
+        counts = _counts(codes[n > 0], n[n > 0], cut, depth)
         out = []
         for bit in range(8):
-            levels = _levels(codes, n, cut, depth, bit)
+            levels = _levels(counts, bit)
             below = _climb(levels, log_block(*levels[-1][2:]))[2]
             _, keys, zeros, ones = levels[0]
             out.append(pa.table({
@@ -255,8 +260,9 @@ def run_logs(docs: DataFrame, depth: int, groups: int) -> DataFrame:
         upper, reach = shared.value
         tree = Tree.__new__(Tree)
         tree.depth, tree.nodes = depth, [*upper, *([None] * 8 for _ in range(cut, depth + 1))]
+        counts = _counts(codes[n > 0], n[n > 0], cut, depth)
         for bit in range(8):
-            levels = _levels(codes[n > 0], n[n > 0], cut, depth, bit)
+            levels = _levels(counts, bit)
             parents, weights, _ = _climb(levels, log_block(*levels[-1][2:]))
             keys, above, left = reach[bit]
             at = np.searchsorted(keys, levels[0][1])
@@ -295,92 +301,70 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     groups = max(1, -(-size // (16 << 20)))
     logs = run_logs(marked, depth, groups)
 
-    def asked(table):
-        """The chunk's byte runs, how many each text has, and the distinct ones."""
-        words = split_words(pc.struct_field(table.column("row"), "text"), lower=True)
-        codes, sizes = encode(words, depth)
-        return codes, sizes, by_hash(codes)[0]
-
-    def ask(key, table):
-        release()
-        names = asked(table)[2]
-        order, parts, starts = _dealt(names, groups)
-        return pa.table({
-            "part": pa.array(parts),
-            "chunk": pa.array(np.full(len(parts), key[0].as_py(), np.int64)),
-            "codes": pa.array([x.tobytes() for x in np.split(names[order], starts[1:])], pa.binary()),
-        })
-
-    def answer(key, left, right):
-        release()
-        known = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("codes").to_pylist()])
-        value = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
-        order = np.argsort(known)
-        known, value = known[order], value[order]
-        wanted = [np.frombuffer(x, np.uint64) for x in left.column("codes").to_pylist()]
-        return pa.table({
-            "part": pa.array(np.full(len(wanted), groups + key[0].as_py(), np.int64)),
-            "chunk": left.column("chunk"),
-            "totals": pa.array([value[np.searchsorted(known, x)].tobytes() for x in wanted], pa.binary()),
-            "types": pa.array(np.zeros(len(wanted), np.int64)),
-        })
-
-    def tokens(table):
-        """The chunk's words, distinct tokens in group order with the group of each, the
-        token number of every word, and training counts."""
+    def wanted(table):
+        """(runs, run number of every byte, how many each text has), and (words, distinct
+        tokens, token number of every word, training counts) of a chunk."""
         row = pc.struct_field(table.column("row"), "text")
         learn = ~np.asarray(pc.struct_field(table.column("row"), "out").combine_chunks().to_numpy(zero_copy_only=False), bool)
         words = split_words(row, lower=True)
-        names, at = np.unique(np.append(words.hashes, _END_TOKEN), return_inverse=True)
+        names, at = numbered(np.append(words.hashes, _END_TOKEN))
         seen = np.append(np.repeat(learn, words.counts), False)
         counts = np.bincount(at[seen], minlength=len(names))
         counts[at[-1]] += learn.sum()
-        group = (mix(names) % np.uint64(groups)).astype(np.int64)
-        return words, names, at, counts, group
+        codes, sizes = encode(words, depth)
+        return (*numbered(codes), sizes), (words, names, at, counts)
 
-    def deal(key, table):
+    # A chunk's tokens go to parts below ``groups``, its byte runs to those from there on.
+    def ask(key, table):
         release()
-        _, names, _, counts, group = tokens(table)
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
-        ends = np.append(cuts[1:], len(order))
+        (runs, _, _), (_, names, _, counts) = wanted(table)
+        order, parts, starts = _dealt(names, groups)
+        packed = np.split(counts[order].astype(np.int32), starts[1:])
+        also, more, cuts = _dealt(runs, groups)
+        asked = [*np.split(names[order], starts[1:]), *(np.split(runs[also], cuts[1:]) if len(runs) else [])]
         return pa.table({
-            "part": pa.array(group[order][cuts]),
-            "chunk": pa.array(np.full(len(cuts), key[0].as_py(), np.int64)),
-            "names": pa.array([names[order[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-            "counts": pa.array([counts[order[a:b]].astype(np.int32).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            "part": pa.array(np.append(parts, more + groups)),
+            "chunk": pa.array(np.full(len(asked), key[0].as_py(), np.int64)),
+            "names": pa.array([x.tobytes() for x in asked], pa.binary()),
+            "counts": pa.array([x.tobytes() for x in packed] + [None] * (len(asked) - len(packed)), pa.binary()),
         })
 
-    def total(table):
+    def answer(key, left, right):
         release()
-        table = table.sort_by("chunk")
-        packed = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-        names, at = np.unique(np.concatenate(packed), return_inverse=True)
-        totals = np.bincount(at, counts, len(names)).astype(np.int64)
-        replies = np.split(totals[at], np.cumsum([len(x) for x in packed])[:-1])
+        left = left.sort_by("chunk")
+        packed = [np.frombuffer(x, np.uint64) for x in left.column("names").to_pylist()]
         types = np.zeros(len(packed), np.int64)
-        types[0] = (totals > 0).sum()
-        return table.select(["part", "chunk"]).append_column(
+        if key[0].as_py() < groups:
+            counts = np.concatenate([np.frombuffer(x, np.int32) for x in left.column("counts").to_pylist()])
+            names, at = numbered(np.concatenate(packed))
+            totals = np.bincount(at, counts, len(names)).astype(np.int64)
+            types[0] = (totals > 0).sum()
+            replies = np.split(totals[at], np.cumsum([len(x) for x in packed])[:-1])
+        else:
+            known = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("codes").to_pylist()])
+            value = np.concatenate([np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist()])
+            order = np.argsort(known)
+            known, value = known[order], value[order]
+            replies = [value[np.searchsorted(known, x)] for x in packed]
+        return left.select(["part", "chunk"]).append_column(
             "totals", pa.array([x.tobytes() for x in replies], pa.binary())
         ).append_column("types", pa.array(types))
 
     def finish(key, left, right):
         release()
-        words, names, at, counts, group = tokens(left)
+        (runs, place, sizes), (words, names, at, counts) = wanted(left)
         right = right.sort_by("part")
         totals = np.empty(len(names), np.int64)
         packed = list(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
         replies = [np.frombuffer(x, np.int64) for part, x in packed if part < groups]
-        totals[np.argsort(group, kind="stable")] = np.concatenate(replies)
+        totals[_dealt(names, groups)[0]] = np.concatenate(replies)
         each, end = totals[at[:-1]], totals[at[-1]]
         n = len(words.counts)
         base = np.bincount(words.owner, np.log10(each + 0.5), n) + np.log10(end + 0.5)
         known = np.bincount(words.owner, each > 0, n).astype(np.int64) + int(end > 0)
-        codes, sizes, runs = asked(left)
         value = np.empty(len(runs), np.float32)
         value[_dealt(runs, groups)[0]] = np.concatenate([np.frombuffer(x, np.float32) for part, x in packed if part >= groups])
-        logs = np.bincount(np.repeat(np.arange(n), sizes), value[np.searchsorted(runs, codes)], n)
+        logs = np.bincount(np.repeat(np.arange(n), sizes), value[place], n)
         extra = {"n_tokens": words.counts + 1, "n_known": known, "base": base, "score": logs}
         table = pa.table({"row": pc.struct_field(left.column("row"), "all")} | {k: pa.array(v) for k, v in extra.items()})
         facts = pa.table({
@@ -391,20 +375,13 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             ["row", "n_tokens", "n_known", "base", "score", "types", "learned"]
         )
 
+    asked = rows.groupBy("chunk").applyInArrow(ask, "part long, chunk long, names binary, counts binary")
+    logs = logs.select((F.col("part") + groups).alias("part"), "codes", "logs")
     replies = (
-        rows.groupBy("chunk")
-        .applyInArrow(deal, "part long, chunk long, names binary, counts binary")
-        .groupBy("part")
-        .applyInArrow(total, "part long, chunk long, totals binary, types long")
-    )
-    answers = (
-        rows.groupBy("chunk")
-        .applyInArrow(ask, "part long, chunk long, codes binary")
-        .groupBy("part")
+        asked.groupBy("part")
         .cogroup(logs.groupBy("part"))
         .applyInArrow(answer, "part long, chunk long, totals binary, types long")
     )
-    replies = replies.unionByName(answers)
     kind = docs.select(rest).schema["all"].dataType
     counts = "n_tokens long, n_known long, base double, score double, types long, learned long"
     schema = typed(row=kind, after=counts)
