@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators.itemcf import drop_seen
+from affinity.operators.search import best_products
 from affinity.plans.prefix import dense_index
 from affinity.plans.skew import tasks_for
 from affinity.plans.staging import shared_dir, stage
@@ -184,6 +185,18 @@ def topk_all(recall: AlsRecall, k: int) -> DataFrame:
     return _decoded(recall, recall.model.recommendForAllUsers(k))
 
 
+def topk_search(recall: AlsRecall, k: int) -> DataFrame:
+    """:func:`topk_all` by search: exact, equal scores by id, and most pairs never multiplied.
+    ``multiplied`` is the number of items whose product with the user was computed."""
+    users = recall.model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("vector"))
+    items = recall.model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("vector"))
+    best = best_products(users, items, k).join(recall.users, "user").join(recall.items, "item")
+    return best.select(
+        F.col("uid").cast("bigint"), F.col("aid").cast("bigint").alias("pred_aid"),
+        F.col("score").alias("pred_rating"), "multiplied",
+    )
+
+
 def topk_users(recall: AlsRecall, users: DataFrame, k: int) -> DataFrame:
     """The ``k`` best items for the given users, seen ones included."""
     chosen = _encoded(users.select("uid").distinct(), recall)

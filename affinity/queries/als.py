@@ -5,7 +5,7 @@ The factors have no SQL twin; which users, items and pairs they cover has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinity.operators import als, candidates, evaluate, ratings
@@ -97,6 +97,24 @@ def als_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return als.topk_all(_fitted(spark, sf_dir)[2], K)
 
 
+def als_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best items for every user, by search, and how many items each user was multiplied with."""
+    return als.topk_search(_fitted(spark, sf_dir)[2], K)
+
+
+def als_search_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether, rank by rank, the search gives each user the scores of the solver's own top-k."""
+    recall = _fitted(spark, sf_dir)[2]
+    ranks = Window.partitionBy("uid").orderBy(F.desc("pred_rating"))
+    own, found = (
+        best.select("uid", F.row_number().over(ranks).alias("rank"), F.col("pred_rating").alias(name))
+        for best, name in ((als.topk_all(recall, K), "own"), (als.topk_search(recall, K), "found"))
+    )
+    near = F.abs(F.col("own") - F.col("found")) <= 1e-5 * F.greatest(F.lit(1.0), F.abs("own"))
+    both = own.join(found, ["uid", "rank"], "full").groupBy("uid")
+    return both.agg(F.count("*").alias("n"), F.bool_and(F.coalesce(near, F.lit(False))).alias("agrees"))
+
+
 def als_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best items for the customers of the last day with an order."""
     orders = standins.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid"), "o_orderdate")
@@ -129,6 +147,7 @@ QUERIES = {
         als_factors, als_factor_ids, als_predictions, als_predicted_pairs, als_topk,
         als_topk_sizes, als_unseen_are_unseen, als_topk_subset, als_unseen_topk, als_rmse,
         candidate_features_als, als_optimality, als_predictions_are_products, als_topk_are_products,
+        als_topk_search, als_search_agrees,
     )
 }
 
@@ -163,4 +182,7 @@ ORACLES = {
     "als_topk_are_products": using(
         "order_ratings", select=f"""SELECT DISTINCT uid, {K} AS n, TRUE AS agrees FROM ({_TRAIN})"""
     ),
+    "als_search_agrees": using(
+        "order_ratings", select=f"""SELECT DISTINCT uid, {K} AS n, TRUE AS agrees FROM ({_TRAIN})"""
+    ),
 }
