@@ -9,6 +9,8 @@ from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 from affinity.operators import candidates, itemcf, similarity
 from affinity.operators.als import explode_recommendations
 from affinity.operators.ratings import hash_split
+from affinity.plans import staging
+from affinity.queries import recall
 from affinity.sources import schemas
 
 # An invented table: seven users, six items, every pair of items shared by somebody or nobody.
@@ -140,6 +142,28 @@ def test_scores_match_brute_force_with_hot_items(spark, per_task):
         assert {(r.uid, r.sim_aid): r.pred_rating for r in scored.collect()} == expected
 
 
+@pytest.mark.parametrize("per_task", [20_000_000, 60])
+def test_scores_do_not_depend_on_how_similarities_are_sent(spark, per_task):
+    df = spark.createDataFrame(skewed_rows(), schemas.RATINGS)
+    sims = similarity.symmetric(similarity.item_similarity(df))
+    sent, met = (
+        sorted(map(tuple, itemcf.rating_similarity_join(df, sims, per_task, most).collect())) for most in (10**6, 0)
+    )
+    assert sent and sent == met
+
+
+def test_the_sums_of_a_user_need_no_shuffle_of_joined_rows(spark):
+    df = staging.stage(spark.createDataFrame(skewed_rows(), schemas.RATINGS), "ratings")
+    sims = similarity.symmetric(similarity.staged_similarity(df))
+    scored = itemcf.item_scores(itemcf.rating_similarity_join(df, sims, 60))
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_unseen_scores_are_summed_before_seen_ones_are_dropped(spark):
+    plan = recall.cf_unseen_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "HashAggregate" not in plan
+
+
 @pytest.mark.parametrize("per_task", [20_000_000, 100])
 def test_holdout_is_predicted_alike_with_and_without_all_scores(spark, per_task):
     train, holdout = hash_split(spark.createDataFrame(skewed_rows(), schemas.RATINGS))
