@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinity.operators import als
+from affinity.plans.skew import tasks_for
 from affinity.sources import schemas
 from test_itemcf import RATINGS, invented
 
@@ -87,6 +88,21 @@ def test_predictions_are_dot_products_and_topk_the_best_of_them(spark, shift):
         assert sorted(best[uid], reverse=True) == pytest.approx(expected, abs=1e-5)
 
 
+def test_topk_is_the_solver_s_without_every_pair(spark, recall, monkeypatch):
+    def rows(best):
+        return {(r.uid, r.pred_aid): r.pred_rating for r in best.collect()}
+
+    own = rows(als.topk_solver(recall, 4))
+    monkeypatch.setattr(type(recall.model), "recommendForAllUsers", None)
+    assert own and rows(als.topk_all(recall, 4)) == pytest.approx(own, abs=1e-6)
+
+
+def test_blocks_stay_as_few_as_cores_and_memory_allow(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 30e6, als.RATINGS_PER_BLOCK) == cores
+    assert tasks_for(spark, 2.4e9, als.RATINGS_PER_BLOCK) == 200
+
+
 def worst(slots):
     """The largest violation of the conditions of the least loss, relative to the gradient's parts."""
     out = 0.0
