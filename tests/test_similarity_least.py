@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from affinity.operators import similarity
+from affinity.operators import cells, similarity
 from affinity.plans.staging import stage
 from affinity.sources import schemas
 
@@ -54,3 +55,46 @@ def test_heavy_users_make_few_candidates(spark):
     candidates = {(r.aid, r.sim_aid) for r in similarity.candidate_pairs(unit, 0.4).collect()}
     assert {row[:2] for row in bits(similarity.similarity_at_least(rated, 0.4))} <= candidates
     assert 0 < len(candidates) < 400 * 399 / 2 / 50
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3])
+def test_sums_by_cell_are_those_of_the_join(spark, monkeypatch, rows):
+    """Bit for bit, in one cell or many, with products cut anywhere, and no pair shuffled."""
+    rated = ratings_of(spark, rows)
+    whole, near = bits(similarity.item_similarity(rated)), bits(similarity.similarity_at_least(rated, 0.3))
+    monkeypatch.setattr(similarity, "CELLS_FROM", 1)
+    monkeypatch.setattr(similarity, "INDEX_SAVES", 1e9)
+    assert similarity._cell_tiles(rated, "rating", 4) > 1
+    assert bits(similarity.item_similarity(rated, most_per_task=4)) == whole
+    assert bits(similarity.similarity_at_least(rated, 0.3, most_per_task=4)) == near
+    unit = stage(similarity.unit_columns(rated), "unit")
+    for tiles in (1, 2, 5):
+        assert bits(cells.cell_sums(unit, tiles)) == whole
+    plan = similarity.item_similarity(rated, most_per_task=4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sim_aid" not in plan.split("MapInArrow", 1)[1].split("Exchange", 1)[1]
+
+
+def test_products_of_an_item_are_cut(monkeypatch):
+    monkeypatch.setattr(cells, "_PRODUCTS", 3)
+    rng = np.random.default_rng(1)
+    uid, aid, w = rng.integers(0, 9, 60), rng.integers(0, 12, 60), rng.random(60) / 60
+    even = aid % 2 == 0
+    for left, right in (((uid, aid, w), None), ((uid[even], aid[even], w[even]), (uid[~even], aid[~even], w[~even]))):
+        sums = {}
+        for i in range(60):
+            for j in range(60):
+                met = aid[i] < aid[j] if right is None else even[i] and not even[j]
+                if met and uid[i] == uid[j]:
+                    pair = tuple(sorted((int(aid[i]), int(aid[j]))))
+                    sums[pair] = sums.get(pair, 0) + int(np.rint(w[i] * w[j] * 2.0**62))
+        got = [row for batch in cells._sums(left, right, None) for row in batch.to_pylist()]
+        assert {(r["aid"], r["sim_aid"]): r["sim"] for r in got} == {pair: n / 2.0**62 for pair, n in sums.items()}
+        assert len(got) == len(sums)
+
+
+def test_cells_refuse_what_would_overflow():
+    uid, aid, w = np.zeros(4, np.int64), np.array([1, 1, 2, 2]), np.full(4, 0.8)
+    with pytest.raises(ArithmeticError):
+        list(cells._sums((uid, aid, w), None, None))
+    with pytest.raises(ArithmeticError):
+        list(cells._sums((uid[1:3], aid[1:3], np.array([1.0, np.nan])), None, None))
