@@ -273,19 +273,35 @@ def _leaders(members: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).select(*_MEMBER, "class", "size")
 
 
-def _pairs(members: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
+def _first_shared(bands: Column, other: Column) -> Column:
+    """The key of the bucket of the first two bands that two nodes share."""
+    both = F.filter(F.zip_with(bands, other, lambda x, y: F.when((x == y) & (x != 0), x)), lambda x: x.isNotNull())
+    return F.xxhash64(F.get(both, F.lit(0)), F.get(both, F.lit(1)))
+
+
+def _pairs(members: DataFrame, leaders: DataFrame, most: int, nodes: DataFrame | None = None) -> DataFrame:
     """(a, b), a > b: leaders with their bucket's members of other classes.
 
     A bucket is cut into tiles of its members, each of about TILE pairs; the leaders go to all.
+    Two nodes that agree in m bands share m (m - 1) / 2 buckets. With the bands of ``nodes``
+    they only meet in the one of the first two, so the join makes a pair once, or twice where
+    both lead. Until that bucket is done they stay apart in the others as well.
     """
     tiles = F.ceil(F.col("size") * F.lit(most) / F.lit(TILE))
-    left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "total", "shared", "class")
+    known = [] if nodes is None else ["bands"]
+    if known:
+        bands = nodes.select("node", "bands")
+        members, leaders = members.join(bands, "node"), leaders.join(bands, "node")
+    left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "total", "shared", "class", *known)
     right = leaders.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"),
         F.col("node").alias("leader"), F.col("total").alias("other_total"), F.col("shared").alias("other_shared"), F.col("class").alias("other"),
+        *(F.col(name).alias("other_bands") for name in known),
     )
     near = _reachable(F.col("total"), F.col("shared"), F.col("other_total"), F.col("other_shared"))
     met = left.join(right, ["key", "tile"]).filter("class != other").filter(near)
+    if known:
+        met = met.filter(F.col("key") == _first_shared(F.col("bands"), F.col("other_bands")))
     return met.select(*_pair(F.col("node"), F.col("leader"))).distinct()
 
 
@@ -347,7 +363,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             pairs = _nearest(members, compared)
         else:
             leaders = stage(_leaders(members, most), "leaders")
-            pairs = _pairs(members, leaders, most).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = _pairs(members, leaders, most, nodes).join(compared.select("a", "b"), ["a", "b"], "left_anti")
             left = left.join(leaders.select("key", "node"), ["key", "node"], "left_anti")
             most *= 4
         pairs = stage(pairs, "pairs")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from affinity.llm import icws_dedup as op
 
@@ -235,3 +236,16 @@ def test_a_family_is_compared_by_a_few_pairs_a_member(spark, documents, monkeypa
 
 
 staged = op.stage
+
+
+def test_a_pair_meets_in_one_of_its_buckets(spark):
+    bands = {1: [11, 12, 13, 14, 0], 2: [11, 12, 13, 14, 0], 3: [91, 12, 13, 92, 0], 4: [11, 93, 94, 95, 0]}
+    nodes = spark.createDataFrame([(i, 1.0, keys) for i, keys in bands.items()], "node long, total double, bands array<long>")
+    buckets = op._unsettled(op._buckets(nodes))
+    assert buckets.where("node = 1").count() == 6
+    leaders = op._leaders(buckets, 8)
+    pairs = {tuple(r) for r in op._pairs(buckets, leaders, 8, nodes).collect()}
+    assert pairs == {tuple(r) for r in op._pairs(buckets, leaders, 8).collect()} == {(2, 1), (3, 1), (3, 2)}
+    keys = [r["key"] for r in buckets.select("key").distinct().collect()]
+    met = [op._pairs(buckets.where(F.col("key") == key), leaders, 8, nodes).collect() for key in keys]
+    assert sorted(tuple(r) for rows in met for r in rows) == [(2, 1), (3, 1), (3, 2)]
