@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,37 @@ def test_blocked_plan_has_one_shuffle_before_the_ranks(spark):
     plan = itemcf.best_unseen_blocked(df, 3, similarity=similarity.item_similarity(df))._jdf.queryExecution().executedPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "WindowGroupLimit" in above and "Join" not in above
+
+
+def test_ratings_go_by_a_tile_without_being_held():
+    """Users are scored as they come, so blocks of users need not be many; ids of any size."""
+    near = [(1, 2, 0.5), (2, 1, 0.5), (2, -(2**40), 0.25), (-(2**40), 2, 0.25)]
+    packed = blocked._pack(*(np.array(x, kind) for x, kind in zip(zip(*near), ("i8", "i8", "f8"))))
+    taken = []
+
+    def stream():
+        yield blocked._row([0], len(near), packed)
+        for user in range(5):
+            taken.append(user)
+            yield blocked._row([1], 1, blocked._pack(np.array([user]), np.array([2]), np.array([3.0])))
+
+    found = blocked._scored(stream(), 2, None)
+    first = next(found)
+    assert taken == [0]
+    assert first.to_pylist() == [{"uid": 0, "sim_aid": i, "pred_rating": 3.0} for i in (-(2**40), 1)]
+    assert [batch.column("uid")[0].as_py() for batch in found] == [1, 2, 3, 4]
+
+
+def test_users_are_packed_whole(monkeypatch):
+    monkeypatch.setattr(blocked, "_PACKED", 4)
+    uid = np.repeat([3, 5, 9, 1], [2, 9, 1, 3])
+    rows = [uid, np.arange(15), np.arange(15) / 2, np.repeat([0, 0, 0, 1], [2, 9, 1, 3])]
+    batches = [pa.record_batch([pa.array(x[low : low + 2]) for x in rows], list("abcd")) for low in range(0, 15, 2)]
+    got = [row for batch in blocked._packed_users(iter(batches), 2, 2) for row in batch.to_pylist()]
+    for tile in (0, 1):
+        mine = [(r["slot"], *blocked._unpack(r["data"], r["n"], "i8", "i8", "f8")) for r in got if r["slot"] // 2 % 2 == tile]
+        for column, at in zip(rows, (1, 2, 3)):
+            assert np.concatenate([x[at] for x in mine]).tolist() == column.tolist()
+        assert all(slot % 2 == 1 and (slot // 4 == 1) == (1 in users) for slot, users, *_ in mine)
+        users = [set(x[1].tolist()) for x in mine]
+        assert sum(map(len, users)) == 4
