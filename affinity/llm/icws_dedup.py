@@ -226,6 +226,16 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 _MEMBER = ("key", "node", "total", "shared", "fame")
 
 
+def _carried(members: DataFrame) -> list[str]:
+    """The columns that a member keeps from round to round."""
+    return [*_MEMBER, *(name for name in ("bands",) if name in members.columns)]
+
+
+def _with_bands(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``members`` with the ``bands`` of their nodes."""
+    return members.join(nodes.select("node", "bands"), "node")
+
+
 def _unsettled(members: DataFrame) -> DataFrame:
     """The members of the buckets with several classes, with the bucket's ``size``, its
     ``largest`` class and the node of most fame in it, ``lead``."""
@@ -235,7 +245,7 @@ def _unsettled(members: DataFrame) -> DataFrame:
         F.sum("n").alias("size"), F.max(F.struct("n", "lead", "class")).alias("top"), F.count("*").alias("classes")
     )
     open_ = several.filter("classes > 1").select("key", "size", F.col("top.class").alias("largest"), F.col("top.lead").alias("lead"))
-    return members.hint("merge").join(open_, "key").select(*_MEMBER, "class", "size", "largest", "lead")
+    return members.hint("merge").join(open_, "key").select(*_carried(members), "class", "size", "largest", "lead")
 
 
 def _reachable(total: Column, shared: Column, other_total: Column, other_shared: Column) -> Column:
@@ -264,13 +274,21 @@ def _nearest(members: DataFrame, compared: DataFrame | None) -> DataFrame:
     return chosen.select(*_pair(F.col("node"), F.col("best.other"))).distinct()
 
 
+def _marked(members: DataFrame, most: int) -> DataFrame:
+    """``members`` with ``leads``: of every bucket up to ``most`` of them, one of each class
+    first, none of its largest class, since the bucket is done when the members of all other
+    classes have led."""
+    inside = Window.partitionBy("key", "class").orderBy("node")
+    across = Window.partitionBy("key").orderBy(F.desc("eligible"), "turn", "node")
+    turns = members.withColumn("turn", F.row_number().over(inside))
+    ranked = turns.withColumn("eligible", (F.col("class") != F.col("largest")) & (F.col("turn") <= most))
+    leads = F.col("eligible") & (F.row_number().over(across) <= most)
+    return ranked.withColumn("leads", leads).drop("turn", "eligible")
+
+
 def _leaders(members: DataFrame, most: int) -> DataFrame:
-    """Of every bucket up to ``most`` members: one of each class first, none of its largest
-    class, since the bucket is done when the members of all other classes have led."""
-    inside, across = Window.partitionBy("key", "class").orderBy("node"), Window.partitionBy("key").orderBy("turn", "node")
-    first = members.filter("class != largest").withColumn("turn", F.row_number().over(inside))
-    ranked = first.filter(F.col("turn") <= most).withColumn("rank", F.row_number().over(across))
-    return ranked.filter(F.col("rank") <= most).select(*_MEMBER, "class", "size")
+    """The members that lead their buckets."""
+    return _marked(members, most).filter("leads").select(*_carried(members), "class", "size")
 
 
 def _first_shared(bands: Column, other: Column) -> Column:
@@ -283,15 +301,15 @@ def _pairs(members: DataFrame, leaders: DataFrame, most: int, nodes: DataFrame |
     """(a, b), a > b: leaders with their bucket's members of other classes.
 
     A bucket is cut into tiles of its members, each of about TILE pairs; the leaders go to all.
-    Two nodes that agree in m bands share m (m - 1) / 2 buckets. With the bands of ``nodes``
-    they only meet in the one of the first two, so the join makes a pair once, or twice where
-    both lead. Until that bucket is done they stay apart in the others as well.
+    Two nodes that agree in m bands share m (m - 1) / 2 buckets. With their bands, carried by
+    the members or looked up in ``nodes``, they only meet in the one of the first two, so the
+    join makes a pair once, or twice where both lead. Until that bucket is done they stay
+    apart in the others as well.
     """
     tiles = F.ceil(F.col("size") * F.lit(most) / F.lit(TILE))
-    known = [] if nodes is None else ["bands"]
-    if known:
-        bands = nodes.select("node", "bands")
-        members, leaders = members.join(bands, "node"), leaders.join(bands, "node")
+    if nodes is not None:
+        members, leaders = _with_bands(members, nodes), _with_bands(leaders, nodes)
+    known = [name for name in _carried(members) if name == "bands"]
     left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "total", "shared", "class", *known)
     right = leaders.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"),
@@ -358,13 +376,13 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # come together by about one pair a member. What is left apart then meets bucket by bucket.
     compared, labels, most, gathering, gathered = None, None, LEADERS, True, False
     while not members.isEmpty():
-        left = members.select(*_MEMBER)
+        left = members.select(*_carried(members))
         if gathering:
             pairs = _nearest(members, compared)
         else:
-            leaders = stage(_leaders(members, most), "leaders")
-            pairs = _pairs(members, leaders, most, nodes).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-            left = left.join(leaders.select("key", "node"), ["key", "node"], "left_anti")
+            marked = stage(_marked(members, most), "marked")
+            pairs = _pairs(marked, marked.filter("leads"), most).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            left = marked.filter(~F.col("leads")).select(*_carried(members))
             most *= 4
         pairs = stage(pairs, "pairs")
         sides = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
@@ -378,10 +396,11 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         compared = checked if compared is None else compared.unionByName(checked)
         links = compared.filter(similar).select("a", "b")
         labels = components(links)
-        left = left.join(labels, "node", "left").select(*_MEMBER, F.coalesce("class", "node").alias("class"))
+        left = left.join(labels, "node", "left").select(*_carried(left), F.coalesce("class", "node").alias("class"))
         members = stage(_unsettled(left), "members")
         if gathered:
-            members, gathered = stage(_unsettled(narrowed(members)), "members"), False
+            # Few are left: they carry their bands from here on.
+            members, gathered = stage(_with_bands(_unsettled(narrowed(members)), nodes), "members"), False
     found_nodes = nodes.select("digest", "id", "node")
     if labels is None:
         links = spark.createDataFrame([], "a long, b long")

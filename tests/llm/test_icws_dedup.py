@@ -249,3 +249,15 @@ def test_a_pair_meets_in_one_of_its_buckets(spark):
     keys = [r["key"] for r in buckets.select("key").distinct().collect()]
     met = [op._pairs(buckets.where(F.col("key") == key), leaders, 8, nodes).collect() for key in keys]
     assert sorted(tuple(r) for rows in met for r in rows) == [(2, 1), (3, 1), (3, 2)]
+
+
+def test_members_carry_their_bands_from_round_to_round(spark):
+    """No round looks up the bands of all members and leaders again."""
+    bands = {1: [11, 12, 13, 14, 0], 2: [11, 12, 13, 14, 0], 3: [91, 12, 13, 92, 0]}
+    nodes = spark.createDataFrame([(i, 1.0, keys) for i, keys in bands.items()], "node long, total double, bands array<long>")
+    members = op._unsettled(op._with_bands(op._buckets(nodes), nodes))
+    assert "bands" in members.columns and "bands" in op._leaders(members, 8).columns
+    pairs = op._pairs(members, op._leaders(members, 8), 8)
+    assert {tuple(r) for r in pairs.collect()} == {(2, 1), (3, 1), (3, 2)}
+    left = op._unsettled(members.select(*op._carried(members), F.lit(1).alias("class")))
+    assert "bands" in left.columns and left.isEmpty()
