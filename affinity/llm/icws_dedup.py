@@ -15,11 +15,12 @@ exact weighted Jaccard similarity, in rounds. First every text meets one lead, t
 known text of the largest class of its largest bucket; with the classes found it meets the
 next, while a tenth of these pairs or more are similar. So a family comes together around
 the text it was copied from, by a few pairs a member. Of the texts still apart the weight
-counts that another of them has as well; what is a text's own can only lower a similarity,
-so most pairs are ruled out unread. Then, in every bucket with several classes, some members
+counts that another of them has as well; what is a text's own can only lower a similarity.
+That weight is summed up in ``PARTS`` parts by the hash of the shingle: two texts have in
+common at most the lesser sum of each part, which rules most pairs out unread. Then, in every bucket with several classes, some members
 lead, are compared with all its members of other classes that they can be similar to, and
 leave it, four times as many each round, until no bucket has two classes. So every two
-candidates were compared, ruled out by their weights or are in one class. Copies are one
+candidates were compared, ruled out by such bounds or are in one class. Copies are one
 node from the start.
 """
 
@@ -39,6 +40,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 RARE = 250
 LEADERS = 8
+PARTS = 64
 TILE = 1 << 17
 IDF_SHARE = 0.25
 _BLOCK = 1 << 15
@@ -224,11 +226,12 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 _MEMBER = ("key", "node", "total", "shared", "fame")
+_HELD = ("bands", "parts")
 
 
 def _carried(members: DataFrame) -> list[str]:
     """The columns that a member keeps from round to round."""
-    return [*_MEMBER, *(name for name in ("bands",) if name in members.columns)]
+    return [*_MEMBER, *(name for name in _HELD if name in members.columns)]
 
 
 def _with_bands(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,6 +257,20 @@ def _reachable(total: Column, shared: Column, other_total: Column, other_shared:
     return common * (1 + 1e-9) >= SIMILARITY * (total + other_total - common)
 
 
+def parts_of(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The weight of each text in PARTS parts by the hash of the shingle, never rounded down."""
+    part = (mix(hashes) % np.uint64(PARTS)).astype(np.int64)
+    sums = np.bincount(owner * PARTS + part, weights, n * PARTS)
+    return np.where(sums > 0, np.nextafter(sums.astype(np.float32), np.float32(np.inf)), np.float32(0))
+
+
+def _alike(total: Column, parts: Column, other_total: Column, other_parts: Column) -> Column:
+    """Whether two texts can be similar: of each part they have at most the lesser weight in common."""
+    least = F.zip_with(parts, other_parts, lambda x, y: F.least(x, y))
+    common = F.aggregate(least, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double"))
+    return common * ((1 + SIMILARITY) * (1 + 1e-9)) >= SIMILARITY * (total + other_total)
+
+
 def _pair(one: Column, other: Column) -> list[Column]:
     return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
 
@@ -304,22 +321,24 @@ def _pairs(members: DataFrame, leaders: DataFrame, most: int, nodes: DataFrame |
     Two nodes that agree in m bands share m (m - 1) / 2 buckets. With their bands, carried by
     the members or looked up in ``nodes``, they only meet in the one of the first two, so the
     join makes a pair once, or twice where both lead. Until that bucket is done they stay
-    apart in the others as well.
+    apart in the others as well. With their ``parts`` only those meet that can be similar.
     """
     tiles = F.ceil(F.col("size") * F.lit(most) / F.lit(TILE))
     if nodes is not None:
         members, leaders = _with_bands(members, nodes), _with_bands(leaders, nodes)
-    known = [name for name in _carried(members) if name == "bands"]
+    known = [name for name in _carried(members) if name in _HELD]
     left = members.select("key", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "total", "shared", "class", *known)
     right = leaders.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"),
         F.col("node").alias("leader"), F.col("total").alias("other_total"), F.col("shared").alias("other_shared"), F.col("class").alias("other"),
-        *(F.col(name).alias("other_bands") for name in known),
+        *(F.col(name).alias(f"other_{name}") for name in known),
     )
     near = _reachable(F.col("total"), F.col("shared"), F.col("other_total"), F.col("other_shared"))
     met = left.join(right, ["key", "tile"]).filter("class != other").filter(near)
-    if known:
+    if "bands" in known:
         met = met.filter(F.col("key") == _first_shared(F.col("bands"), F.col("other_bands")))
+    if "parts" in known:
+        met = met.filter(_alike(F.col("total"), F.col("parts"), F.col("other_total"), F.col("other_parts")))
     return met.select(*_pair(F.col("node"), F.col("leader"))).distinct()
 
 
@@ -361,16 +380,36 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         for batch in batches(stream):
             owner, hashes, times = shingles(batch.column("text"))
             node = batch.column("doc_id").take(pa.array(owner))
-            yield pa.record_batch([node, pa.array(hashes.view(np.int64)), pa.array(weights.value(hashes, times))], ["node", "shingle", "w"])
+            yield pa.record_batch([node, pa.array(hashes.view(np.int64))], ["node", "shingle"])
+
+    def parted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            owner, hashes, times = shingles(batch.column("text"))
+            weight, n = weights.value(hashes, times), batch.num_rows
+            single = batch.column("single")
+            mine = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(single), 0).to_numpy())
+            alone = pc.list_flatten(single).to_numpy().view(np.uint64)
+            # Both name a shingle once: what comes twice is no other text's.
+            met = distinct(np.append(owner, mine), np.append(hashes, alone))[2] == 1
+            total = np.bincount(owner, weight, n).astype(float)
+            owner, hashes, weight = owner[met], hashes[met], weight[met]
+            shared = np.bincount(owner, weight, n).astype(float)
+            sums = parts_of(owner, hashes, weight, n)
+            offsets = pa.array(np.arange(0, sums.size + 1, PARTS, dtype=np.int32))
+            parts = pa.ListArray.from_arrays(offsets, pa.array(sums))
+            columns = [batch.column("doc_id"), pa.array(total), pa.array(shared), parts]
+            yield pa.record_batch(columns, ["node", "total", "shared", "parts"])
 
     def narrowed(members: DataFrame) -> DataFrame:
-        """``members`` with ``shared`` less the weight of the shingles that no other of them has."""
+        """``members`` with ``shared`` less the weight of the shingles that no other of them has,
+        and the rest in ``parts``."""
         still = held.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        each = still.mapInArrow(spread, "node long, shingle long, w double")
-        single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
-        own = single.groupBy("node").agg(F.sum("w").alias("own"))
-        less = F.col("total") - F.coalesce("own", F.lit(0.0))
-        return members.join(own, "node", "left").withColumn("shared", less).select(*_MEMBER, "class").filter(F.col("shared") * (1 + 1e-9) >= SIMILARITY * F.col("total"))
+        each = still.mapInArrow(spread, "node long, shingle long")
+        single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("doc_id")).filter("n = 1")
+        own = single.groupBy("doc_id").agg(F.collect_list("shingle").alias("single"))
+        known = still.join(own, "doc_id", "left").mapInArrow(parted, "node long, total double, shared double, parts array<float>")
+        known = known.filter(F.col("shared") * (1 + 1e-9) >= SIMILARITY * F.col("total"))
+        return members.select("key", "node", "fame", "class").join(known, "node")
 
     # First every node meets one lead a round, while many of them turn out similar: families
     # come together by about one pair a member. What is left apart then meets bucket by bucket.
@@ -399,7 +438,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         left = left.join(labels, "node", "left").select(*_carried(left), F.coalesce("class", "node").alias("class"))
         members = stage(_unsettled(left), "members")
         if gathered:
-            # Few are left: they carry their bands from here on.
+            # Few are left: they carry their bands and parts from here on.
             members, gathered = stage(_with_bands(_unsettled(narrowed(members)), nodes), "members"), False
     found_nodes = nodes.select("digest", "id", "node")
     if labels is None:

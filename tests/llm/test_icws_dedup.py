@@ -261,3 +261,42 @@ def test_members_carry_their_bands_from_round_to_round(spark):
     assert {tuple(r) for r in pairs.collect()} == {(2, 1), (3, 1), (3, 2)}
     left = op._unsettled(members.select(*op._carried(members), F.lit(1).alias("class")))
     assert "bands" in left.columns and left.isEmpty()
+
+
+def test_parts_bound_what_two_texts_have_in_common(spark):
+    rng = np.random.default_rng(7)
+    universe, weight = rng.integers(1, 2**62, 400, dtype=np.uint64), rng.uniform(0.1, 9, 400)
+    weight[0] = 1 / 3
+    sides = [np.sort(rng.choice(400, 300, replace=False)) for _ in range(30)]
+    owner, picked = np.repeat(np.arange(30), 300), np.concatenate(sides)
+    sums = op.parts_of(owner, universe[picked], weight[picked], 30).reshape(30, op.PARTS)
+    total = [weight[side].sum() for side in sides]
+    rows = [(a, b, float(total[a]), sums[a].tolist(), float(total[b]), sums[b].tolist()) for a in range(30) for b in range(a)]
+    table = spark.createDataFrame(rows, "a long, b long, total double, parts array<float>, other_total double, other_parts array<float>")
+    alike = op._alike(F.col("total"), F.col("parts"), F.col("other_total"), F.col("other_parts"))
+    kept = {(r["a"], r["b"]): r["alike"] for r in table.select("a", "b", alike.alias("alike")).collect()}
+    for (a, b), may in kept.items():
+        common = weight[np.intersect1d(sides[a], sides[b])].sum()
+        assert np.minimum(sums[a].astype(float), sums[b]).sum() >= common
+        assert may or common < op.SIMILARITY * (total[a] + total[b] - common)
+    assert not all(kept.values())
+    # A text is always as similar to itself as need be, whatever rounding does.
+    assert (sums.astype(float).sum(axis=1) >= total).all()
+
+
+def test_unlike_copies_of_one_text_are_ruled_out_unread(spark, documents, monkeypatch):
+    """Candidates of large buckets, each as near to a text that is not there as copies are."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 5), 3):
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    compared = []
+    monkeypatch.setattr(op, "stage", lambda df, name: compared.append(x) or x if (x := staged(df, name)) and name == "checked" else x)
+    got, _ = op.near_classes(documents([(i, t, "s") for i, t in enumerate(texts)]))
+    near = [pair for pair, similarity in brute(texts).items() if similarity >= op.SIMILARITY]
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == dict(enumerate(classes_of(near, 60)))
+    assert sum(x.count() for x in compared) <= 6 * 60
