@@ -123,3 +123,38 @@ def test_user_factors_are_optimal(spark, recall):
     assert worst(als.optimality(fitted, ratings, reg=0.5)) > 1e-2
     assert worst(als.optimality(fitted, ratings, alpha=1.1)) > 1e-3
     assert worst(als.optimality(fitted, ratings.where("aid != 1"))) > 1e-2
+
+
+def test_a_factor_is_received_once_however_many_blocks_there_could_be(spark):
+    """172.6 million ratings fit the memory of as many blocks as there are cores."""
+    cores = spark.sparkContext.defaultParallelism
+    assert als.solver_blocks(spark, 172_600_000, 7_200_000) == cores
+    assert als.solver_blocks(spark, 2_400_000_000, 1_000_000_000) == 200
+
+
+def test_the_model_holds_no_shuffle_of_the_fit(recall):
+    for table in (recall.model.userFactors, recall.model.itemFactors):
+        assert table.inputFiles()
+        assert "ShuffledRowRDD" not in table.rdd.toDebugString().decode()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_rows_are_not_joined_and_checked_ones_not_sorted(spark, recall):
+    top = als.topk_all(recall, 3)
+    assert "Join" not in plan_of(top)
+    pairs = top.withColumnRenamed("pred_aid", "aid")
+    for df, joins in ((als.factor_products(recall, pairs), 2), (als.optimality(recall, invented(spark)), 2)):
+        assert plan_of(df).count("ShuffledHashJoin") >= joins and "SortAggregate" not in plan_of(df)
+    assert "ShuffledHashJoin" in plan_of(als.unseen(top, invented(spark)))
+
+
+def test_ids_below_zero_are_found(spark):
+    ratings = invented(spark).select((-F.col("uid")).alias("uid"), (F.col("aid") - 3).alias("aid"), "rating")
+    fitted = als.fit_als(ratings, rank=4, blocks=2)
+    best = als.topk_all(fitted, 6)
+    assert {r.pred_aid for r in best.collect()} == set(range(-2, 4))
+    for r in als.factor_products(fitted, best.withColumnRenamed("pred_aid", "aid")).collect():
+        assert r.product == pytest.approx(r.pred_rating, abs=1e-5)
