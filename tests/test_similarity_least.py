@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from affinity.operators import cells, similarity
 from affinity.plans.staging import stage
@@ -74,6 +76,34 @@ def test_sums_by_cell_are_those_of_the_join(spark, monkeypatch, rows):
     assert "MapInArrow" in plan and "sim_aid" not in plan.split("MapInArrow", 1)[1].split("Exchange", 1)[1]
 
 
+@pytest.mark.parametrize("scale", [1.0, 1 / 3])
+def test_sums_by_list_are_those_of_the_join(spark, monkeypatch, scale):
+    """Bit for bit, with any number of tiles, lists cut anywhere, and whole or broken ratings."""
+    rated = stage(ratings_of(spark, 4).withColumn("rating", F.col("rating") * scale), "scaled")
+    whole, near = bits(similarity.item_similarity(rated)), bits(similarity.similarity_at_least(rated, 0.3))
+    unit = stage(similarity.unit_columns(rated), "unit")
+    for tiles in (1, 4, 41):
+        assert bits(cells.list_sums(unit, tiles)) == whole
+        assert bits(cells.list_sums(unit, tiles, 0.3)) == near
+    monkeypatch.setattr(similarity, "CELLS_FROM", 1)
+    monkeypatch.setattr(similarity, "INDEX_SAVES", 1e9)
+    monkeypatch.setattr(similarity, "ENTRIES_PER_CELL", 10)
+    monkeypatch.setattr(similarity, "cell_sums", None)
+    assert bits(similarity.item_similarity(rated, most_per_task=4)) == whole
+    assert bits(similarity.similarity_at_least(rated, 0.3, most_per_task=4)) == near
+
+
+def test_an_entry_is_sent_once_for_each_other_item_at_most(monkeypatch):
+    """Not once a tile, and of two entries of a user only one to the other."""
+    monkeypatch.setattr(cells, "_PRODUCTS", 7)
+    uid, aid = (np.array(x) for x in zip(*[(u, 10 * u + i) for u in range(20) for i in range(5)]))
+    columns = [uid, aid, np.ones(100), np.full(100, 3.0), (aid * 7 % 101).astype(np.int32)]
+    batches = [pa.record_batch([pa.array(x) for x in columns], list("abcde"))]
+    sent = [row for batch in cells._lists(iter(batches), 101) for row in batch.to_pylist()]
+    assert sum(row["n"] for row in sent if row["side"] == 0) == 100
+    assert sum(row["n"] for row in sent if row["side"] == 1) == 20 * 5 * 4 / 2
+
+
 def test_products_of_an_item_are_cut(monkeypatch):
     monkeypatch.setattr(cells, "_PRODUCTS", 3)
     rng = np.random.default_rng(1)
